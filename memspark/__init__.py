@@ -1 +1,9 @@
 """Agent-memory analytics on Spark: DataFrames in, DataFrames out."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package that run inside tasks travel with the job, so executors need no
+# installed copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

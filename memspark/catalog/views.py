@@ -9,7 +9,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.session import prepare
+from memspark.session import prepare, spread
 
 KINDS = ("user_fact", "project_fact", "feedback", "reference", "preference", "prohibition", "procedure", "narrative")
 LEDGER_KIND = {
@@ -34,7 +34,8 @@ class Views:
         self.spark, self.dir = prepare(spark), sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        scan = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return spread(scan) if name in ("documents", "pages") else scan
 
     @cached_property
     def facts(self) -> DataFrame:

@@ -34,36 +34,38 @@ def postings(
 ) -> DataFrame:
     """(fact_id, doc_len, term, tf), hash-partitioned by fact_id.
 
-    With a ``vocabulary(term)`` other words are dropped before the shuffle.  Each document
-    keeps one row with the empty term, which carries the document count and length even when
-    no word matches.  Written with ``bucketBy(n, "fact_id").sortBy("term")`` this is the stored index.
+    With a ``vocabulary(term)`` of checked size other words are dropped before the shuffle.  Each
+    document keeps one row with the empty term, which carries the document count and length even
+    when no word matches.  Written with ``bucketBy(n, "fact_id").sortBy("term")`` this is the
+    stored index.
     """
     words = docs.select(
         F.col(id_col).alias("fact_id"), F.coalesce(tokens(F.col(text_col)), F.array()).alias("_t")
     ).select(
         "fact_id", F.size("_t").alias("doc_len"), F.explode(F.array_append("_t", F.lit(_DOC))).alias("term")
-    )
+    ).where(F.col("term").isNotNull())
     if vocabulary is not None:
-        wanted = vocabulary.select("term").unionByName(
-            docs.sparkSession.range(1).select(F.lit(_DOC).alias("term"))
-        ).distinct()
-        if has_at_most(wanted, VOCABULARY_LIMIT):
-            words = words.join(F.broadcast(wanted), "term", "left_semi")
+        wanted = vocabulary.select("term").unionByName(docs.sparkSession.range(1).select(F.lit(_DOC).alias("term")))
+        words = words.join(F.broadcast(wanted.distinct()), "term", "left_semi")
     return (
         words.repartition("fact_id")
         .groupBy("fact_id", "doc_len", "term").agg(F.count("*").cast("double").alias("tf"))
     )
 
 
+# The two summaries below read the postings without a filter on the term.  A filter would be
+# pushed under the shuffle, and the three uses of the postings could no longer share it.
+
+
 def corpus_stats(index: DataFrame) -> DataFrame:
     """One row: n_docs, avg_len."""
-    return index.where(F.col("term") == _DOC).agg(
-        F.count("*").cast("double").alias("n_docs"), F.avg("doc_len").alias("avg_len")
-    )
+    per_doc = F.when(F.col("term") == _DOC, F.col("doc_len"))
+    return index.agg(F.count(per_doc).cast("double").alias("n_docs"), F.avg(per_doc).alias("avg_len"))
 
 
 def document_frequency(index: DataFrame) -> DataFrame:
-    return index.where(F.col("term") != _DOC).groupBy("term").agg(F.count("*").cast("double").alias("df"))
+    """Number of documents per term; the empty term counts them all."""
+    return index.groupBy("term").agg(F.count("*").cast("double").alias("df"))
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -76,19 +78,27 @@ def term_score(idf_: Column, tf: Column, doc_len: Column, avg_len: Column) -> Co
     return idf_ * (tf * F.lit(v.BM25_K1 + 1.0)) / (tf + norm)
 
 
-def search(index: DataFrame, terms: DataFrame, k: int = v.FANOUT, digits: int = v.RANK_DIGITS) -> DataFrame:
-    """(query_id, fact_id, score, source, rank) for ``terms`` from :func:`query_terms`."""
+def search(
+    index: DataFrame, terms: DataFrame, k: int = v.FANOUT, digits: int = v.RANK_DIGITS, small: bool | None = None
+) -> DataFrame:
+    """(query_id, fact_id, score, source, rank) for ``terms`` from :func:`query_terms`.
+
+    A small term table is broadcast and sums stay local; beyond the limit terms and postings
+    meet in a shuffled join, where adaptive execution splits hot terms.
+    """
     if k <= 0:
         raise ValueError("k must be positive")
-    stats = corpus_stats(index)  # one row
-    weighted = terms.join(document_frequency(index), "term")
-    weighted = weighted.join(F.broadcast(stats)).select(
-        "query_id", "term", "avg_len", (F.col("weight") * idf(F.col("n_docs"), F.col("df"))).alias("w")
+    if small is None:
+        small = has_at_most(terms, VOCABULARY_LIMIT)
+    one = corpus_stats(index).select(F.struct("n_docs", "avg_len").alias("s")).scalar()
+    weighted = terms.join(document_frequency(index), "term").withColumn("_s", one).select(
+        "query_id", "term", F.col("_s.avg_len").alias("avg_len"),
+        (F.col("weight") * idf(F.col("_s.n_docs"), F.col("df"))).alias("w"),
     )
-    if has_at_most(terms, VOCABULARY_LIMIT):
+    if small:
         weighted = F.broadcast(weighted)
     scored = (
-        index.where(F.col("term") != _DOC).join(weighted, "term")
+        index.join(weighted, "term")
         .groupBy("query_id", "fact_id")
         .agg(F.sum(term_score(F.col("w"), F.col("tf"), F.col("doc_len"), F.col("avg_len"))).alias("score"))
         .withColumn("score", F.round("score", digits))
@@ -101,6 +111,7 @@ def search(index: DataFrame, terms: DataFrame, k: int = v.FANOUT, digits: int =
 
 
 def search_documents(docs: DataFrame, queries: DataFrame, k: int = v.FANOUT, **cols) -> DataFrame:
-    """Index and search in one lazy plan; only words of the query batch are indexed."""
+    """Index and search in one lazy plan; for a query batch of checked size only its words are indexed."""
     terms = query_terms(queries)
-    return search(postings(docs, vocabulary=terms, **cols), terms, k)
+    small = has_at_most(terms, VOCABULARY_LIMIT)
+    return search(postings(docs, vocabulary=terms if small else None, **cols), terms, k, small=small)

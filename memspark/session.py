@@ -45,3 +45,13 @@ def has_at_most(df: DataFrame, rows: int) -> bool:
 def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast hint behind a row count; a bigger side is left to a shuffled join."""
     return F.broadcast(df) if has_at_most(df, rows) else df
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a file scan that comes in fewer pieces than there are cores.
+
+    A file with a single row group cannot be split, so costly work per row (tokenising text)
+    would run in one task.  A scan with enough pieces is returned as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
