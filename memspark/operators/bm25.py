@@ -78,16 +78,12 @@ def term_score(idf_: Column, tf: Column, doc_len: Column, avg_len: Column) -> Co
     return idf_ * (tf * F.lit(v.BM25_K1 + 1.0)) / (tf + norm)
 
 
-def search(
-    index: DataFrame, terms: DataFrame, k: int = v.FANOUT, digits: int = v.RANK_DIGITS, small: bool | None = None
-) -> DataFrame:
-    """(query_id, fact_id, score, source, rank) for ``terms`` from :func:`query_terms`.
+def scores(index: DataFrame, terms: DataFrame, digits: int = v.RANK_DIGITS, small: bool | None = None) -> DataFrame:
+    """(query_id, fact_id, score) of every document that shares a word with the query.
 
     A small term table is broadcast and sums stay local; beyond the limit terms and postings
     meet in a shuffled join, where adaptive execution splits hot terms.
     """
-    if k <= 0:
-        raise ValueError("k must be positive")
     if small is None:
         small = has_at_most(terms, VOCABULARY_LIMIT)
     one = corpus_stats(index).select(F.struct("n_docs", "avg_len").alias("s")).scalar()
@@ -97,15 +93,23 @@ def search(
     )
     if small:
         weighted = F.broadcast(weighted)
-    scored = (
+    return (
         index.join(weighted, "term")
         .groupBy("query_id", "fact_id")
         .agg(F.sum(term_score(F.col("w"), F.col("tf"), F.col("doc_len"), F.col("avg_len"))).alias("score"))
         .withColumn("score", F.round("score", digits))
     )
+
+
+def search(
+    index: DataFrame, terms: DataFrame, k: int = v.FANOUT, digits: int = v.RANK_DIGITS, small: bool | None = None
+) -> DataFrame:
+    """(query_id, fact_id, score, source, rank) for ``terms`` from :func:`query_terms`."""
+    if k <= 0:
+        raise ValueError("k must be positive")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "fact_id")
     return (
-        scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        scores(index, terms, digits, small).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         .select("query_id", "fact_id", "score", F.lit("lexical").alias("source"), "rank")
     )
 

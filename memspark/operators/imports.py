@@ -88,11 +88,13 @@ def split_sections(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def document_kind(body: Column, title: Column, tags: Column) -> Column:
     """``procedure`` for a stepwise text, else ``narrative``.
 
-    All three are needed: three headings, an ordered list of three items, and a word of the
-    procedure list in the tags or the title.
+    All three are needed: three headings, a section with an ordered list of three items, and a
+    word of the procedure list in the tags or the title.
     """
     headings = F.regexp_count(body, F.lit(r"(?m)^#{2,3} "))
-    ordered = body.rlike(r"(?m)(^[ \t]*\d+[.)] [^\n]*\n(?:(?![ \t]*\d+[.)] |#)[^\n]*\n)*){2}^[ \t]*\d+[.)] ")
+    ordered = F.exists(
+        F.split(body, r"(?m)^#{2,3} "), lambda part: F.regexp_count(part, F.lit(r"(?m)^[ \t]*\d+[.)] ")) >= 3
+    )
     words = F.array(*[F.lit(w) for w in PROCEDURE_WORDS])
     tagged = F.arrays_overlap(F.coalesce(tags, F.array().cast("array<string>")), words)
     titled = F.exists(words, lambda w: F.contains(F.lower(F.coalesce(title, F.lit(""))), w))

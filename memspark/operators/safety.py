@@ -141,8 +141,8 @@ def feature_drift(baseline: DataFrame, current: DataFrame, features: tuple[str,
     def shares(rows: DataFrame, name: str) -> DataFrame:
         pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("string").alias("value")) for f in features]))
         counts = rows.select(pairs.alias("p")).select("p.*").groupBy("feature", "value").agg(F.count("*").alias("_c"))
-        total = Window.partitionBy("feature")
-        return counts.select("feature", "value", (F.col("_c") / F.sum("_c").over(total)).alias(name))
+        total = counts.groupBy("feature").agg(F.sum("_c").alias("_t"))
+        return counts.join(total, "feature").select("feature", "value", (F.col("_c") / F.col("_t")).alias(name))
 
     both = shares(baseline, "_b").join(shares(current, "_c2"), ["feature", "value"], "full_outer").fillna(0.0, ["_b", "_c2"])
     drift = F.sum(F.abs(F.col("_b") - F.col("_c2"))) / 2
