@@ -20,8 +20,9 @@ def type_priority(kind: Column) -> Column:
     return F.coalesce(lookup(kind, v.TYPE_PRIORITY), F.lit(v.DEFAULT_TYPE_PRIORITY))
 
 
-def shape_param(shape: Column, position: int) -> Column:
-    return lookup(shape, {s: p[position] for s, p in v.SHAPE_PARAMS.items()})
+def kind_param(kind: Column, position: int) -> Column:
+    """Shape parameter looked up by the kind itself, which keeps the expression small."""
+    return lookup(kind, {k: v.SHAPE_PARAMS[s][position] for k, s in v.SHAPE_OF_KIND.items()})
 
 
 def recency(t_now: Column, t_access: Column, tau_days: Column | float = 30.0, r_inf: float = v.R_INF) -> Column:
@@ -74,21 +75,23 @@ def additive_score(
     strict: bool = True,
 ) -> Column:
     """Score before gravity.  The recency weight always comes from the shape, never from the caller."""
-    shape = shape_of(kind, strict)
-    beta = shape_param(shape, 1)
-    fresh = F.when(beta > 0.0, recency(t_now, t_access, shape_param(shape, 0))).otherwise(F.lit(0.0))
-    eps_used = F.least(F.lit(eps), shape_param(shape, 2))
+    fresh_kinds = [k for k, s in v.SHAPE_OF_KIND.items() if v.SHAPE_PARAMS[s][1] > 0.0]
+    fresh = F.when(
+        kind.isin(*fresh_kinds), kind_param(kind, 1) * recency(t_now, t_access, kind_param(kind, 0))
+    ).otherwise(F.lit(0.0))
+    eps_used = F.least(F.lit(eps), kind_param(kind, 2))
     total = (
         F.lit(alpha) * type_priority(kind)
-        + beta * fresh
+        + fresh
         + F.lit(gamma) * connectedness
         + F.lit(delta) * utility
         - eps_effective(eps_used, contradictions) * contradicted(contradictions)
     )
     if not strict:
-        return total
+        return F.when(kind.isin(*v.SHAPE_OF_KIND), total)
     out_of_range = ~connectedness.between(0.0, 1.0) | ~utility.between(0.0, 1.0) | (contradictions < 0)
-    return fail_when(out_of_range, "score term out of range", total)
+    reason = F.concat(F.lit("kind never scored or term out of range: "), F.coalesce(kind, F.lit("NULL")))
+    return fail_when(~F.coalesce(kind.isin(*v.SHAPE_OF_KIND), F.lit(False)) | out_of_range, reason, total)
 
 
 def composed_score(

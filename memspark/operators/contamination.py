@@ -1,6 +1,6 @@
 """Guard against storing protected evaluation items, by id and by content."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.functions.text import tokens
@@ -11,12 +11,15 @@ CONTAINMENT = 0.8
 _LIMIT = 500_000  # protected shingles that may be broadcast
 
 
-def shingles(text: Column, n: int = NGRAM) -> Column:
-    """Distinct word n-grams; a text shorter than n words is one shingle."""
-    t = tokens(text)
-    size = F.size(t)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), size - (n - 1))), lambda i: F.array_join(F.slice(t, i, F.lit(n)), " "))
-    return F.when(size == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
+def shingles(rows: DataFrame, id_col: str, text_col: str, n: int = NGRAM) -> DataFrame:
+    """(id, s): the distinct word n-grams of each text; a text shorter than n words is one.
+
+    The words are a column of their own, so that they are made once and not per n-gram.
+    """
+    words = rows.select(F.col(id_col), tokens(F.col(text_col)).alias("_t")).where(F.size("_t") > 0)
+    last = F.greatest(F.lit(1), F.size("_t") - (n - 1))
+    grams = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice("_t", i, F.lit(n)), " "))
+    return words.select(id_col, F.explode(F.array_distinct(grams)).alias("s"))
 
 
 def by_id(facts: DataFrame, protected: DataFrame, key: str = "fact_id") -> DataFrame:
@@ -33,8 +36,8 @@ def by_content(
     pairs: a phrase that a third of all documents share proposes none unless an item has nothing
     else.  Every proposed pair is then counted in full.
     """
-    items = protected.select("item_id", F.explode(shingles(F.col("text"), n)).alias("s"))
-    words = docs.select(F.col(id_col).alias("doc"), F.explode(shingles(F.col(text_col), n)).alias("s"))
+    items = shingles(protected, "item_id", "text", n)
+    words = shingles(docs, id_col, text_col, n).withColumnRenamed(id_col, "doc")
     guard = items.select("s").distinct()
     if has_at_most(guard, _LIMIT):
         guard = F.broadcast(guard)

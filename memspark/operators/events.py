@@ -6,60 +6,80 @@ from pyspark.sql import functions as F
 from memspark import vocab as v
 
 
-def _kind(var: Column, path: str) -> Column:
-    """Type name of a member (VOID for JSON null); NULL when the member is absent."""
-    return F.schema_of_variant(F.variant_get(var, path, "variant"))
-
-
-def _text(var: Column, path: str) -> Column:
-    return F.try_variant_get(var, path, "string")
+_MEMBERS = (
+    "contamination_protected", "fact_ids", "path", "recall_id", "decision", "score_output", "superseded_by", "phase_name",
+    "consolidate_run_id",
+)
+
+
+def _read(events: DataFrame, column: str) -> DataFrame:
+    """Adds ``_e``: the keys of the envelope and kind and text of each member a rule looks at.
+
+    A kind is the type name (VOID for JSON null), empty for an absent member.  The one-element
+    explode keeps the optimizer from copying the parsing into every rule and filter.
+    """
+    var = F.col("_var")
+
+    def member(name: str) -> Column:
+        value = F.variant_get(var, f"$.{name}", "variant")
+        return F.struct(
+            F.coalesce(F.schema_of_variant(value), F.lit("")).alias("kind"),
+            F.try_variant_get(var, f"$.{name}", "string").alias("text"),
+        ).alias(name)
+
+    parsed = events.withColumn("_var", F.try_parse_json(F.col(column)))
+    members = F.struct(
+        F.coalesce(F.schema_of_variant(var), F.lit("")).startswith("OBJECT").alias("is_object"),
+        F.coalesce(F.json_object_keys(column), F.array().cast("array<string>")).alias("keys"),
+        F.try_variant_get(var, "$.event_type", "string").alias("event_type"),
+        F.variant_get(var, "$.fact_ids[0]", "variant").isNotNull().alias("has_id"),
+        *[member(m) for m in _MEMBERS],
+    )
+    return parsed.withColumn("_e", F.explode(F.array(members))).drop("_var")
 
 
-def reject_reason(envelope: Column) -> Column:
-    """First broken rule, or NULL for a valid envelope."""
-    var = F.try_parse_json(envelope)
-    keys = F.coalesce(F.json_object_keys(envelope), F.array().cast("array<string>"))
-    etype = _text(var, "$.event_type")
+def with_reason(events: DataFrame, column: str = "envelope") -> DataFrame:
+    """Adds ``reason``: the first broken rule, or NULL for a valid envelope."""
+    e = F.col("_e")
+    t = e["event_type"]
 
     def lacks(required) -> Column:
-        return F.size(F.array_except(F.array(*[F.lit(k) for k in required]), keys)) > 0
+        return F.size(F.array_except(F.array(*[F.lit(k) for k in required]), e["keys"])) > 0
 
     def is_text(name: str) -> Column:
-        return (F.coalesce(_kind(var, f"$.{name}"), F.lit("")) == "STRING") & (F.length(_text(var, f"$.{name}")) > 0)
+        return (e[name]["kind"] == "STRING") & (F.length(e[name]["text"]) > 0)
 
-    ids_kind = F.coalesce(_kind(var, "$.fact_ids"), F.lit(""))
-    full_list = ids_kind.startswith("ARRAY<") & _kind(var, "$.fact_ids[0]").isNotNull()
+    ids_kind = e["fact_ids"]["kind"]
+    full_list = ids_kind.startswith("ARRAY<") & e["has_id"]
     text_list = full_list & (ids_kind == "ARRAY<STRING>")
-    number = F.coalesce(_kind(var, "$.score_output"), F.lit("")).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")
-    superseded = F.coalesce(_kind(var, "$.superseded_by"), F.lit(""))
-    t = etype
+    number = e["score_output"]["kind"].rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")
+    is_true = (e["contamination_protected"]["kind"] == "BOOLEAN") & (e["contamination_protected"]["text"] == "true")
 
     rules = [
-        (var.isNull() | (F.coalesce(F.schema_of_variant(var), F.lit("")).startswith("OBJECT") == F.lit(False)), "not a JSON object"),
+        (~e["is_object"], "not a JSON object"),
         (lacks(v.EVENT_COMMON), "missing common field"),
         (~F.coalesce(t.isin(*v.EVENT_REQUIRED), F.lit(False)), "unknown event_type"),
-        (~((F.coalesce(_kind(var, "$.contamination_protected"), F.lit("")) == "BOOLEAN")
-           & (_text(var, "$.contamination_protected") == "true")), "not contamination_protected"),
+        (~F.coalesce(is_true, F.lit(False)), "not contamination_protected"),
         *[((t == name) & lacks(req), "missing field of its type") for name, req in v.EVENT_REQUIRED.items() if req],
         ((t == "remember") & ~full_list, "fact_ids"),
         (t.isin("recall", "promote", "demote", "invalidate") & ~text_list, "fact_ids"),
-        ((t == "recall") & ~(is_text("path") & _text(var, "$.path").isin(*v.RECALL_PATHS)), "path"),
+        ((t == "recall") & ~(is_text("path") & e["path"]["text"].isin(*v.RECALL_PATHS)), "path"),
         ((t == "recall") & ~is_text("recall_id"), "recall_id"),
         (t.isin("promote", "demote", "invalidate") & ~is_text("decision"), "decision"),
         (t.isin("promote", "demote") & ~number, "score_output"),
-        ((t == "invalidate") & ~((superseded == "VOID") | is_text("superseded_by")), "superseded_by"),
-        ((t == "consolidate_phase") & ~(is_text("phase_name") & _text(var, "$.phase_name").isin(*v.PHASES)), "phase_name"),
+        ((t == "invalidate") & ~((e["superseded_by"]["kind"] == "VOID") | is_text("superseded_by")), "superseded_by"),
+        ((t == "consolidate_phase") & ~(is_text("phase_name") & e["phase_name"]["text"].isin(*v.PHASES)), "phase_name"),
         ((t == "consolidate_phase") & ~is_text("consolidate_run_id"), "consolidate_run_id"),
     ]
     out = None
     for cond, reason in rules:
         out = F.when(cond, F.lit(reason)) if out is None else out.when(cond, F.lit(reason))
-    return out
+    return _read(events, column).withColumn("reason", out).drop("_e")
 
 
 def split(events: DataFrame, column: str = "envelope") -> tuple[DataFrame, DataFrame]:
     """(valid rows, rejected rows with ``reason``)."""
-    judged = events.withColumn("reason", reject_reason(F.col(column)))
+    judged = with_reason(events, column)
     return judged.where(F.col("reason").isNull()).drop("reason"), judged.where(F.col("reason").isNotNull())
 
 

@@ -18,7 +18,7 @@ from memspark.operators import transitions
 from memspark.operators.outcomes import due, lock_free
 from memspark.sources import batches
 
-EXTRACTOR = "p4-stub-v0"  # fixed value
+EXTRACTOR = "p4-c5-stub-v0"  # fixed value
 Embed = Callable[[Column], Column]
 
 

@@ -3,6 +3,7 @@
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 try:  # general YAML needs the package; flat mappings do not
     import yaml
@@ -72,7 +73,7 @@ def flat_front_matter(text: Column) -> Column:
     return F.map_from_entries(F.transform(pairs, lambda s: F.struct(F.regexp_extract(s, _LINE, 1), value(s))))
 
 
-@F.pandas_udf("map<string,string>")
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
 def _yaml_map(blocks: pd.Series) -> pd.Series:
     def one(block):
         if block is None or not block.strip():

@@ -7,8 +7,17 @@ from pyspark.sql import types as T
 CURRENT_VERSION = 4
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "string": T.StringType(), "bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(),
+    "binary": T.BinaryType(), "timestamp": T.TimestampType(), "array<string>": T.ArrayType(T.StringType()),
+    "array<float>": T.ArrayType(T.FloatType()), "map<string,string>": T.MapType(T.StringType(), T.StringType()),
+}
+
+
+def _schema(columns: str) -> T.StructType:
+    """Schema of ``name type, name type, …``, usable before a session exists."""
+    pairs = (c.split(" ") for c in columns.split(", "))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 TABLES: dict[str, T.StructType] = {

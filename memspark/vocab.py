@@ -118,6 +118,8 @@ SENSITIVE_WORDS = (
     r"(?iU)\b(password|passwd|secret|api[_\- ]?key|private[_\- ]?key|"
     r"ssn|social[_\- ]?security|credit[_\- ]?card)\b"
 )
+SENSITIVE_KEY_STEMS = ("sk-", "ghp_", "gho_", "ghs_", "xoxb-", "xoxp-", "AKIA")
+SENSITIVE_WORD_STEMS = ("passw", "secret", "api", "private", "ssn", "social", "credit")
 DIGIT_OR_NAME = r"(?U)\d|\b[A-Z][a-z]+"
 UUID7 = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
 
