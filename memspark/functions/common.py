@@ -13,6 +13,15 @@ def lookup(key: Column, table: dict, default=None) -> Column:
     return expr.otherwise(F.lit(default))
 
 
+def let(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` computed once.
+
+    An expression that a lambda takes from outside is computed again for every element; bound
+    as a lambda variable it is not.
+    """
+    return F.transform(F.array(value), fn)[0]
+
+
 def fail_when(bad: Column, message: Column | str, value: Column) -> Column:
     """``value``, or a task error carrying ``message`` on the rows where ``bad`` holds."""
     text = F.lit(message) if isinstance(message, str) else message

@@ -3,6 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from memspark.functions.common import let
+
 HASH_DIM = 32
 
 
@@ -31,10 +33,16 @@ def cosine(a: Column, b: Column) -> Column:
 
 def hash_vector(text: Column) -> Column:
     """Reproducible stand-in for an embedding: the 32 bytes of sha256, centred and normalised."""
-    digest = F.sha2(text, 256)
-    raw = F.transform(
-        F.sequence(F.lit(1), F.lit(HASH_DIM)),
-        lambda i: (F.conv(F.substr(digest, i * 2 - 1, F.lit(2)), 16, 10).cast("double") - 127.5) / 127.5,
-    )
-    norm = F.sqrt(_sum(F.transform(raw, lambda x: x * x)))
-    return F.when(norm == 0.0, raw).otherwise(F.transform(raw, lambda x: F.round(x / norm, 8)))
+    def raw(digest: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(1), F.lit(HASH_DIM)),
+            lambda i: (F.conv(F.substr(digest, i * 2 - 1, F.lit(2)), 16, 10).cast("double") - 127.5) / 127.5,
+        )
+
+    def scaled(v: Column) -> Column:
+        return let(
+            F.sqrt(_sum(F.transform(v, lambda x: x * x))),
+            lambda norm: F.when(norm == 0.0, v).otherwise(F.transform(v, lambda x: F.round(x / norm, 8))),
+        )
+
+    return let(F.sha2(text, 256), lambda digest: let(raw(digest), scaled))

@@ -80,7 +80,7 @@ def ego_edges(edges: DataFrame, nodes: DataFrame, hub_degree: int = HUB_DEGREE)
     backward = members.join(from_hub, F.col("node") == F.col("dst")).select("seed", "src", "dst", "weight").join(
         members.withColumnRenamed("node", "src"), ["seed", "src"], "left_semi"
     )
-    return forward.unionByName(backward)
+    return forward.unionByName(backward).select("seed", "src", "dst", "weight")
 
 
 def _pagerank(seed_of: np.ndarray, is_seed: np.ndarray, src, dst, w, n_seeds, damping, max_iter, tol) -> np.ndarray:

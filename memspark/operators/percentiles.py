@@ -9,7 +9,7 @@ ACCURACY = 10_000  # rank error of the bracketing sketch is at most 1 / ACCURACY
 
 
 def percentile_disc(df: DataFrame, value: str, p: float, by: tuple[str, ...] = (), name: str = "pct") -> DataFrame:
-    """Smallest value whose rank reaches ``ceil(p * n)``, per group; (by…, n, name).
+    """Smallest value whose rank reaches ``ceil(p * n)``, per group; (by…, n, name).  No rows, no result.
 
     A mergeable sketch brackets the wanted rank, equal values are counted before they are
     shuffled, and only the values inside the bracket (about ``4 n / ACCURACY``) are put in
@@ -57,7 +57,7 @@ def percentile_disc(df: DataFrame, value: str, p: float, by: tuple[str, ...] = (
     )
     return (
         inside.withColumn("_r", F.col("_below") + running).where(F.col("_r") >= F.col("_target"))
-        .groupBy(*by).agg(F.first("n").alias("n"), F.min("_v").alias(name))
+        .groupBy(*by).agg(F.first("n").alias("n"), F.min("_v").alias(name)).where(F.col("n").isNotNull())
     )
 
 
