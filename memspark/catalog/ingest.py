@@ -46,7 +46,7 @@ def _utterances(t):
     """The last line of every document as a short message next to the conversation turns."""
     d = t.table("documents").select(
         F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("episode_id"),
-        F.regexp_extract("text", r"([^\n]*)\z", 1).alias("body"), F.lit("utterance").alias("source_kind"),
+        F.substring_index("text", "\n", -1).alias("body"), F.lit("utterance").alias("source_kind"),
         F.lit(None).cast("string").alias("source_subtype"),
     )
     return t.episodes.select(*d.columns).unionByName(d)
@@ -55,7 +55,7 @@ def _utterances(t):
 _UTTERANCES = with_views("episodes") + r""",
 utterances AS (
   SELECT episode_id, body, source_kind, source_subtype FROM episodes
-  UNION ALL SELECT 'doc:' || CAST(doc_id AS VARCHAR), regexp_extract(text, '([^\n]*)$', 1), 'utterance', NULL FROM documents)"""
+  UNION ALL SELECT 'doc:' || CAST(doc_id AS VARCHAR), list_last(string_split(text, chr(10))), 'utterance', NULL FROM documents)"""
 
 
 @query("P10_sensitive", with_views("facts") + f"""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from memspark import vocab as v
 from memspark.functions.text import tokens
-from memspark.session import has_at_most
+from memspark.session import has_at_most, union_all
 
 VOCABULARY_LIMIT = 200_000  # distinct query terms that may be broadcast (about 10 MB)
 _DOC = ""  # marks the one row per document that carries its length; never a token
@@ -45,7 +45,7 @@ def postings(
         "fact_id", F.size("_t").alias("doc_len"), F.explode(F.array_append("_t", F.lit(_DOC))).alias("term")
     ).where(F.col("term").isNotNull())
     if vocabulary is not None:
-        wanted = vocabulary.select("term").unionByName(docs.sparkSession.range(1).select(F.lit(_DOC).alias("term")))
+        wanted = union_all(vocabulary.select("term"), docs.sparkSession.range(1).select(F.lit(_DOC).alias("term")))
         words = words.join(F.broadcast(wanted.distinct()), "term", "left_semi")
     return (
         words.repartition("fact_id")

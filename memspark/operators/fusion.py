@@ -9,15 +9,13 @@ from pyspark.sql import functions as F
 
 from memspark import vocab as v
 from memspark.functions.common import lookup
+from memspark.session import union_all
 
 _COLS = ("query_id", "fact_id", "score", "source", "rank")
 
 
 def stack(*lists: DataFrame) -> DataFrame:
-    out = lists[0].select(*_COLS)
-    for nxt in lists[1:]:
-        out = out.unionByName(nxt.select(*_COLS))
-    return out
+    return union_all(*[part.select(*_COLS) for part in lists])
 
 
 def candidates(hits: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark import vocab as v
-from memspark.session import broadcast_if
+from memspark.session import broadcast_if, union_all
 
 HUB_DEGREE = 4 * v.EGO_CAP  # above this a node's edges are reached from the other end
 HUB_LIMIT = 200_000  # hub ids that may be broadcast
@@ -61,11 +61,11 @@ def ego_nodes(edges: DataFrame, seeds: DataFrame, cap: int = v.EGO_CAP) -> DataF
         "seed", F.col("dst").alias("node"), (F.col("order") + cap).cast("long").alias("key")
     )
     reached = (
-        near.select("seed", "node", F.col("order").cast("long").alias("key")).unionByName(far)
+        union_all(near.select("seed", "node", F.col("order").cast("long").alias("key")), far)
         .repartition("seed").groupBy("seed", "node").agg(F.min("key").alias("key"))
         .withColumn("_n", F.row_number().over(per_seed.orderBy("key", "node"))).where(F.col("_n") <= room)
     )
-    return out.unionByName(reached.select("seed", "node", F.when(F.col("key") <= cap, 1).otherwise(2).alias("depth")))
+    return union_all(out, reached.select("seed", "node", F.when(F.col("key") <= cap, 1).otherwise(2).alias("depth")))
 
 
 def ego_edges(edges: DataFrame, nodes: DataFrame, hub_degree: int = HUB_DEGREE) -> DataFrame:
@@ -80,7 +80,7 @@ def ego_edges(edges: DataFrame, nodes: DataFrame, hub_degree: int = HUB_DEGREE)
     backward = members.join(from_hub, F.col("node") == F.col("dst")).select("seed", "src", "dst", "weight").join(
         members.withColumnRenamed("node", "src"), ["seed", "src"], "left_semi"
     )
-    return forward.unionByName(backward).select("seed", "src", "dst", "weight")
+    return union_all(forward, backward).select("seed", "src", "dst", "weight")
 
 
 def _pagerank(seed_of: np.ndarray, is_seed: np.ndarray, src, dst, w, n_seeds, damping, max_iter, tol) -> np.ndarray:
@@ -171,11 +171,12 @@ def connectedness(
         raise ValueError("damping, max_iter or tol out of range")
     nodes = ego_nodes(edges, seeds, cap)
     inner = ego_edges(edges, nodes)
-    rows = inner.select("seed", "src", "dst", F.col("weight").cast("double").alias("weight")).unionByName(
+    rows = union_all(
+        inner.select("seed", "src", "dst", F.col("weight").cast("double").alias("weight")),
         nodes.select(
             "seed", F.col("node").alias("src"), F.lit(None).cast("string").alias("dst"),
             F.lit(None).cast("double").alias("weight"),
-        )
+        ),
     )
 
     def per_task(batches):
@@ -241,7 +242,7 @@ def symmetric(edges: DataFrame) -> DataFrame:
     """Positive edges plus the missing reverse ones, which take the forward weight."""
     kept = edges.where(F.col("weight") > 0.0).select("src", "dst", "weight")
     swapped = kept.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    return kept.unionByName(swapped.join(kept, ["src", "dst"], "left_anti"))
+    return union_all(kept, swapped.join(kept, ["src", "dst"], "left_anti"))
 
 
 def weighted_out_degree(edges: DataFrame, digits: int = v.RANK_DIGITS) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from memspark import vocab as v
 from memspark.functions.text import sensitive
+from memspark.session import union_all
 
 TYPES = ("query", "info", "claim", "handoff")  # fixed values
 BOX = ("tenant_id", "recipient")
@@ -37,7 +38,7 @@ def capped(unread: DataFrame, cap: int = v.INBOX_CAP) -> DataFrame:
         unread.where(~is_query).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cap)
         .join(n_query, list(BOX), "left").where(F.col("_n") <= cap - F.coalesce("_q", F.lit(0))).drop("_n", "_q")
     )
-    return queries.unionByName(others)
+    return union_all(queries, others)
 
 
 def status(messages: DataFrame, kept: DataFrame, now: Column, days: int = v.INBOX_TTL_DAYS) -> DataFrame:

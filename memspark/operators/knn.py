@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 
 from memspark import vocab as v
 from memspark.functions.common import fail_when
-from memspark.session import has_at_most
 
 QUERY_BLOCK = 4096  # queries per block, 2 MiB at 64 dimensions
 VECTOR_CHUNK = 100_000  # vectors per grid cell
@@ -113,16 +112,16 @@ def nearest(
     schema = T.StructType([
         qs.schema["query_id"], vecs.schema["fact_id"], T.StructField("distance", T.DoubleType()),
     ])
-    if has_at_most(qs, query_block):
-        found = _screen_with_matrix(vecs, qs, k, dim, digits, schema)
+    batch = qs.limit(query_block + 1).toPandas()  # never more than one block comes to the driver
+    if len(batch) <= query_block:
+        found = _screen_with_matrix(vecs, batch, k, dim, digits, schema)
     else:
         found = _screen_on_grid(vecs, qs, k, dim, digits, schema, query_block, vector_chunk)
     return _ranked(found, k)
 
 
-def _screen_with_matrix(vecs, qs, k, dim, digits, schema) -> DataFrame:
-    """The query batch is known to be small here: it is read once and sent to every task."""
-    rows = qs.orderBy("query_id").toPandas()
+def _screen_with_matrix(vecs, rows: pd.DataFrame, k, dim, digits, schema) -> DataFrame:
+    """The whole query batch fits one block: it is sent to every task."""
     if rows.empty:
         return vecs.sparkSession.createDataFrame([], schema)
     matrix = np.array(rows["vec"].tolist(), dtype=np.float64).reshape(-1, dim)

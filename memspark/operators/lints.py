@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from memspark.functions.common import blank
 from memspark.operators.temporal import sane_interval
+from memspark.session import union_all
 
 
 def _finding(rows: DataFrame, lint: str, subject: str, detail: Column) -> DataFrame:
@@ -59,7 +60,7 @@ def run(lints: dict[str, Callable[[], DataFrame]]) -> DataFrame:
     out = None
     for make in lints.values():
         found = make()
-        out = found if out is None else out.unionByName(found)
+        out = found if out is None else union_all(out, found)
     return out
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from memspark import vocab as v
 from memspark.operators.percentiles import percentile_disc
+from memspark.session import union_all
 
 
 def hit_rate(answers: DataFrame, relevant: DataFrame, k: int, name: str = "recall_at_k") -> DataFrame:
@@ -104,7 +105,7 @@ def stratified_percentiles(
             block = part if block is None else block.join(part.drop("n"), list(cols))
         label = F.concat_ws("|", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in cols])
         block = block.select(F.lit("+".join(cols)).alias("strata"), label.alias("stratum"), "n", *points)
-        out = block if out is None else out.unionByName(block)
+        out = block if out is None else union_all(out, block)
     return out
 
 

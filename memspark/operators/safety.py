@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from memspark import vocab as v
 from memspark.functions.text import sensitive
 from memspark.functions.vectors import cosine
-from memspark.session import checkpointed
+from memspark.session import checkpointed, union_all
 
 
 def split_by_confidence(extracted: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -32,7 +32,7 @@ def regeneration_plan(changed: DataFrame, page_index: DataFrame, budget: int = v
     w = Window.partitionBy("tenant_id").orderBy("page_uri")
     now = touched.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= budget).select("tenant_id", "page_uri")
     later = touched.join(now, ["tenant_id", "page_uri"], "left_anti")
-    return now.withColumn("state", F.lit("regen")).unionByName(later.withColumn("state", F.lit("pending")))
+    return union_all(now.withColumn("state", F.lit("regen")), later.withColumn("state", F.lit("pending")))
 
 
 def components(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -59,7 +59,7 @@ def components(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
     leaves = edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
-    return roots.join(leaves.select("node"), "node", "left_anti").unionByName(leaves)
+    return union_all(roots.join(leaves.select("node"), "node", "left_anti"), leaves)
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.col("b").alias("u"), F.col("a").alias("w"))
     low = down.groupBy("u").agg(F.min("w").alias("m"))
     linked = down.join(low, "u").select(F.col("m").alias("a"), F.col("w").alias("b")).where(F.col("a") != F.col("b"))
-    return linked.unionByName(low.select(F.col("m").alias("a"), F.col("u").alias("b"))).distinct()
+    return union_all(linked, low.select(F.col("m").alias("a"), F.col("u").alias("b"))).distinct()
 
 
 def minority_guard(clusters: DataFrame, facts: DataFrame, now: Column, days: int = v.MINORITY_RETENTION_DAYS) -> DataFrame:

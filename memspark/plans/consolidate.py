@@ -16,6 +16,7 @@ from memspark.functions import scoring
 from memspark.functions.ids import iso_us, random_uuid7
 from memspark.operators import transitions
 from memspark.operators.outcomes import due, lock_free
+from memspark.session import union_all
 from memspark.sources import batches
 
 EXTRACTOR = "p4-c5-stub-v0"  # fixed value
@@ -99,7 +100,7 @@ def _phase_tables(c: Cycle, name: str) -> dict[str, DataFrame]:
     if name == "invalidate":
         flags = c.flags.select(*keys, "tier")
         made = batches.read(c.spark, c.root, "promotion_flags_new").select(*keys, "tier")
-        t = transitions.reconcile(c.facts, flags.unionByName(made), c.now)
+        t = transitions.reconcile(c.facts, union_all(flags, made), c.now)
         return {"promotion_flags_new": t.flags, "log": t.log}
     return {}
 

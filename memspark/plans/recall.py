@@ -13,6 +13,7 @@ from memspark.functions import ids
 from memspark.functions.common import blank, clamp01
 from memspark.functions.scoring import composed_score
 from memspark.operators import bm25, fusion, knn, temporal
+from memspark.session import has_at_most
 
 VERSIONS = ("p3-recall-v0", "p3-gap03-5a-v0")  # fixed values stamped on rows of this verb
 
@@ -69,9 +70,11 @@ def recall(
     asked = queries if k > 0 else queries.where(F.lit(False))
     hits = retrieve(pool, asked, vectors, dim=dim, graph_hits=graph_hits)
 
-    # candidate side is bounded by three lists per query; the facts are the big side
+    # at most three lists of FANOUT rows per query: for a batch of checked size the candidates
+    # are broadcast, so that the facts, the big side, are read but never shuffled
     wanted = fusion.candidates(hits)
-    meta = wanted.join(facts, "fact_id")
+    small = has_at_most(queries.select("query_id"), knn.QUERY_BLOCK)
+    meta = facts.join(F.broadcast(wanted) if small else wanted, "fact_id")
     alive = temporal.valid_at(meta, t_now)
     kept = fusion.keep_only(hits, alive.select("query_id", "fact_id"))
     fused = fusion.rrf(kept)

@@ -213,3 +213,16 @@ def test_replay_on_a_small_corpus(spark):
                               "query_id string, text string, relevant_fact_ids array<string>").withColumn("vec", hash_vector(F.col("text")))
     r = replay(facts, vecs, q, F.lit(T), 32, k=3).first()
     assert r.n_queries == 6 and r.n_hits == 6 and r.passed
+
+
+def test_union_then_group_is_whole(spark):
+    """A distinct over two lists that are both partitioned by query must not skip its shuffle wrongly."""
+    from memspark.session import union_all
+
+    spark.conf.set("spark.sql.unionOutputPartitioning", "true")
+    a = spark.range(4000).select((F.col("id") % 40).alias("q"), (F.col("id") % 97).alias("f")).repartition(8, "q")
+    b = spark.range(900).select((F.col("id") % 40).alias("q"), (F.col("id") % 31).alias("f")).repartition(8, "q")
+    got = union_all(a, b).distinct()
+    rows = got.collect()
+    assert len(rows) == len(set(rows)) == len(set(a.collect()) | set(b.collect()))
+    assert spark.conf.get("spark.sql.unionOutputPartitioning") == "false"
