@@ -70,16 +70,15 @@ def recall(
     asked = queries if k > 0 else queries.where(F.lit(False))
     hits = retrieve(pool, asked, vectors, dim=dim, graph_hits=graph_hits)
 
-    # at most three lists of FANOUT rows per query: for a batch of checked size the candidates
-    # are broadcast, so that the facts, the big side, are read but never shuffled
-    wanted = fusion.candidates(hits)
+    # one row per candidate with its rank in each list; at most three lists of FANOUT rows per
+    # query, so for a batch of checked size the candidates are broadcast and the facts, the big
+    # side, are read but never shuffled
+    wanted = hits.groupBy("query_id", "fact_id").agg(
+        *[F.min(F.when(F.col("source") == s, F.col("rank"))).alias(f"_{s}") for s in v.SOURCE_PRIORITY]
+    )
     small = has_at_most(queries.select("query_id"), knn.QUERY_BLOCK)
-    meta = facts.join(F.broadcast(wanted) if small else wanted, "fact_id")
-    alive = temporal.valid_at(meta, t_now)
-    kept = fusion.keep_only(hits, alive.select("query_id", "fact_id"))
-    fused = fusion.rrf(kept)
-    scored = _score(fused, alive, t_now, connectedness)
-    cut = fusion.top_k(scored, k)
+    alive = temporal.valid_at(facts.join(F.broadcast(wanted) if small else wanted, "fact_id"), t_now)
+    cut = fusion.top_k(_score(_fuse(alive), t_now, connectedness), k)
 
     filters = (
         queries.select("query_id")
@@ -99,19 +98,29 @@ def recall(
     return Recalled(cut.where(~blank(F.col("episode_id"))), filters)
 
 
-def _score(fused: DataFrame, alive: DataFrame, t_now: Column, connectedness: DataFrame | None) -> DataFrame:
-    top = F.max("rrf").over(Window.partitionBy("query_id"))
-    proxy = F.when(top > 0, F.col("rrf") / top).otherwise(F.lit(0.0))
-    rows = fused.drop("source", "rank").withColumn("connectedness_value", clamp01(proxy))
-    if connectedness is not None:
-        rows = rows.drop("connectedness_value").join(
+def _fuse(alive: DataFrame) -> DataFrame:
+    """Close the gaps of every list and add up the reciprocal ranks, all in one shuffle by query."""
+    total = None
+    for s in v.SOURCE_PRIORITY:
+        closed_up = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col(f"_{s}").asc_nulls_last()))
+        part = F.when(F.col(f"_{s}").isNotNull(), F.lit(1.0) / (F.lit(v.RRF_K) + closed_up)).otherwise(F.lit(0.0))
+        total = part if total is None else total + part
+    return alive.withColumn("rrf", total).drop(*[f"_{s}" for s in v.SOURCE_PRIORITY])
+
+
+def _score(rows: DataFrame, t_now: Column, connectedness: DataFrame | None) -> DataFrame:
+    if connectedness is None:
+        top = F.max("rrf").over(Window.partitionBy("query_id"))
+        rows = rows.withColumn("connectedness_value", clamp01(F.when(top > 0, F.col("rrf") / top).otherwise(F.lit(0.0))))
+    else:
+        rows = rows.join(
             connectedness.select("fact_id", F.col("connectedness").alias("connectedness_value")), "fact_id", "left"
         ).fillna(0.0, ["connectedness_value"])
     zero = F.lit(0.0)
     score = composed_score(
         F.col("kind"), t_now, F.col("valid_from"), F.col("connectedness_value"), zero, F.lit(0), zero, F.lit(False)
     )
-    return rows.join(alive, ["query_id", "fact_id"]).withColumn("score", F.round(score, v.RANK_DIGITS))
+    return rows.withColumn("score", F.round(score, v.RANK_DIGITS))
 
 
 def recall_ids(queries: DataFrame, ts: Column, k: int, scope_json: str = "{}") -> DataFrame:
