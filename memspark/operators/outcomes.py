@@ -13,13 +13,25 @@ def join_outcomes(recalls: DataFrame, outcomes: DataFrame, within_seconds: int =
 
     ``recalls(recall_id, ts, …)``, ``outcomes(recall_id, outcome, ts)``.
     """
-    o = outcomes.select(F.col("recall_id").alias("_id"), "outcome", F.col("ts").alias("_ts"))
+    span = within_seconds * 1_000_000
+
+    def slot(ts):
+        return F.floor(F.unix_micros(ts) / F.lit(span))
+
+    # both sides also meet on a time slot of the window's length, so that a busy id does not
+    # pair all of its recalls with all of its outcomes; an outcome serves its own slot and the
+    # one before, which is where its recall must lie
+    o = outcomes.select(
+        F.col("recall_id").alias("_id"), "outcome", F.col("ts").alias("_ts"),
+        F.explode(F.array(slot("ts"), slot("ts") - 1)).alias("_slot_o"),
+    )
     near = (
-        (F.col("recall_id") == F.col("_id")) & (F.col("_ts") >= F.col("ts"))
-        & (F.col("_ts") <= F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(within_seconds)))
+        (F.col("recall_id") == F.col("_id")) & (F.col("_slot") == F.col("_slot_o")) & (F.col("_ts") >= F.col("ts"))
+        & (F.unix_micros("_ts") <= F.unix_micros("ts") + F.lit(span))
     )
-    rows = recalls.join(o, near, "left").withColumn("outcome", F.coalesce("outcome", F.lit("no_op")))
-    return rows.withColumn("weight", event_weight(F.col("outcome"))).drop("_id", "_ts")
+    rows = recalls.withColumn("_slot", slot("ts")).join(o, near, "left").withColumn("outcome", F.coalesce("outcome", F.lit("no_op")))
+    rows = rows.drop("_slot", "_slot_o", "_id", "_ts")
+    return rows.withColumn("weight", event_weight(F.col("outcome")))
 
 
 def repeat_recalls(ledger: DataFrame, since: Column, until: Column) -> DataFrame:
