@@ -651,7 +651,10 @@ def stream_extract(t):
     return got.select("episode_id", F.size("embedding").cast("bigint").alias("dim"))
 
 
-@query("R4_stream_conflicts")
+@query("R4_stream_conflicts", """WITH r AS (SELECT CASE WHEN conv_id % 3 = 0 THEN 'c' || CAST(conv_id AS VARCHAR)
+    ELSE CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) END AS key, sha256(text) AS h, conv_id * 3600 + turn * 60 AS t, turn FROM conversations),
+f AS (SELECT h, first_value(h) OVER w AS fh, row_number() OVER w AS i FROM r WINDOW w AS (PARTITION BY key ORDER BY t, turn))
+SELECT CASE WHEN i = 1 THEN 'fresh' WHEN h = fh THEN 'replay' ELSE 'conflict' END AS outcome, count(*) AS n FROM f GROUP BY 1""")
 def stream_conflicts(t):
     """Write requests as a stream: fresh, replayed and conflicting keys with a one-day memory."""
     raw = t.spark.readStream.schema(t.table("conversations").schema).parquet(f"{t.dir}/conversations*.parquet")
@@ -664,7 +667,15 @@ def stream_conflicts(t):
     return out.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-@query("C01_cycle")
+_CYCLE_SCORE = SQL_SCORE.replace("coalesce(c.n, 0) AS n", "0 AS n").replace("least(1.0, n_chars / 8009.0)::DOUBLE AS grav", "0.0 AS grav")
+
+
+@query("C01_cycle", with_views("facts", "ledger", "flags") + ",\n" + _CYCLE_SCORE + """
+SELECT tier, reason, count(*) AS n FROM (
+  SELECT 'promoted' AS tier, 'score_above_theta_promote' AS reason FROM scored WHERE score >= 0.7 AND valid_to IS NULL
+  UNION ALL SELECT 'demoted', 'score_below_theta_demote' FROM scored WHERE score < 0.2 AND valid_to IS NULL
+  UNION ALL SELECT 'backfilled', 's1_state_diff' FROM facts f ANTI JOIN flags g ON f.fact_id = g.fact_id AND f.tenant_id = g.tenant_id
+    WHERE f.valid_to IS NOT NULL) GROUP BY ALL""")
 def cycle(t):
     """One consolidation cycle over all facts; the flags its committed phases appended."""
     place = f"{shared_dir(t.spark)}/cycles/{uuid.uuid4().hex}"

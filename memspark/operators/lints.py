@@ -37,8 +37,9 @@ def provenance_resolvable(
     path = F.when(own & (rel != ""), F.concat(F.substring(uri, 1, 3), F.lit("/"), rel))
     gone = rows.where(own).withColumn("path", path).join(files.select("tenant_id", "path"), ["tenant_id", "path"], "left_anti")
     foreign = rows.where(~own).join(accepting_tenants.select("tenant_id"), "tenant_id", "left_anti")
-    return _finding(gone, "provenance-resolvable", "episode_id", F.lit("missing page")).unionByName(
-        _finding(foreign, "provenance-resolvable", "episode_id", F.lit("scheme not accepted"))
+    return union_all(
+        _finding(gone, "provenance-resolvable", "episode_id", F.lit("missing page")),
+        _finding(foreign, "provenance-resolvable", "episode_id", F.lit("scheme not accepted")),
     )
 
 
