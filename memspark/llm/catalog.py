@@ -69,3 +69,17 @@ def op10(spark, sf_dir):
     from memspark.llm.line_dedup import drop_repeated_lines
 
     return drop_repeated_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op1_near_dedup")
+def op1(spark, sf_dir):
+    from memspark.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op9_vector_dedup")
+def op9(spark, sf_dir):
+    from memspark.llm.vector_dedup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
