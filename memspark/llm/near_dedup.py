@@ -11,7 +11,7 @@ Steps, each a shuffle on an evenly spread key:
    shingle of its own with private ones, which cannot match anything anyway.
 5. Samples are grouped to bands; in each bucket of texts all members are compared with one of them,
    and what the found links leave in different components is compared as well, so no candidate pair
-   is skipped and a bucket of copies costs one comparison per member.
+   is skipped and a bucket of copies costs one comparison per member.  Large buckets meet in blocks.
 6. Every candidate pair is verified by its exact weighted Jaccard similarity.
 """
 
@@ -177,7 +177,7 @@ def consistent_samples(keys: np.ndarray, weights: np.ndarray, starts: np.ndarray
     size = np.diff(np.append(starts, len(keys)))
     log_w = np.log(weights.astype(np.float64))
     for k in range(samples):
-        u = bpe.mixed(keys + np.uint64(k + 1) * _STEP)
+        u = bpe.mixed(keys + np.uint64((k + 1) * int(_STEP) & 0xFFFFFFFFFFFFFFFF))
         v = bpe.mixed(u ^ _STEP)
         low = np.uint64(0xFFFFFFFF)
         r = -np.log(((u >> np.uint64(32)) + 0.5) * ((u & low) + 0.5) * 2.0**-64)
@@ -215,7 +215,7 @@ def _sampler(texts: int, spread: float, threshold: float, bands: int, rows: int)
         able = (shared >= threshold * total * (1 - 1e-5)) & (shared > 0)
         chosen = np.flatnonzero(able)
         if not len(chosen):
-            return pa.table({"digest": pa.array([], pa.binary()), "total": pa.array([], pa.float64()), "bands": pa.array([], pa.list_(pa.int64())), "keys": pa.array([], pa.binary()), "weights": pa.array([], pa.binary())})
+            return pa.table({"digest": pa.array([], pa.binary()), "total": pa.array([], pa.float64()), "ratio": pa.array([], pa.float64()), "bands": pa.array([], pa.list_(pa.int64())), "keys": pa.array([], pa.binary()), "weights": pa.array([], pa.binary())})
         take = able[doc]
         doc, key, weight = doc[take], key[take], weight[take]
         # Shingles met once and nowhere else: private keys with the same weight.
@@ -239,7 +239,7 @@ def _sampler(texts: int, spread: float, threshold: float, bands: int, rows: int)
         cut = np.append(np.searchsorted(doc, chosen), len(doc))
         return pa.table(
             {
-                "digest": pa.array([digests[i] for i in chosen], pa.binary()), "total": pa.array(total[chosen]),
+                "digest": pa.array([digests[i] for i in chosen], pa.binary()), "total": pa.array(total[chosen]), "ratio": pa.array(shared[chosen] / total[chosen]),
                 "bands": pa.array(list(band.view(np.int64)), pa.list_(pa.int64())),
                 "keys": pa.array([key[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()),
                 "weights": pa.array([weight[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()),
@@ -277,44 +277,82 @@ def digest_of(text: str | Column = "text") -> Column:
 
 
 def candidates(docs: DataFrame, text: str, threshold: float, width: int, bands: int, rows: int, spread: float) -> DataFrame:
-    """Steps 1 to 4: ``digest, total, bands, keys, weights`` of the texts that can have a partner."""
+    """Steps 1 to 4: ``digest, total, ratio, bands, keys, weights`` of the texts that can have a partner."""
     size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(text))).first()
     texts, ranges = size[0], max(1, -(-(size[1] or 0) // _CHUNK))
     distinct = docs.select(digest_of(text).alias("digest"), text_or_empty(text).alias("text")).groupBy("digest").agg(F.first("text").alias("text"))
     dealt = distinct.sortWithinPartitions("digest").mapInArrow(_dealer(ranges, width), "chunk binary, range long, digests binary, counts binary, hashes binary")
     weighed = dealt.groupBy("range").applyInArrow(_weigher(texts, spread), "chunk binary, range long, digests binary, own binary, counts binary, hashes binary, weights binary")
     return weighed.groupBy("chunk").applyInArrow(
-        _sampler(texts, spread, threshold, bands, rows), "digest binary, total double, bands array<long>, keys binary, weights binary"
+        _sampler(texts, spread, threshold, bands, rows), "digest binary, total double, ratio double, bands array<long>, keys binary, weights binary"
     )
 
 
-def links(able: DataFrame, threshold: float) -> DataFrame:
-    """Verified pairs (a, b) that connect the same texts as all similar candidate pairs do."""
-    members = checkpointed(able.select("digest", F.posexplode("bands").alias("band", "value")))
-    # A member chosen by a hash that differs from band to band leads each bucket.
-    order = F.struct(F.xxhash64("digest", "band").alias("o"), F.col("digest").alias("leader"))
+def _across(threshold: float):
+    """Links between the components of large buckets; one for each pair of components of a comparison."""
+
+    def compare(group: pa.Table) -> pa.Table:
+        column = {c: group.column(c).to_pylist() for c in group.column_names}
+        where = {}
+        for r, at in enumerate(zip(column["band"], column["value"], column["i"], column["j"], strict=True)):
+            where.setdefault(at, []).append(r)
+        out = {}
+        for rows in where.values():
+            keys = [np.frombuffer(column["keys"][r], np.uint64) for r in rows]
+            weights = [np.frombuffer(column["weights"][r], np.float32) for r in rows]
+            total = np.array([column["total"][r] for r in rows])
+            names, part = np.unique(np.array([column["component"][r].hex() for r in rows]), return_inverse=True)
+            if len(names) < 2:
+                continue
+            size = np.array([len(k) for k in keys])
+            vocabulary, feature = np.unique(np.concatenate(keys), return_inverse=True)
+            matrix = np.zeros((len(rows), len(vocabulary)), np.float32)
+            matrix[np.repeat(np.arange(len(rows)), size), feature] = np.concatenate(weights)
+            small = np.flatnonzero(part != np.bincount(part).argmax())
+            for x in small:
+                held = np.flatnonzero(matrix[x])
+                both = np.minimum(matrix[:, held], matrix[x, held]).sum(1, dtype=np.float64)
+                near = (both >= threshold * (total + total[x] - both) * (1 - 1e-6)) & (part != part[x])
+                for y in np.flatnonzero(near):
+                    out.setdefault(tuple(sorted((names[part[x]], names[part[y]]))), (column["digest"][rows[x]], column["digest"][rows[y]]))
+        pairs = [sorted(p) for p in out.values()]
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
+
+    return compare
+
+
+def links(able: DataFrame, threshold: float, large: int = 64, block: int = 512) -> DataFrame:
+    """Verified pairs (a, b) that connect the same texts as all similar candidate pairs do.
+
+    Buckets up to ``large`` members give their remaining pairs, bigger ones meet in blocks.
+    """
+    members = checkpointed(able.select("digest", "ratio", F.posexplode("bands").alias("band", "value")))
+    # The member with the largest part of common shingles leads: a text others were copied from has no own ones.
+    order = F.struct(-F.col("ratio"), F.col("digest").alias("leader"))
     leaders = members.groupBy("band", "value").agg(F.min(order).alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    leaders = leaders.select("band", "value", F.col("m.leader").alias("leader"))
+    leaders = leaders.select("band", "value", F.col("m.leader").alias("leader"), "n")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     star = members.join(leaders, ["band", "value"]).filter("digest <> leader").select(*pair("digest", "leader")).distinct()
     first = checkpointed(_verified(star, able, threshold))
     # Buckets that the links found so far leave in several components: every pair across them.
     part = components(first)
-    placed = members.join(leaders.select("band", "value"), ["band", "value"], "left_semi").join(part.withColumnRenamed("node", "digest"), "digest", "left")
-    placed = placed.select("band", "value", "digest", F.coalesce("component", "digest").alias("component"))
-    parts = placed.select("band", "value", "component").distinct()
-    mixed = parts.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "value")
-    parts = parts.join(mixed, ["band", "value"])
-    other = parts.withColumnRenamed("component", "other")
-    across = parts.join(other, ["band", "value"]).filter("component < other")
-    one = placed.join(across, ["band", "value", "component"])
-    two = placed.select("band", "value", F.col("component").alias("other"), F.col("digest").alias("partner"))
-    rest = one.join(two, ["band", "value", "other"]).select(*pair("digest", "partner")).distinct().join(star, ["a", "b"], "left_anti")
-    return first.union(_verified(rest, able, threshold))
+    placed = members.join(leaders.select("band", "value", "n"), ["band", "value"]).join(part.withColumnRenamed("node", "digest"), "digest", "left")
+    placed = placed.select("band", "value", "n", "digest", F.coalesce("component", "digest").alias("component"))
+    mixed = placed.groupBy("band", "value").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("band", "value")
+    placed = checkpointed(placed.join(mixed, ["band", "value"], "left_semi"))
+    some = placed.filter(F.col("n") <= large).drop("n")
+    other = some.select("band", "value", F.col("digest").alias("partner"), F.col("component").alias("other"))
+    rest = some.join(other, ["band", "value"]).filter("component < other").select(*pair("digest", "partner")).distinct().join(star, ["a", "b"], "left_anti")
+    many = placed.filter(F.col("n") > large).withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
+    many = many.withColumn("place", F.pmod(F.xxhash64("digest"), "parts").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    many = many.select("band", "value", "digest", "component", F.least("place", "with").alias("i"), F.greatest("place", "with").alias("j"))
+    many = many.join(able.select("digest", "keys", "weights", "total"), "digest")
+    blocks = many.groupBy("band", "value", "i", "j").applyInArrow(_across(threshold), "a binary, b binary")
+    return first.union(_verified(rest, able, threshold)).union(blocks)
 
 
 def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, width: int = 5, bands: int = 16, rows: int = 4, spread: float = 0.5
+    docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, width: int = 5, bands: int = 16, rows: int = 4, spread: float = 0.25
 ) -> DataFrame:
     """``key, component_id, group_size, kept`` of every row.
 
