@@ -83,3 +83,28 @@ def op9(spark, sf_dir):
     from memspark.llm.vector_dedup import near_vectors
 
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def toxicity_scores(docs, sf_dir):
+    from memspark.llm.toxicity import learn, toxicity
+
+    spark = docs.sparkSession
+    model = learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity(docs, model)
+
+
+@query("op2_toxicity")
+def op2(spark, sf_dir):
+    from memspark.llm.toxicity import fold
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity_scores(docs, sf_dir).select("doc_id", fold().alias("held_out"), "score", "predicted")
+
+
+@query("op8_warc")
+def op8(spark, sf_dir):
+    from memspark.llm.warc import archive
+
+    found = archive(table(spark, sf_dir, "pages"))
+    number = lambda c: F.col(c).cast("long").alias(c)
+    return found.select(number("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to"))
