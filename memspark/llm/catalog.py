@@ -108,3 +108,10 @@ def op8(spark, sf_dir):
     found = archive(table(spark, sf_dir, "pages"))
     number = lambda c: F.col(c).cast("long").alias(c)
     return found.select(number("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to"))
+
+
+@query("op3_best_fit_packing")
+def op3(spark, sf_dir):
+    from memspark.llm.packing import packed_documents
+
+    return packed_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("byte_bpe_50k.json"))
