@@ -115,3 +115,11 @@ def op3(spark, sf_dir):
     from memspark.llm.packing import packed_documents
 
     return packed_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("byte_bpe_50k.json"))
+
+
+@query("op7_training_order")
+def op7(spark, sf_dir):
+    from memspark.llm.token_shards import training_order
+
+    read = training_order(table(spark, sf_dir, "documents").select("text"), vocabulary("byte_bpe_50k.json"))
+    return read.select("slot", "sequence_id", "shard", "n_tokens", F.crc32("ids").alias("ids_crc32"))
