@@ -18,8 +18,6 @@ OTHER, LETTER, NUMBER, SPACE = range(4)
 NONE = np.int64(1) << 40  # rank of a pair that does not merge
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
-#: A place where a text can be cut without changing its pre-tokens: one space between two words.
-_CUT = regex.compile(r"(?<=\S) (?=\S)")
 
 
 @lru_cache(1)
@@ -218,6 +216,8 @@ class Merges:
 class Encoder:
     """Encodes batches of texts; remembers the pre-tokens met so far, up to ``remember`` of them."""
 
+    cut = regex.compile(r"(?<=\S) (?=\S)")  # where a text can be cut without changing its pre-tokens
+
     def __init__(self, path: str, remember: int = 1_500_000):
         self.merges = Merges(path)
         self.remember = remember
@@ -225,6 +225,13 @@ class Encoder:
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(specials, key=len, reverse=True))) if specials else None
         self._forget()
 
+    def borders(self, codes: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
+        return border_flags(codes, text_starts)
+
+    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different pre-tokens, concatenated, and their number for each."""
+        return self.merges.merge([w.encode() for w in words])
+
     def _forget(self) -> None:
         self.known = Index()
         self.count = np.empty(0, np.int64)
@@ -237,7 +244,7 @@ class Encoder:
 
         def plain(i: int, s: str) -> None:
             at = 0
-            while len(s) - at > limit and (m := _CUT.search(s, at + limit)):
+            while len(s) - at > limit and (m := self.cut.search(s, at + limit)):
                 parts.append(s[at : m.start()])
                 owner.append(i)
                 special.append(-1)
@@ -272,7 +279,7 @@ class Encoder:
             codes = code_points(joined)
             lengths = np.array([len(p) for p in parts[lo:hi]], np.int64)
             firsts = np.cumsum(lengths) - lengths
-            head = border_flags(codes, firsts)
+            head = self.borders(codes, firsts)
             fixed = np.array(special[lo:hi], np.int64)
             for k in np.flatnonzero(fixed >= 0):
                 head[firsts[k] + 1 : firsts[k] + lengths[k]] = False
@@ -299,7 +306,7 @@ class Encoder:
             marks = new[fixed[new] >= 0]
             ids, counts = np.empty(0, np.uint32), np.empty(0, np.int64)
             if len(plain):
-                ids, counts = self.merges.merge([joined[a:b].encode() for a, b in zip(starts[plain].tolist(), ends[plain].tolist(), strict=True)])
+                ids, counts = self.merge([joined[a:b] for a, b in zip(starts[plain].tolist(), ends[plain].tolist(), strict=True)])
             ids = np.append(ids, fixed[marks].astype(np.uint32))
             counts = np.append(counts, np.ones(len(marks), np.int64))
             self.offset = np.append(self.offset, len(self.ids) + np.cumsum(counts) - counts)

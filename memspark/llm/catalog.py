@@ -123,3 +123,15 @@ def op7(spark, sf_dir):
 
     read = training_order(table(spark, sf_dir, "documents").select("text"), vocabulary("byte_bpe_50k.json"))
     return read.select("slot", "sequence_id", "shard", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op4_pieces")
+def op4(spark, sf_dir):
+    from memspark.llm import pieces
+
+    model = vocabulary("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    read = pieces.decode(pieces.encode(docs, model), model, text="decoded")
+    return read.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), pieces.checksum().alias("ids_crc32"), F.coalesce(F.col("decoded") == F.coalesce("text", F.lit("")), F.lit(False)).alias("round_trip")
+    )
