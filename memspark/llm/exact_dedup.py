@@ -48,7 +48,7 @@ def identities(docs: DataFrame, key: str = "doc_id", text: str = "text", block:
     return done.withColumnRenamed("doc", key)
 
 
-def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = 4096) -> DataFrame:
+def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = 4096, with_row: bool = False) -> DataFrame:
     """``key, keep_id, group_size, kept, text_sha256`` of every row.
 
     Texts are compared unchanged, null as empty.  Of equal texts the row with the largest key stays
@@ -58,10 +58,12 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", b
     Equal blocks are merged in the map tasks before they are numbered, groups are counted the same
     way, and both joins back to the rows can be split by adaptive execution, so a block or text that
     makes up a third of all rows does not end in one task.  Every round is a reliable checkpoint.
+    ``with_row`` adds ``row``, what ``monotonically_increasing_id`` gives over ``docs``.
     """
     found = identities(docs, key, text, block)
     best = F.max(F.struct(F.col(key), (-F.col("row")).alias("back")))
     groups = found.groupBy("blocks", "name").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-    return found.join(groups, ["blocks", "name"]).select(
+    out = found.join(groups, ["blocks", "name"]).select(
         key, F.col(f"best.{key}").alias("keep_id"), "group_size", (F.col("row") == -F.col("best.back")).alias("kept"), F.col("sha").alias("text_sha256"), "row"
-    ).drop("row")
+    )
+    return out if with_row else out.drop("row")

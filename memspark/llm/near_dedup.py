@@ -276,11 +276,13 @@ def digest_of(text: str | Column = "text") -> Column:
     return F.substring(F.unhex(F.sha2(text_or_empty(text), 256)), 1, 16)
 
 
-def candidates(docs: DataFrame, text: str, threshold: float, width: int, bands: int, rows: int, spread: float) -> DataFrame:
+def candidates(docs: DataFrame, text: str, threshold: float, width: int, bands: int, rows: int, spread: float, different: bool = False) -> DataFrame:
     """Steps 1 to 4: ``digest, total, ratio, bands, keys, weights`` of the texts that can have a partner."""
     size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(text))).first()
     texts, ranges = size[0], max(1, -(-(size[1] or 0) // _CHUNK))
-    distinct = docs.select(digest_of(text).alias("digest"), text_or_empty(text).alias("text")).groupBy("digest").agg(F.first("text").alias("text"))
+    distinct = docs.select(digest_of(text).alias("digest"), text_or_empty(text).alias("text"))
+    if not different:
+        distinct = distinct.groupBy("digest").agg(F.first("text").alias("text"))
     dealt = distinct.sortWithinPartitions("digest").mapInArrow(_dealer(ranges, width), "chunk binary, range long, digests binary, counts binary, hashes binary")
     weighed = dealt.groupBy("range").applyInArrow(_weigher(texts, spread), "chunk binary, range long, digests binary, own binary, counts binary, hashes binary, weights binary")
     return weighed.groupBy("chunk").applyInArrow(
@@ -352,7 +354,8 @@ def links(able: DataFrame, threshold: float, large: int = 64, block: int = 512)
 
 
 def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, width: int = 5, bands: int = 16, rows: int = 4, spread: float = 0.25
+    docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, width: int = 5, bands: int = 16, rows: int = 4, spread: float = 0.25,
+    different: bool = False, with_row: bool = False,
 ) -> DataFrame:
     """``key, component_id, group_size, kept`` of every row.
 
@@ -364,13 +367,17 @@ def near_duplicates(
     A null text counts as empty; texts without words are linked with equal texts only.  Null keys are
     larger than all others; a group of null keys only has a null ``component_id``.  Of repeated rows
     with one key and text one is kept.  Other columns are ignored.
+
+    ``different`` tells that no two texts are equal, which saves the shuffle of step 1; ``with_row`` adds
+    ``row``, what ``monotonically_increasing_id`` gives over ``docs``.
     """
-    able = checkpointed(candidates(docs, text, threshold, width, bands, rows, spread))
+    able = checkpointed(candidates(docs, text, threshold, width, bands, rows, spread, different))
     part = components(links(able, threshold)).withColumnRenamed("node", "digest")
     rows_ = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), digest_of(text).alias("digest"))
     rows_ = rows_.join(part, "digest", "left").select("row", "key", F.coalesce("component", "digest").alias("class"))
     best = F.min(F.struct(F.col("key").isNull().alias("unknown"), "key", "row"))
     groups = rows_.groupBy("class").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-    return rows_.join(groups, "class").select(
-        F.col("key").alias(key), F.col("best.key").alias("component_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept")
+    out = rows_.join(groups, "class").select(
+        F.col("key").alias(key), F.col("best.key").alias("component_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "row"
     )
+    return out if with_row else out.drop("row")

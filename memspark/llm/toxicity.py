@@ -15,7 +15,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memspark.llm.common import slices, text_or_empty
+from memspark.llm.common import like, slices, text_or_empty
 
 WINDOW, OVERLAP, LEVEL = 64, 16, 9
 ORDINARY_BYTES, TOXIC_BYTES = 16384, 1024
@@ -182,28 +182,36 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return fit([r.text for r in rows if r.y == 1][:per_class], [r.text for r in rows if r.y == 0][:per_class], odds)
 
 
-def toxicity(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _scores(batch: pa.RecordBatch, model: Model, column: str) -> np.ndarray:
+    parts = slices([batch.select([column])], column, 4 << 20)
+    return np.concatenate([np.empty(0), *(model.score(p.column(column).to_pylist()) for p in parts)])
+
+
+def toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All columns of ``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on).
 
     A null or empty text is scored as a window without matter.  No shuffle; repeated rows are scored
-    alike.  The names ``score`` and ``predicted`` are given to the new columns if ``docs`` has them.
+    alike.  Columns of ``docs`` named ``score`` or ``predicted`` are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    kept = docs.drop("score", "predicted")
+    names = kept.columns
 
-    def score(batches):
+    def run(batches):
         for batch in batches:
-            for part in slices([batch.select(["body"])], "body", 4 << 20):
-                p = shared.value.score(part.column("body").to_pylist())
-                yield p
+            p = _scores(batch, shared.value, "__body")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
+
+    return kept.withColumn("__body", text_or_empty(text)).mapInArrow(run, like(kept, "score double", "predicted int"))
 
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
+
+def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns unchanged, whose score is below 0.5."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
-            p = np.concatenate([np.empty(0), *score([batch])])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
-
-    from memspark.llm.common import like
+            good = _scores(batch, shared.value, "__body") < 0.5
+            yield batch.drop_columns(["__body"]).filter(pa.array(good, pa.bool_()))
 
-    kept = docs.select(*names)
-    return kept.withColumn("body", text_or_empty(text)).mapInArrow(run, like(kept, "score double", "predicted int"))
+    return docs.withColumn("__body", text_or_empty(text)).mapInArrow(run, docs.schema)
