@@ -88,7 +88,7 @@ def _dealer(ranges: int, width: int):
             order = np.argsort(of.astype(np.uint16) if ranges <= 1 << 16 else of, kind="stable")
             h, owner, of = h[order].astype(np.uint32), owner[order], of[order].astype(np.int64)
             used, lo = np.unique(of, return_index=True)
-            hi = np.append(lo[1:], len(of))
+            hi = np.append(lo, len(of))[1:]
             rows = [(int(r), np.bincount(owner[a:b], minlength=len(texts)), h[a:b]) for r, a, b in zip(used, lo, hi, strict=True)]
             if not len(used) or used[0]:
                 rows.insert(0, (0, np.zeros(len(texts), np.int64), h[:0]))
