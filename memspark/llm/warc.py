@@ -169,6 +169,8 @@ def read_archive(spark: SparkSession, folder: str, manifest: DataFrame) -> DataF
                         rows, size = [], 0
                 yield _rows(rows)
 
+    if manifest.isEmpty():
+        return spark.createDataFrame([], schema)
     files = spark.read.format("binaryFile").load(folder).withColumn("file", F.element_at(F.split("path", "/"), -1))
     return files.join(manifest.select("file"), "file", "left_semi").select("content").mapInArrow(parse, schema)
 
