@@ -87,11 +87,21 @@ def log_replay(t):
 def event_sink(t):
     """Valid phase envelopes after a trip through the partitioned JSON sink."""
     place = _place(t, "events")
-    events.write_events(envelopes(t), place)
+    events.write_events(envelopes(t), place, rejects=_place(t, "rejects"))
     got = t.spark.read.text(place).where(F.get_json_object("value", "$.event_type") == "consolidate_phase")
     return got.agg(F.count("*").alias("n"))
 
 
+@query("S22_rejects", """SELECT count(*) AS n FROM events WHERE (event_id % 47 = 0 OR event_id % 53 = 0 OR event_id % 59 = 0 OR event_id % 43 = 0)
+  AND event_type = 'click'""")
+def event_rejects(t):
+    """Phase envelopes the sink turned away, from its reject table."""
+    place = _place(t, "rejects")
+    events.write_events(envelopes(t), _place(t, "events"), rejects=place)
+    got = t.spark.read.parquet(place).where(F.get_json_object("envelope", "$.phase_name").isNotNull() | F.col("envelope").contains("phase"))
+    return got.agg(F.count("*").alias("n"))
+
+
 @query("S24_preference_source", with_views("pages_v") + " SELECT tenant_id, kind, count(*) AS n FROM pages_v GROUP BY ALL")
 def preference_source(t):
     return preferences.preference_pages(t.pages).groupBy("tenant_id", "kind").agg(F.count("*").alias("n"))

@@ -43,10 +43,10 @@ _CLASSIFY = f"""CASE WHEN {_sensitive('body')} THEN 'escalate'
 
 
 def _utterances(t):
-    """The last line of every document as a short message next to the conversation turns."""
+    """Every whole document as a message next to the conversation turns."""
     d = t.table("documents").select(
         F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("episode_id"),
-        F.substring_index("text", "\n", -1).alias("body"), F.lit("utterance").alias("source_kind"),
+        F.col("text").alias("body"), F.lit("utterance").alias("source_kind"),
         F.lit(None).cast("string").alias("source_subtype"),
     )
     return t.episodes.select(*d.columns).unionByName(d)
@@ -55,7 +55,7 @@ def _utterances(t):
 _UTTERANCES = with_views("episodes") + r""",
 utterances AS (
   SELECT episode_id, body, source_kind, source_subtype FROM episodes
-  UNION ALL SELECT 'doc:' || CAST(doc_id AS VARCHAR), list_last(string_split(text, chr(10))), 'utterance', NULL FROM documents)"""
+  UNION ALL SELECT 'doc:' || CAST(doc_id AS VARCHAR), text, 'utterance', NULL FROM documents)"""
 
 
 @query("P10_sensitive", with_views("facts") + f"""
@@ -84,9 +84,10 @@ def retention(t):
 
 
 def remember_requests(t):
-    """Conversation turns as write requests; every third conversation sends its turns under one key."""
+    """Conversation turns as write requests; every third conversation sends its turns under one key, which
+    conversations of other tenants use as well."""
     e = t.episodes
-    key_seed = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("c"), F.col("conv_id").cast("string"))).otherwise(F.col("episode_id"))
+    key_seed = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("c"), F.floor(F.col("conv_id") / 10).cast("string"))).otherwise(F.col("episode_id"))
     key = F.when((F.col("conv_id") % 11 == 5) & (F.col("turn") == 0), F.lit("not-a-key")).otherwise(
         uuid7_from_text(F.lit(1704067200000).cast("long"), key_seed))
     none = F.lit(None).cast("string")
@@ -100,19 +101,19 @@ def remember_requests(t):
 
 _REMEMBER = with_views("episodes") + f""",
 req AS (
-  SELECT *, CASE WHEN conv_id % 11 = 5 AND turn = 0 THEN 'bad' WHEN conv_id % 3 = 0 THEN 'c' || CAST(conv_id AS VARCHAR) ELSE episode_id END AS key,
+  SELECT *, CASE WHEN conv_id % 11 = 5 AND turn = 0 THEN 'bad' WHEN conv_id % 3 = 0 THEN 'c' || CAST(conv_id // 10 AS VARCHAR) ELSE episode_id END AS key,
     CASE WHEN turn % 5 = 1 THEN 'remember:preference' END AS tag, turn % 7 = 3 AS forced,
     conv_id * 1000 + turn AS seq FROM episodes),
-opener AS (SELECT key, min(seq) AS first_seq FROM req WHERE key <> 'bad' GROUP BY 1),
+opener AS (SELECT tenant_id, key, min(seq) AS first_seq FROM req WHERE key <> 'bad' GROUP BY ALL),
 body AS (SELECT req.*, first_seq, (md5(concat_ws('|', body, forced, coalesce(tag, '-'), source_kind, coalesce(source_subtype, '-'),
-    coalesce(source_uri, '-'), tenant_id))) AS h FROM req LEFT JOIN opener USING (key)),
-firsts AS (SELECT key, h AS first_h FROM body WHERE seq = first_seq),
+    coalesce(source_uri, '-'), tenant_id))) AS h FROM req LEFT JOIN opener USING (tenant_id, key)),
+firsts AS (SELECT tenant_id, key, h AS first_h FROM body WHERE seq = first_seq),
 cls AS (
   SELECT b.*, first_h, CASE WHEN forced AND tag IS NOT NULL THEN tag WHEN {_sensitive('body')} THEN 'escalate'
     WHEN {_SHORT.format(c='body', n=_named('body'))} THEN 'drop' WHEN source_subtype = 'info' THEN 'reply_only'
     WHEN source_subtype = 'idempotent' THEN 'remember:procedure' WHEN tag IS NOT NULL THEN tag
     WHEN source_subtype = 'claim' THEN 'remember:fact' WHEN source_kind = 'tool_call_result' THEN 'reply_only' ELSE 'remember:fact' END AS c
-  FROM body b LEFT JOIN firsts USING (key)),
+  FROM body b LEFT JOIN firsts USING (tenant_id, key)),
 judged AS (
   SELECT seq, tenant_id, CASE WHEN key = 'bad' THEN 'missing_idempotency_key'
     WHEN seq <> first_seq AND h <> first_h THEN 'idempotency_conflict' WHEN seq <> first_seq THEN 'replay'
@@ -122,7 +123,7 @@ judged AS (
 
 
 def _no_keys(t):
-    return t.spark.createDataFrame([], "key string, verb string, body_hash string, expires_at timestamp")
+    return t.spark.createDataFrame([], "tenant_id string, key string, verb string, body_hash string, expires_at timestamp")
 
 
 @query("Q3_remember", _REMEMBER + """
@@ -435,15 +436,15 @@ def synthesis_by_uri(t):
 @query("Q2_synthesis_by_query", with_views("query_batch", "pages_v") + r""",
 toks AS (SELECT page_uri, tenant_id, regexp_extract_all(strip_accents(lower(content)), '[\p{L}\p{N}]+') AS t FROM pages_v),
 doclen AS (SELECT page_uri, tenant_id, CAST(len(t) AS DOUBLE) AS doc_len FROM toks),
-stats AS (SELECT CAST(count(*) AS DOUBLE) AS n_docs, avg(doc_len) AS avg_len FROM doclen),
-tf AS (SELECT page_uri, term, CAST(count(*) AS DOUBLE) AS tf FROM (SELECT page_uri, unnest(t) AS term FROM toks) GROUP BY ALL),
-df AS (SELECT term, CAST(count(*) AS DOUBLE) AS df FROM tf GROUP BY term),
+stats AS (SELECT tenant_id, CAST(count(*) AS DOUBLE) AS n_docs, avg(doc_len) AS avg_len FROM doclen GROUP BY tenant_id),
+tf AS (SELECT tenant_id, page_uri, term, CAST(count(*) AS DOUBLE) AS tf FROM (SELECT tenant_id, page_uri, unnest(t) AS term FROM toks) GROUP BY ALL),
+df AS (SELECT tenant_id, term, CAST(count(*) AS DOUBLE) AS df FROM tf GROUP BY ALL),
 qt AS (SELECT query_id, tenant_id, term, CAST(count(*) AS DOUBLE) AS weight FROM (
     SELECT query_id, tenant_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')) AS term FROM query_batch) GROUP BY ALL),
 qw AS (SELECT query_id, tenant_id, term, avg_len, weight * CASE WHEN ln((n_docs - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6
-    ELSE ln((n_docs - df + 0.5) / (df + 0.5)) END AS w FROM qt JOIN df USING (term), stats),
+    ELSE ln((n_docs - df + 0.5) / (df + 0.5)) END AS w FROM qt JOIN df USING (tenant_id, term) JOIN stats USING (tenant_id)),
 sc AS (SELECT query_id, page_uri, round(sum(w * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * doc_len / avg_len))), 9) AS score
-  FROM tf JOIN qw USING (term) JOIN doclen d USING (page_uri) WHERE d.tenant_id = qw.tenant_id GROUP BY ALL)
+  FROM tf JOIN qw USING (tenant_id, term) JOIN doclen USING (tenant_id, page_uri) GROUP BY ALL)
 SELECT query_id, page_uri, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_uri) AS rank FROM sc QUALIFY rank <= 5""")
 def synthesis_by_query(t):
     from memspark.plans import synthesis
@@ -454,14 +455,14 @@ def synthesis_by_query(t):
 
 @query("E5_citation_match", with_views("fact_vectors", "query_batch") + """,
 d AS (SELECT query_id, fact_id, round(list_distance(q.vec, v.vec), 9) AS distance, list_cosine_similarity(q.vec, v.vec) AS c
-  FROM query_batch q, fact_vectors v WHERE q.vec IS NOT NULL
+  FROM query_batch q JOIN fact_vectors v USING (tenant_id) WHERE q.vec IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, fact_id) <= 50)
 SELECT query_id, fact_id, round(c, 8) AS cosine, c >= 0.82 AS cited FROM d""")
 def citation_match(t):
     from memspark.catalog.views import DIM
     from memspark.operators import knn, safety
 
-    hits = knn.nearest(t.fact_vectors, t.query_batch, dim=DIM).select("query_id", "fact_id")
+    hits = knn.nearest(t.fact_vectors, t.query_batch, dim=DIM, by="tenant_id").select("query_id", "fact_id")
     pairs = hits.join(t.fact_vectors.select("fact_id", F.col("vec").alias("fact_vec")), "fact_id").join(
         t.query_batch.select("query_id", F.col("vec").alias("query_vec")), "query_id")
     got = safety.cited(pairs, "query_vec", "fact_vec")

@@ -167,13 +167,12 @@ def due_tenants(t):
 
 
 @query("P08_free_locks", with_views("ledger") + """,
-s AS (SELECT fact_id AS tenant_id, max(ts) AS beat, max(CASE WHEN event_kind = 'no_op' THEN props END) AS token FROM ledger
-  WHERE ts < TIMESTAMP '2024-01-10' GROUP BY 1)
-SELECT tenant_id, token IS NULL OR epoch_us(beat) < epoch_us(TIMESTAMP '2024-01-10') - 60000000 AS free FROM s""")
+s AS (SELECT fact_id AS tenant_id, max(ts) AS beat, max(CASE WHEN event_kind = 'no_op' THEN props END) AS token FROM ledger GROUP BY 1)
+SELECT tenant_id, token IS NULL OR epoch_us(beat) < epoch_us(TIMESTAMP '2024-01-25') - 60000000 AS free FROM s""")
 def free_locks(t):
-    s = t.ledger.where(F.col("ts") < clock("2024-01-10")).groupBy(F.col("fact_id").alias("tenant_id")).agg(
+    s = t.ledger.groupBy(F.col("fact_id").alias("tenant_id")).agg(
         F.max("ts").alias("beat"), F.max(F.when(F.col("event_kind") == "no_op", F.col("props"))).alias("token"))
-    return s.select("tenant_id", outcomes.lock_free(F.col("token"), F.col("beat"), clock("2024-01-10")).alias("free"))
+    return s.select("tenant_id", outcomes.lock_free(F.col("token"), F.col("beat"), clock("2024-01-25")).alias("free"))
 
 
 @query("E7_queue_gauges", """WITH q AS (
@@ -241,7 +240,7 @@ def rerank(t):
 
 # --- metrics -----------------------------------------------------------------------------------
 _KNN10 = with_views("fact_vectors", "query_batch") + """,
-d AS (SELECT q.query_id, v.fact_id, v.label, q.item_id, round(list_distance(q.vec, v.vec), 9) AS distance FROM query_batch q, fact_vectors v WHERE q.vec IS NOT NULL),
+d AS (SELECT q.query_id, v.fact_id, v.label, q.item_id, round(list_distance(q.vec, v.vec), 9) AS distance FROM query_batch q JOIN fact_vectors v USING (tenant_id) WHERE q.vec IS NOT NULL),
 a AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, fact_id) AS rank FROM d QUALIFY rank <= 10),
 rel AS (SELECT query_id, 'f-' || lpad(CAST(item_id + d AS VARCHAR), 8, '0') AS fact_id, CASE WHEN d = 0 THEN 2.0 ELSE 1.0 END::DOUBLE AS relevance
   FROM query_batch, (VALUES (0), (1)) x(d))"""
@@ -249,7 +248,7 @@ rel AS (SELECT query_id, 'f-' || lpad(CAST(item_id + d AS VARCHAR), 8, '0') AS f
 
 def _knn_truth(t):
     """Nearest vectors; the truth of a query is its own item (grade 2) and the next one (grade 1)."""
-    ans = knn.nearest(t.fact_vectors, t.query_batch, 10, dim=DIM)
+    ans = knn.nearest(t.fact_vectors, t.query_batch, 10, dim=DIM, by="tenant_id")
     step = F.explode(F.array(F.lit(0), F.lit(1))).alias("d")
     rel = t.query_batch.select("query_id", "item_id", step).select(
         "query_id", F.concat(F.lit("f-"), F.lpad((F.col("item_id") + F.col("d")).cast("string"), 8, "0")).alias("fact_id"),
@@ -386,7 +385,7 @@ def probe_drift(t):
     from memspark.operators import bm25
 
     got = rc.recall(t.facts, t.query_batch, clock(T_NOW), t.fact_vectors, dim=DIM, k=10).facts
-    want = bm25.search_documents(t.facts, t.query_batch, 10)
+    want = bm25.search_documents(t.facts, t.query_batch, 10, by=("tenant_id",))
     d = metrics.set_drift(want, got)
     return d.select("query_id", F.round("drift", 9).alias("drift"))
 
@@ -398,7 +397,7 @@ def agreement(t):
     from memspark.operators import bm25
 
     live = rc.recall(t.facts, t.query_batch, clock(T_NOW), t.fact_vectors, dim=DIM, k=10).facts
-    got = metrics.agreement(bm25.search_documents(t.facts, t.query_batch, 10), live)
+    got = metrics.agreement(bm25.search_documents(t.facts, t.query_batch, 10, by=("tenant_id",)), live)
     return got.select("query_id", F.round("agreement", 9).alias("agreement"))
 
 
@@ -651,15 +650,16 @@ def stream_extract(t):
     return got.select("episode_id", F.size("embedding").cast("bigint").alias("dim"))
 
 
-@query("R4_stream_conflicts", """WITH r AS (SELECT CASE WHEN conv_id % 3 = 0 THEN 'c' || CAST(conv_id AS VARCHAR)
+@query("R4_stream_conflicts", """WITH r AS (SELECT conv_id % 10 AS tenant_id, CASE WHEN conv_id % 3 = 0 THEN 'c' || CAST(conv_id // 10 AS VARCHAR)
     ELSE CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) END AS key, sha256(text) AS h, conv_id * 3600 + turn * 60 AS t, turn FROM conversations),
-f AS (SELECT h, first_value(h) OVER w AS fh, row_number() OVER w AS i FROM r WINDOW w AS (PARTITION BY key ORDER BY t, turn))
+f AS (SELECT h, first_value(h) OVER w AS fh, row_number() OVER w AS i FROM r WINDOW w AS (PARTITION BY tenant_id, key ORDER BY t, turn))
 SELECT CASE WHEN i = 1 THEN 'fresh' WHEN h = fh THEN 'replay' ELSE 'conflict' END AS outcome, count(*) AS n FROM f GROUP BY 1""")
 def stream_conflicts(t):
     """Write requests as a stream: fresh, replayed and conflicting keys with a one-day memory."""
     raw = t.spark.readStream.schema(t.table("conversations").schema).parquet(f"{t.dir}/conversations*.parquet")
     req = raw.select(
-        F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("c"), F.col("conv_id").cast("string")))
+        F.concat(F.lit("tenant-"), (F.col("conv_id") % 10).cast("string")).alias("tenant_id"),
+        F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("c"), F.floor(F.col("conv_id") / 10).cast("string")))
         .otherwise(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))).alias("key"),
         F.lit("remember").alias("verb"), F.sha2("text", 256).alias("body_hash"),
         F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 3600 + F.col("turn") * 60).alias("at"), F.col("turn").alias("seq"))

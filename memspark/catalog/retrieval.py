@@ -11,40 +11,40 @@ _VALID = f"valid_from <= TIMESTAMP '{T_NOW}' AND (valid_to IS NULL OR valid_to >
 
 SQL_SEM = """dist AS (
   SELECT q.query_id, v.fact_id, round(list_distance(q.vec, v.vec), 9) AS distance
-  FROM query_batch q, fact_vectors v WHERE q.vec IS NOT NULL),
+  FROM query_batch q JOIN fact_vectors v USING (tenant_id) WHERE q.vec IS NOT NULL),
 sem AS (
   SELECT query_id, fact_id, distance, 1.0 / (1.0 + distance) AS score, 'semantic' AS source,
     row_number() OVER (PARTITION BY query_id ORDER BY distance, fact_id) AS rank
   FROM dist QUALIFY rank <= 50)"""
 
 SQL_LEX = """toks AS (
-  SELECT fact_id, regexp_extract_all(strip_accents(lower(content)), '[\\p{L}\\p{N}]+') AS t FROM facts),
-doclen AS (SELECT fact_id, CAST(len(t) AS DOUBLE) AS doc_len FROM toks),
-stats AS (SELECT CAST(count(*) AS DOUBLE) AS n_docs, avg(doc_len) AS avg_len FROM doclen),
-tf AS (SELECT fact_id, term, CAST(count(*) AS DOUBLE) AS tf FROM (SELECT fact_id, unnest(t) AS term FROM toks) GROUP BY ALL),
-df AS (SELECT term, CAST(count(*) AS DOUBLE) AS df FROM tf GROUP BY term),
+  SELECT tenant_id, fact_id, regexp_extract_all(strip_accents(lower(content)), '[\\p{L}\\p{N}]+') AS t FROM facts),
+doclen AS (SELECT tenant_id, fact_id, CAST(len(t) AS DOUBLE) AS doc_len FROM toks),
+stats AS (SELECT tenant_id, CAST(count(*) AS DOUBLE) AS n_docs, avg(doc_len) AS avg_len FROM doclen GROUP BY tenant_id),
+tf AS (SELECT tenant_id, fact_id, term, CAST(count(*) AS DOUBLE) AS tf FROM (SELECT tenant_id, fact_id, unnest(t) AS term FROM toks) GROUP BY ALL),
+df AS (SELECT tenant_id, term, CAST(count(*) AS DOUBLE) AS df FROM tf GROUP BY ALL),
 qt AS (
-  SELECT query_id, term, CAST(count(*) AS DOUBLE) AS weight FROM (
-    SELECT query_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+')) AS term FROM query_batch)
+  SELECT tenant_id, query_id, term, CAST(count(*) AS DOUBLE) AS weight FROM (
+    SELECT tenant_id, query_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+')) AS term FROM query_batch)
   GROUP BY ALL),
 qw AS (
-  SELECT query_id, term, avg_len, weight * CASE WHEN ln((n_docs - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6
+  SELECT tenant_id, query_id, term, avg_len, weight * CASE WHEN ln((n_docs - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6
     ELSE ln((n_docs - df + 0.5) / (df + 0.5)) END AS w
-  FROM qt JOIN df USING (term), stats),
+  FROM qt JOIN df USING (tenant_id, term) JOIN stats USING (tenant_id)),
 lexs AS (
   SELECT query_id, fact_id, round(sum(w * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * doc_len / avg_len))), 9) AS score
-  FROM tf JOIN qw USING (term) JOIN doclen USING (fact_id) GROUP BY ALL),
+  FROM tf JOIN qw USING (tenant_id, term) JOIN doclen USING (tenant_id, fact_id) GROUP BY ALL),
 lex AS (
   SELECT query_id, fact_id, score, 'lexical' AS source,
     row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fact_id) AS rank
   FROM lexs QUALIFY rank <= 50)"""
 
 SQL_GRAPH = """near AS (
-  SELECT source_uri, fact_id, row_number() OVER (PARTITION BY source_uri ORDER BY fact_id) AS rank
+  SELECT tenant_id, source_uri, fact_id, row_number() OVER (PARTITION BY tenant_id, source_uri ORDER BY fact_id) AS rank
   FROM facts QUALIFY rank <= 50),
 gra AS (
   SELECT q.query_id, near.fact_id, 1.0 / near.rank AS score, 'graph' AS source, near.rank
-  FROM query_batch q JOIN facts f ON f.doc_id = q.item_id JOIN near ON near.source_uri = f.source_uri)"""
+  FROM query_batch q JOIN facts f ON f.doc_id = q.item_id JOIN near ON near.source_uri = f.source_uri AND near.tenant_id = q.tenant_id)"""
 
 _ALL = with_views("facts", "fact_vectors", "query_batch") + ",\n" + ",\n".join([SQL_SEM, SQL_LEX, SQL_GRAPH]) + """,
 hits AS (
@@ -94,7 +94,7 @@ hits AS (
 @query("S09_vector_knn", with_views("fact_vectors", "query_batch") + ",\n" + SQL_SEM + """
 SELECT query_id, fact_id, distance, round(score, 9) AS score, rank FROM sem""")
 def vector_knn(t):
-    hits = knn.nearest(t.fact_vectors, t.query_batch, dim=DIM)
+    hits = knn.nearest(t.fact_vectors, t.query_batch, dim=DIM, by="tenant_id")
     return hits.select("query_id", "fact_id", "distance", F.round("score", 9).alias("score"), F.col("rank").cast("bigint"))
 
 
@@ -112,7 +112,7 @@ def text_index(t):
 
 @query("A10_bm25", with_views("facts", "query_batch") + ",\n" + SQL_LEX + "\nSELECT query_id, fact_id, score, rank FROM lex")
 def bm25_search(t):
-    hits = bm25.search_documents(t.facts, t.query_batch)
+    hits = bm25.search_documents(t.facts, t.query_batch, by=("tenant_id",))
     return hits.select("query_id", "fact_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -124,14 +124,17 @@ def query_tokens(t):
     return bm25.query_terms(t.query_batch).select("query_id", "term", F.col("weight").cast("bigint").alias("n"))
 
 
-def _three_lists(t):
-    edges = t.facts.select(F.col("source_uri").alias("src"), F.col("fact_id").alias("dst"))
+def _same_source(t):
+    """Facts of the query's tenant that come from the same source as the query's item."""
+    edges = t.facts.select("tenant_id", F.col("source_uri").alias("src"), F.col("fact_id").alias("dst"))
     seeds = t.query_batch.join(
         t.facts.select(F.col("doc_id").alias("item_id"), F.col("source_uri").alias("src")), "item_id"
-    ).select("query_id", "src")
-    return rc.retrieve(
-        t.facts, t.query_batch, t.fact_vectors, dim=DIM, graph_hits=fusion.neighbour_hits(seeds, edges)
-    )
+    ).select("tenant_id", "query_id", "src")
+    return fusion.neighbour_hits(seeds, edges, by=("tenant_id",))
+
+
+def _three_lists(t):
+    return rc.retrieve(t.facts, t.query_batch, t.fact_vectors, dim=DIM, graph_hits=_same_source(t))
 
 
 @query("A01_rank_fusion", _ALL + """,
@@ -179,25 +182,18 @@ def recall_query(t):
 @query("Q1_recall_three_lists", sql_recall(_ALL, 10) + """
 SELECT query_id, fact_id, kind, score, rank FROM cut WHERE coalesce(episode_id, '') <> ''""")
 def recall_three(t):
-    edges = t.facts.select(F.col("source_uri").alias("src"), F.col("fact_id").alias("dst"))
-    seeds = t.query_batch.join(
-        t.facts.select(F.col("doc_id").alias("item_id"), F.col("source_uri").alias("src")), "item_id"
-    ).select("query_id", "src")
-    got = rc.recall(
-        t.facts, t.query_batch, clock(T_NOW), t.fact_vectors, dim=DIM, k=10,
-        graph_hits=fusion.neighbour_hits(seeds, edges),
-    )
+    got = rc.recall(t.facts, t.query_batch, clock(T_NOW), t.fact_vectors, dim=DIM, k=10, graph_hits=_same_source(t))
     return got.facts.select("query_id", "fact_id", "kind", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("Q1_recall_pre_filter", with_views("facts", "fact_vectors", "query_batch").replace("facts AS (", "facts0 AS (", 1)
-       + f",\nfacts AS (SELECT * FROM facts0 WHERE {_VALID}),\n" + SQL_SEM + ",\n" + SQL_LEX + """,
+@query("Q1_recall_pre_filter", with_views("facts", "fact_vectors", "query_batch").replace("facts AS (", "facts0 AS (", 1).replace("fact_vectors AS (", "vectors0 AS (", 1)
+       + f",\nfacts AS (SELECT * FROM facts0 WHERE {_VALID}),\nfact_vectors AS (SELECT v.* FROM vectors0 v SEMI JOIN facts USING (tenant_id, fact_id)),\n" + SQL_SEM + ",\n" + SQL_LEX + """,
 hits AS (
   SELECT query_id, fact_id, score, source, rank FROM sem UNION ALL SELECT query_id, fact_id, score, source, rank FROM lex)"""
        + sql_recall("", 10) + """
 SELECT query_id, fact_id, score, rank FROM cut WHERE coalesce(episode_id, '') <> ''""")
 def recall_pre_filter(t):
-    """Only valid facts are indexed for text search; vectors of expired facts are still filtered afterwards."""
+    """Only valid facts compete, in the text list and in the vector list."""
     got = rc.recall(
         t.facts, t.query_batch, clock(T_NOW), t.fact_vectors, dim=DIM, k=10, filter_stage="pre_retrieval"
     )

@@ -287,11 +287,11 @@ def connectedness(t):
 
 @query("A13_percentile_rank", with_views("order_graph") + """,
 deg AS (SELECT src, count(*) AS d FROM order_graph GROUP BY 1),
-p AS (SELECT g.src AS hub, g.dst AS node, g.weight AS w FROM order_graph g WHERE g.src LIKE 'c-%')
+p AS (SELECT g.src AS hub, g.dst AS node, g.weight AS w FROM order_graph g)
 SELECT hub, node, round(CASE WHEN count(*) OVER h = 1 THEN 0.0 ELSE (rank() OVER (h ORDER BY w) - 1) / (count(*) OVER h - 1) END, 9) AS pct_rank
 FROM p WINDOW h AS (PARTITION BY hub)""")
 def percentile_rank(t):
-    rows = t.order_graph.where(F.col("src").startswith("c-")).select(
+    rows = t.order_graph.select(
         F.col("src").alias("hub"), F.col("dst").alias("node"), F.col("weight").alias("w"))
     got = percentiles.rank_among_others(rows, "w", ("hub",))
     return got.select("hub", "node", F.round("pct_rank", 9).alias("pct_rank"))

@@ -61,6 +61,7 @@ class Views:
     @cached_property
     def fact_vectors(self) -> DataFrame:
         return self.table("embeddings").select(
+            F.concat(F.lit("tenant-"), (F.col("vec_id") % 10).cast("string")).alias("tenant_id"),
             F.concat(F.lit("f-"), F.lpad(F.col("vec_id").cast("string"), 8, "0")).alias("fact_id"),
             F.col("embedding").alias("vec"), F.col("label").cast("bigint").alias("label"), "vec_id",
         )
@@ -178,7 +179,8 @@ CTE = {
     source AS source_uri, lang, n_chars
   FROM documents)""",
     "fact_vectors": """fact_vectors AS (
-  SELECT 'f-' || lpad(CAST(vec_id AS VARCHAR), 8, '0') AS fact_id, CAST(embedding AS DOUBLE[]) AS vec,
+  SELECT 'tenant-' || CAST(vec_id % 10 AS VARCHAR) AS tenant_id,
+    'f-' || lpad(CAST(vec_id AS VARCHAR), 8, '0') AS fact_id, CAST(embedding AS DOUBLE[]) AS vec,
     CAST(label AS BIGINT) AS label, vec_id FROM embeddings)""",
     "query_batch": """query_batch AS (
   SELECT 'q-' || lpad(CAST(item_id AS VARCHAR), 6, '0') AS query_id,

@@ -4,6 +4,9 @@ All postings of a document sit in one partition (hash of the document id), as in
 cluster whose shards hold whole documents.  Scores are therefore summed where they arise
 and only the k best documents per query and partition are shuffled; a term found in a third
 of all documents costs no more network than a rare one.
+
+``by`` names columns that documents and queries have in common, such as ``tenant_id``: only rows
+that agree in them meet, and all word statistics are counted within them.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,12 +20,14 @@ VOCABULARY_LIMIT = 200_000  # distinct query terms that may be broadcast (about
 _DOC = ""  # marks the one row per document that carries its length; never a token
 
 
-def query_terms(queries: DataFrame, query_col: str = "query_id", text_col: str = "text") -> DataFrame:
-    """(query_id, term, weight): repeated words count as often as they occur; blank queries vanish."""
+def query_terms(
+    queries: DataFrame, query_col: str = "query_id", text_col: str = "text", by: tuple[str, ...] = ()
+) -> DataFrame:
+    """(by…, query_id, term, weight): repeated words count as often as they occur; blank queries vanish."""
     return (
         queries.where(F.length(text_col) > 0)
-        .select(F.col(query_col).alias("query_id"), F.explode(tokens(F.col(text_col))).alias("term"))
-        .groupBy("query_id", "term").agg(F.count("*").cast("double").alias("weight"))
+        .select(*by, F.col(query_col).alias("query_id"), F.explode(tokens(F.col(text_col))).alias("term"))
+        .groupBy(*by, "query_id", "term").agg(F.count("*").cast("double").alias("weight"))
     )
 
 
@@ -31,25 +36,26 @@ def postings(
     id_col: str = "fact_id",
     text_col: str = "content",
     vocabulary: DataFrame | None = None,
+    by: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(fact_id, doc_len, term, tf), hash-partitioned by fact_id.
+    """(by…, fact_id, doc_len, term, tf), hash-partitioned by fact_id.
 
-    With a ``vocabulary(term)`` of checked size other words are dropped before the shuffle.  Each
+    With a ``vocabulary(by…, term)`` of checked size other words are dropped before the shuffle.  Each
     document keeps one row with the empty term, which carries the document count and length even
     when no word matches.  Written with ``bucketBy(n, "fact_id").sortBy("term")`` this is the
     stored index.
     """
     words = docs.select(
-        F.col(id_col).alias("fact_id"), F.coalesce(tokens(F.col(text_col)), F.array()).alias("_t")
+        *by, F.col(id_col).alias("fact_id"), F.coalesce(tokens(F.col(text_col)), F.array()).alias("_t")
     ).select(
-        "fact_id", F.size("_t").alias("doc_len"), F.explode(F.array_append("_t", F.lit(_DOC))).alias("term")
+        *by, "fact_id", F.size("_t").alias("doc_len"), F.explode(F.array_append("_t", F.lit(_DOC))).alias("term")
     ).where(F.col("term").isNotNull())
     if vocabulary is not None:
-        wanted = union_all(vocabulary.select("term"), docs.sparkSession.range(1).select(F.lit(_DOC).alias("term")))
-        words = words.join(F.broadcast(wanted.distinct()), "term", "left_semi")
+        wanted = union_all(vocabulary.select(*by, "term"), vocabulary.select(*by, F.lit(_DOC).alias("term")))
+        words = words.join(F.broadcast(wanted.distinct()), [*by, "term"], "left_semi")
     return (
         words.repartition("fact_id")
-        .groupBy("fact_id", "doc_len", "term").agg(F.count("*").cast("double").alias("tf"))
+        .groupBy(*by, "fact_id", "doc_len", "term").agg(F.count("*").cast("double").alias("tf"))
     )
 
 
@@ -57,15 +63,15 @@ def postings(
 # pushed under the shuffle, and the three uses of the postings could no longer share it.
 
 
-def corpus_stats(index: DataFrame) -> DataFrame:
-    """One row: n_docs, avg_len."""
+def corpus_stats(index: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """n_docs, avg_len: one row, or one for each value of ``by``."""
     per_doc = F.when(F.col("term") == _DOC, F.col("doc_len"))
-    return index.agg(F.count(per_doc).cast("double").alias("n_docs"), F.avg(per_doc).alias("avg_len"))
+    return index.groupBy(*by).agg(F.count(per_doc).cast("double").alias("n_docs"), F.avg(per_doc).alias("avg_len"))
 
 
-def document_frequency(index: DataFrame) -> DataFrame:
+def document_frequency(index: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Number of documents per term; the empty term counts them all."""
-    return index.groupBy("term").agg(F.count("*").cast("double").alias("df"))
+    return index.groupBy(*by, "term").agg(F.count("*").cast("double").alias("df"))
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -78,7 +84,9 @@ def term_score(idf_: Column, tf: Column, doc_len: Column, avg_len: Column) -> Co
     return idf_ * (tf * F.lit(v.BM25_K1 + 1.0)) / (tf + norm)
 
 
-def scores(index: DataFrame, terms: DataFrame, digits: int = v.RANK_DIGITS, small: bool | None = None) -> DataFrame:
+def scores(
+    index: DataFrame, terms: DataFrame, digits: int = v.RANK_DIGITS, small: bool | None = None, by: tuple[str, ...] = ()
+) -> DataFrame:
     """(query_id, fact_id, score) of every document that shares a word with the query.
 
     A small term table is broadcast and sums stay local; beyond the limit terms and postings
@@ -86,15 +94,19 @@ def scores(index: DataFrame, terms: DataFrame, digits: int = v.RANK_DIGITS, smal
     """
     if small is None:
         small = has_at_most(terms, VOCABULARY_LIMIT)
-    one = corpus_stats(index).select(F.struct("n_docs", "avg_len").alias("s")).scalar()
-    weighted = terms.join(document_frequency(index), "term").withColumn("_s", one).select(
-        "query_id", "term", F.col("_s.avg_len").alias("avg_len"),
+    weighted = terms.join(document_frequency(index, by), [*by, "term"])
+    if by:
+        weighted = weighted.join(corpus_stats(index, by).select(*by, F.struct("n_docs", "avg_len").alias("_s")), list(by))
+    else:
+        weighted = weighted.withColumn("_s", corpus_stats(index).select(F.struct("n_docs", "avg_len").alias("s")).scalar())
+    weighted = weighted.select(
+        *by, "query_id", "term", F.col("_s.avg_len").alias("avg_len"),
         (F.col("weight") * idf(F.col("_s.n_docs"), F.col("df"))).alias("w"),
     )
     if small:
         weighted = F.broadcast(weighted)
     return (
-        index.join(weighted, "term")
+        index.join(weighted, [*by, "term"])
         .groupBy("query_id", "fact_id")
         .agg(F.sum(term_score(F.col("w"), F.col("tf"), F.col("doc_len"), F.col("avg_len"))).alias("score"))
         .withColumn("score", F.round("score", digits))
@@ -102,20 +114,23 @@ def scores(index: DataFrame, terms: DataFrame, digits: int = v.RANK_DIGITS, smal
 
 
 def search(
-    index: DataFrame, terms: DataFrame, k: int = v.FANOUT, digits: int = v.RANK_DIGITS, small: bool | None = None
+    index: DataFrame, terms: DataFrame, k: int = v.FANOUT, digits: int = v.RANK_DIGITS, small: bool | None = None,
+    by: tuple[str, ...] = (),
 ) -> DataFrame:
     """(query_id, fact_id, score, source, rank) for ``terms`` from :func:`query_terms`."""
     if k <= 0:
         raise ValueError("k must be positive")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "fact_id")
     return (
-        scores(index, terms, digits, small).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        scores(index, terms, digits, small, by).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         .select("query_id", "fact_id", "score", F.lit("lexical").alias("source"), "rank")
     )
 
 
-def search_documents(docs: DataFrame, queries: DataFrame, k: int = v.FANOUT, **cols) -> DataFrame:
-    """Index and search in one lazy plan; for a query batch of checked size only its words are indexed."""
-    terms = query_terms(queries)
+def search_documents(
+    docs: DataFrame, queries: DataFrame, k: int = v.FANOUT, by: tuple[str, ...] = (), **cols
+) -> DataFrame:
+    """Index and search; for a query batch of checked size (counted when the plan is built) only its words are indexed."""
+    terms = query_terms(queries, by=by)
     small = has_at_most(terms, VOCABULARY_LIMIT)
-    return search(postings(docs, vocabulary=terms if small else None, **cols), terms, k, small=small)
+    return search(postings(docs, vocabulary=terms if small else None, by=by, **cols), terms, k, small=small, by=by)

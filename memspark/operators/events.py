@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memspark import vocab as v
+from memspark.functions.common import fail_when
 
 
 _MEMBERS = (
@@ -83,13 +84,23 @@ def split(events: DataFrame, column: str = "envelope") -> tuple[DataFrame, DataF
     return judged.where(F.col("reason").isNull()).drop("reason"), judged.where(F.col("reason").isNotNull())
 
 
-def write_events(events: DataFrame, path: str, column: str = "envelope") -> None:
-    """Append valid envelopes as JSON lines under tenant/yyyy/mm/dd; rejected ones are left out."""
-    good, _ = split(events, column)
+def write_events(events: DataFrame, path: str, column: str = "envelope", rejects: str | None = None, files: int = 8) -> None:
+    """Append valid envelopes as JSON lines under tenant/yyyy/mm/dd.
+
+    Rejected ones are appended with their ``reason`` as Parquet at ``rejects``; without that path one of
+    them fails the job.  A day of a tenant goes to at most ``files`` files of each call.
+    """
+    if rejects is None:
+        reason = F.concat(F.lit("rejected envelope: "), F.col("reason"))
+        good = with_reason(events, column)
+        good = good.withColumn(column, fail_when(F.col("reason").isNotNull(), reason, F.col(column)))
+    else:
+        good, bad = split(events, column)
+        bad.select(column, "reason").write.mode("append").parquet(rejects)
     ts = F.to_timestamp(F.get_json_object(column, "$.ts_recorded"))
     (
         good.select(
             F.get_json_object(column, "$.tenant_id").alias("tenant_id"), F.date_format(ts, "yyyy").alias("yyyy"),
             F.date_format(ts, "MM").alias("mm"), F.date_format(ts, "dd").alias("dd"), F.col(column).alias("value"),
-        ).write.mode("append").partitionBy("tenant_id", "yyyy", "mm", "dd").text(path)
+        ).repartition("tenant_id", "yyyy", "mm", "dd", F.pmod(F.xxhash64("value"), F.lit(files))).write.mode("append").partitionBy("tenant_id", "yyyy", "mm", "dd").text(path)
     )

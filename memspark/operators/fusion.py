@@ -65,15 +65,15 @@ def top_k(scored: DataFrame, k: int | Column, score: str = "score") -> DataFrame
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def neighbour_hits(seeds: DataFrame, edges: DataFrame, k: int = v.FANOUT) -> DataFrame:
+def neighbour_hits(seeds: DataFrame, edges: DataFrame, k: int = v.FANOUT, by: tuple[str, ...] = ()) -> DataFrame:
     """Third ranked list: the first k out-neighbours, by id, of each query's seed node.
 
-    ``seeds(query_id, src)``, ``edges(src, dst)``.  Neighbour lists are cut to k before the
+    ``seeds(by…, query_id, src)``, ``edges(by…, src, dst)``.  Neighbour lists are cut to k before the
     join, which is exact because a query never reads further than its k-th neighbour.
     """
-    w = Window.partitionBy("src").orderBy("dst")
-    first = edges.select("src", "dst").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return seeds.join(first, "src").select(
+    w = Window.partitionBy(*by, "src").orderBy("dst")
+    first = edges.select(*by, "src", "dst").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return seeds.join(first, [*by, "src"]).select(
         "query_id", F.col("dst").alias("fact_id"),
         (F.lit(1.0) / F.col("rank")).alias("score"), F.lit("graph").alias("source"), "rank",
     )

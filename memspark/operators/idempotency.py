@@ -8,6 +8,9 @@ from memspark.functions.common import blank
 from memspark.functions.ids import is_uuid7
 
 
+KEY = ("tenant_id", "key", "verb")
+
+
 def storage_key(verb: Column, key: Column) -> Column:
     return F.concat(verb, F.lit(":"), key)
 
@@ -28,17 +31,18 @@ def expires_at(at: Column, hours: int = v.IDEMPOTENCY_TTL_HOURS) -> Column:
 def classify(requests: DataFrame, stored: DataFrame) -> DataFrame:
     """Adds ``outcome``: fresh, replay, conflict, missing or malformed.
 
-    ``requests(key, verb, body_hash, at, seq)`` is one batch, shorter than the retention time;
-    ``stored(key, verb, body_hash, expires_at)`` the recorded keys, one row per key and verb.
+    ``requests(tenant_id, key, verb, body_hash, at, seq)`` is one batch, shorter than the retention time;
+    ``stored(tenant_id, key, verb, body_hash, expires_at)`` the recorded keys, one row per tenant, key and verb.
+    Tenants may use the same keys.
     Without a live stored row the first request of a key (by ``at``, ``seq``) is the fresh one.
     """
     checked = requests.withColumn("_state", key_state(F.col("key")))
-    live = stored.select("key", "verb", F.col("body_hash").alias("_stored"), "expires_at")
-    with_stored = checked.join(live, ["key", "verb"], "left").withColumn(
+    live = stored.select(*KEY, F.col("body_hash").alias("_stored"), "expires_at")
+    with_stored = checked.join(live, list(KEY), "left").withColumn(
         "_stored", F.when(F.col("expires_at") > F.col("at"), F.col("_stored"))
     ).drop("expires_at")
     opener = (
-        with_stored.where((F.col("_state") == "ok") & F.col("_stored").isNull()).groupBy("key", "verb")
+        with_stored.where((F.col("_state") == "ok") & F.col("_stored").isNull()).groupBy(*KEY)
         .agg(F.min(F.struct("at", "seq", "body_hash")).alias("_first"))
     )
     outcome = (
@@ -48,7 +52,7 @@ def classify(requests: DataFrame, stored: DataFrame) -> DataFrame:
         .when(F.col("_first.body_hash") == F.col("body_hash"), F.lit("replay"))
         .otherwise(F.lit("conflict"))
     )
-    return with_stored.join(opener, ["key", "verb"], "left").withColumn("outcome", outcome).drop("_state", "_stored", "_first")
+    return with_stored.join(opener, list(KEY), "left").withColumn("outcome", outcome).drop("_state", "_stored", "_first")
 
 
 def pack(body_hash_: Column, response: Column) -> Column:

@@ -5,6 +5,9 @@ query while it streams its Arrow batches, so the only shuffle carries k rows per
 task.  The query batch travels as one numpy matrix when its row count is small enough;
 a larger batch is cut into blocks and both sides meet in a block grid by a shuffled
 co-group.  Both ways are exact and give the same rows.
+
+``by`` names a column both sides share, such as ``tenant_id``: a query meets only vectors that agree
+in it.
 """
 
 import numpy as np
@@ -13,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from memspark import vocab as v
 from memspark.functions.common import fail_when
@@ -68,13 +72,14 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return flat.astype(np.float64, copy=False).reshape(-1, dim)
 
 
-def _typed(df: DataFrame, id_col: str, vec_col: str, dim: int, name: str) -> DataFrame:
-    """(id, vec) with the dimension enforced and missing vectors left out."""
+def _typed(df: DataFrame, id_col: str, vec_col: str, dim: int, name: str, by: str | None) -> DataFrame:
+    """(id, scope, vec) with the dimension enforced and missing vectors left out."""
     vec = F.col(vec_col)
     bad = F.size(vec) != dim
     message = F.concat(F.lit("vector dimension "), F.size(vec).cast("string"), F.lit(f" is not {dim}"))
     return df.where(vec.isNotNull()).select(
-        F.col(id_col).alias(name), fail_when(bad, message, vec).cast("array<double>").alias("vec")
+        F.col(id_col).alias(name), (F.col(by) if by else F.lit("")).cast("string").alias("scope"),
+        fail_when(bad, message, vec).cast("array<double>").alias("vec"),
     )
 
 
@@ -103,12 +108,13 @@ def nearest(
     digits: int = v.RANK_DIGITS,
     query_block: int = QUERY_BLOCK,
     vector_chunk: int = VECTOR_CHUNK,
+    by: str | None = None,
 ) -> DataFrame:
     """(query_id, fact_id, distance, score, source, rank), ties broken by fact_id."""
     if k <= 0:
         raise ValueError("k must be positive")
-    vecs = _typed(vectors, fact_col, vec_col, dim, "fact_id")
-    qs = _typed(queries, query_col, vec_col, dim, "query_id")
+    vecs = _typed(vectors, fact_col, vec_col, dim, "fact_id", by)
+    qs = _typed(queries, query_col, vec_col, dim, "query_id", by)
     schema = T.StructType([
         qs.schema["query_id"], vecs.schema["fact_id"], T.StructField("distance", T.DoubleType()),
     ])
@@ -124,17 +130,23 @@ def _screen_with_matrix(vecs, rows: pd.DataFrame, k, dim, digits, schema) -> Dat
     """The whole query batch fits one block: it is sent to every task."""
     if rows.empty:
         return vecs.sparkSession.createDataFrame([], schema)
-    matrix = np.array(rows["vec"].tolist(), dtype=np.float64).reshape(-1, dim)
-    sent = vecs.sparkSession.sparkContext.broadcast((rows["query_id"].tolist(), matrix))
+    scopes = {
+        scope: (part["query_id"].tolist(), np.array(part["vec"].tolist(), dtype=np.float64).reshape(-1, dim))
+        for scope, part in rows.groupby("scope", dropna=True)
+    }
+    sent = vecs.sparkSession.sparkContext.broadcast(scopes)
 
     def per_task(batches):
-        names, q = sent.value
-        top = _TopK(q, k, digits)
+        asked = sent.value
+        tops = {scope: _TopK(q, k, digits) for scope, (_, q) in asked.items()}
         for batch in batches:
-            if batch.num_rows:
-                ids = np.asarray(batch.column("fact_id").to_pylist(), dtype=object)
-                top.add(ids, _matrix(batch.column("vec"), dim))
-        for name, (dist, ids) in zip(names, top.best):
+            scope = np.asarray(batch.column("scope").to_pylist(), dtype=object)
+            ids = np.asarray(batch.column("fact_id").to_pylist(), dtype=object)
+            matrix = _matrix(batch.column("vec"), dim) if batch.num_rows else None
+            for s in set(scope) & set(tops):
+                own = scope == s
+                tops[s].add(ids[own], matrix[own])
+        for name, (dist, ids) in ((n, b) for s, top in tops.items() for n, b in zip(asked[s][0], top.best)):
             if len(ids):
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -145,14 +157,10 @@ def _screen_with_matrix(vecs, rows: pd.DataFrame, k, dim, digits, schema) -> Dat
                     names=["query_id", "fact_id", "distance"],
                 )
 
-    arrow_types = [_arrow(schema[0].dataType), _arrow(schema[1].dataType)]
+    arrow_types = [f.type for f in to_arrow_schema(schema)]
     return vecs.mapInArrow(per_task, schema)
 
 
-def _arrow(t: T.DataType) -> pa.DataType:
-    return pa.string() if isinstance(t, T.StringType) else pa.int32() if isinstance(t, T.IntegerType) else pa.int64()
-
-
 def _screen_on_grid(vecs, qs, k, dim, digits, schema, query_block, vector_chunk) -> DataFrame:
     """Every query block meets every vector chunk in one grid cell of bounded size."""
     sizes = qs.agg(F.count("*").alias("n")).first()["n"], vecs.agg(F.count("*").alias("n")).first()["n"]
@@ -163,11 +171,11 @@ def _screen_on_grid(vecs, qs, k, dim, digits, schema, query_block, vector_chunk)
         return F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
 
     left = vecs.select(
-        "fact_id", "vec", bucket("fact_id", n_chunks).alias("chunk"),
+        "fact_id", "scope", "vec", bucket("fact_id", n_chunks).alias("chunk"),
         F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"),
     )
     right = qs.select(
-        "query_id", "vec", bucket("query_id", n_blocks).alias("block"),
+        "query_id", "scope", "vec", bucket("query_id", n_blocks).alias("block"),
         F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("chunk"),
     )
 
@@ -182,7 +190,7 @@ def _screen_on_grid(vecs, qs, k, dim, digits, schema, query_block, vector_chunk)
         empty = pd.DataFrame({"query_id": [], "fact_id": [], "distance": []})
         return pd.concat(out, ignore_index=True) if out else empty
 
-    keys = ("block", "chunk")
+    keys = ("scope", "block", "chunk")
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(cell, schema)
 
 

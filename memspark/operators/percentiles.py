@@ -4,7 +4,10 @@ import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
+CELLS = 4096
+BUCKETS = 64
 ACCURACY = 10_000  # rank error of the bracketing sketch is at most 1 / ACCURACY
 
 
@@ -12,9 +15,9 @@ def percentile_disc(df: DataFrame, value: str, p: float, by: tuple[str, ...] = (
     """Smallest value whose rank reaches ``ceil(p * n)``, per group; (by…, n, name).  No rows, no result.
 
     A mergeable sketch brackets the wanted rank, equal values are counted before they are
-    shuffled, and only the values inside the bracket (about ``4 n / ACCURACY``) are put in
-    order.  The bracket is tested against exact counts and opened if it should miss, so the
-    result never depends on the sketch.
+    shuffled, and the values inside the bracket (about ``4 n / ACCURACY``) are counted in CELLS cells
+    of equal width; only those of the cell that holds the rank are put in order.  The bracket is tested
+    against exact counts and opened if it should miss, so the result never depends on the sketch.
     """
     if not 0.0 < p <= 1.0:
         raise ValueError("p must lie in (0, 1]")
@@ -52,6 +55,8 @@ def percentile_disc(df: DataFrame, value: str, p: float, by: tuple[str, ...] = (
     inside = attach(hist, edges).where(
         (F.col("_lo").isNull() | (F.col("_v") >= F.col("_lo"))) & (F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi")))
     )
+    if isinstance(inside.schema["_v"].dataType, NumericType):
+        inside = _target_cell(inside, by)
     running = F.sum("_n").over(
         Window.partitionBy(*(by or [F.lit(0)])).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     )
@@ -61,6 +66,26 @@ def percentile_disc(df: DataFrame, value: str, p: float, by: tuple[str, ...] = (
     )
 
 
+def _target_cell(inside: DataFrame, by: list[str]) -> DataFrame:
+    """The rows of the cell that holds the wanted rank, with ``_below`` counted up to it.
+
+    The cell number rises with the value, so a cell is a range of values; per group at most CELLS counts are summed up.
+    """
+    bounds = inside.groupBy(*by).agg(F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    if by:
+        rows = inside.join(bounds, by)
+    else:
+        rows = inside.withColumn("_s", bounds.select(F.struct("_min", "_max").alias("s")).scalar()).select(*inside.columns, "_s._min", "_s._max")
+    v, low, high = (F.col(c).cast("double") for c in ("_v", "_min", "_max"))
+    cell = F.when(high > low, F.least(F.lit(CELLS - 1), F.floor((v - low) / (high - low) * CELLS))).otherwise(F.lit(0))
+    rows = rows.withColumn("_cell", F.coalesce(cell, F.lit(0)).cast("int")).drop("_min", "_max")
+    order = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+    counted = rows.groupBy(*by, "_cell").agg(F.sum("_n").alias("_c"), F.first("_below").alias("_b"), F.first("_target").alias("_t"))
+    reached = counted.withColumn("_up", F.col("_b") + F.sum("_c").over(order)).where((F.col("_up") >= F.col("_t")) & (F.col("_up") - F.col("_c") < F.col("_t")))
+    reached = reached.select(*by, "_cell", (F.col("_up") - F.col("_c")).alias("_before"))
+    return rows.join(reached, [*by, "_cell"]).withColumn("_below", F.col("_before")).drop("_cell", "_before")
+
+
 def disc_index(p: float, n: int) -> int:
     """0-based index of the same percentile in a sorted list; the plain form of the rule."""
     return min(n - 1, max(0, math.ceil(p * n) - 1))
@@ -69,9 +94,27 @@ def disc_index(p: float, n: int) -> int:
 def rank_among_others(df: DataFrame, value: str, group: tuple[str, ...], name: str = "pct_rank") -> DataFrame:
     """Fraction of the other rows of a group that are strictly smaller; 0 for a lone row.
 
-    For bounded groups (an ego graph); ties count as not smaller.
+    Ties count as not smaller.  Equal values are counted first; the counts of a group are summed up in
+    BUCKETS ranges that approximate quantiles split evenly, so no task orders a whole group.
     """
-    w = Window.partitionBy(*group)
-    less = F.rank().over(w.orderBy(value)) - 1
-    others = F.count("*").over(w) - 1
-    return df.withColumn(name, F.when(others == 0, F.lit(0.0)).otherwise(less / others))
+    keys = list(group)
+    counts = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    known = counts.where(F.col("_v").isNotNull())
+    edges = df.groupBy(*keys).agg(
+        F.count("*").alias("_all"),
+        F.percentile_approx(value, F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)]), F.lit(1000)).alias("_edges"),
+    )
+    # the number of edges a value exceeds rises with the value, so a bucket is a range of values
+    bucket = F.aggregate("_edges", F.lit(0), lambda n, e: n + (F.col("_v") > e).cast("int"))
+    known = known.join(edges.select(*keys, "_edges"), keys).withColumn("_bucket", F.coalesce(bucket, F.lit(0))).drop("_edges")
+    up = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = known.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(up), F.lit(0)))
+    inner = Window.partitionBy(*keys, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    less = known.withColumn("_inner", F.coalesce(F.sum("_n").over(inner), F.lit(0))).join(before.drop("_c"), [*keys, "_bucket"])
+    nulls = counts.where(F.col("_v").isNull()).select(*keys, F.col("_n").alias("_nulls"))
+    # null values come first, as in a window ordered upwards
+    table = less.join(edges.select(*keys, "_all"), keys).join(nulls, keys, "left").select(
+        *keys, F.col("_v"), (F.col("_before") + F.col("_inner") + F.coalesce("_nulls", F.lit(0))).alias("_less"), "_all")
+    found = df.join(table.withColumnRenamed("_v", value), [*keys, value], "left")
+    share = F.when(F.col("_all") > 1, F.col("_less") / (F.col("_all") - 1))
+    return found.select(*df.columns, F.coalesce(share, F.lit(0.0)).alias(name))

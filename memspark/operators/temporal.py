@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from memspark import vocab as v
 from memspark.functions.common import fail_when
+from memspark.session import union_all
 
 
 def is_valid(t: Column, valid_from: str = "valid_from", valid_to: str = "valid_to") -> Column:
@@ -32,15 +33,22 @@ def closed(facts: DataFrame) -> DataFrame:
 
 
 def close_intervals(facts: DataFrame, ends: DataFrame, keys: tuple[str, ...] = ("tenant_id", "fact_id")) -> DataFrame:
-    """Overwrite ``valid_to`` from ``ends(keys…, valid_to)``; ids without a fact fail the job."""
+    """Overwrite ``valid_to`` from ``ends(keys…, valid_to)``; ids without a fact fail the job.
+
+    Facts meet the ends in a left join, so a short list of ends is broadcast and the facts are not
+    shuffled; unknown ids are found from the keys alone.
+    """
     keys = list(keys)
     stamped = ends.groupBy(*keys).agg(F.max("valid_to").alias("_end"))
-    joined = facts.withColumn("_known", F.lit(True)).join(stamped, keys, "full_outer")
-    known = fail_when(
-        F.col("_known").isNull(), F.concat(F.lit("no such fact: "), F.col(keys[-1])), F.col("_known")
-    )
     cols = [F.coalesce("_end", "valid_to").alias("valid_to") if c == "valid_to" else F.col(c) for c in facts.columns]
-    return joined.where(known).select(*cols)
+    closed_ = facts.join(stamped, keys, "left").select(*cols)
+    unknown = stamped.join(facts.select(*keys), keys, "left_anti")
+    message = F.concat(F.lit("no such fact: "), F.col(keys[-1]).cast("string"))
+    lost = unknown.select(*[
+        (F.when(F.lit(True), F.raise_error(message)) if f.name == keys[-1] else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in closed_.schema.fields
+    ])
+    return union_all(closed_, lost)
 
 
 def sane_interval(valid_from: str = "valid_from", valid_to: str = "valid_to") -> Column:

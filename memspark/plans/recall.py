@@ -1,4 +1,8 @@
-"""Hybrid recall for a batch of queries, as one lazy plan.
+"""Hybrid recall for a batch of queries of many tenants.
+
+A query is answered from the facts of its own tenant only; word statistics, vector neighbours and
+rank lists never mix tenants, also where tenants use the same fact ids.  Building the plan runs two
+small counts (query words, queries) that choose between a broadcast and a shuffle.
 
 rank lists -> validity filter -> renumber -> fuse -> score -> top-k -> provenance filter.
 """
@@ -15,6 +19,7 @@ from memspark.functions.scoring import composed_score
 from memspark.operators import bm25, fusion, knn, temporal
 from memspark.session import has_at_most
 
+TENANT = "tenant_id"
 VERSIONS = ("p3-recall-v0", "p3-gap03-5a-v0")  # fixed values stamped on rows of this verb
 
 
@@ -35,12 +40,12 @@ def retrieve(
     graph_hits: DataFrame | None = None,
     fanout: int = v.FANOUT,
 ) -> DataFrame:
-    """The stacked ranked lists.  ``facts(fact_id, content)``, ``vectors(fact_id, vec)``,
-    ``queries(query_id, text[, vec])``; without vectors the search is lexical only."""
-    lists = [bm25.search_documents(facts, queries, fanout)]
+    """The stacked ranked lists.  ``facts(tenant_id, fact_id, content)``, ``vectors(tenant_id, fact_id, vec)``,
+    ``queries(tenant_id, query_id, text[, vec])``; without vectors the search is lexical only."""
+    lists = [bm25.search_documents(facts, queries, fanout, by=(TENANT,))]
     if vectors is not None:
         with_vec = queries.where(F.col("vec").isNotNull())
-        lists.insert(0, knn.nearest(vectors, with_vec, fanout, dim=dim))
+        lists.insert(0, knn.nearest(vectors, with_vec, fanout, dim=dim, by=TENANT))
     if graph_hits is not None:
         lists.append(graph_hits.where(F.col("rank") <= fanout))
     return fusion.stack(*lists)
@@ -59,14 +64,24 @@ def recall(
     filter_stage: str = "post_retrieval",
 ) -> Recalled:
     """``filter_stage="post_retrieval"`` lets expired facts use up list slots;
-    ``"pre_retrieval"`` removes them before ranking.  With ``connectedness(fact_id,
-    connectedness)`` the graph term replaces the fused-rank proxy.  Fewer than k rows may come
+    ``"pre_retrieval"`` removes them from every list before ranking.  ``graph_hits`` are lists of facts of
+    the query's tenant.  With ``connectedness(tenant_id, fact_id, connectedness)`` the graph term replaces the fused-rank proxy.  Fewer than k rows may come
     back: rows without an episode are dropped after the cut and not replaced."""
     if k < 0:
         raise ValueError("k must not be negative")
     if filter_stage not in ("post_retrieval", "pre_retrieval"):
         raise ValueError(filter_stage)
-    pool = temporal.valid_at(facts, t_now) if filter_stage == "pre_retrieval" else facts
+    pool = facts
+    tenant_of = queries.select(TENANT, "query_id")
+    if filter_stage == "pre_retrieval":
+        pool = temporal.valid_at(facts, t_now)
+        alive_ids = pool.select(TENANT, "fact_id")
+        if vectors is not None:
+            vectors = vectors.join(alive_ids, [TENANT, "fact_id"], "left_semi")
+        if graph_hits is not None:
+            graph_hits = fusion.renumber(
+                graph_hits.join(tenant_of, "query_id").join(alive_ids, [TENANT, "fact_id"], "left_semi").drop(TENANT)
+            )
     asked = queries if k > 0 else queries.where(F.lit(False))
     hits = retrieve(pool, asked, vectors, dim=dim, graph_hits=graph_hits)
 
@@ -77,7 +92,8 @@ def recall(
         *[F.min(F.when(F.col("source") == s, F.col("rank"))).alias(f"_{s}") for s in v.SOURCE_PRIORITY]
     )
     small = has_at_most(queries.select("query_id"), knn.QUERY_BLOCK)
-    alive = temporal.valid_at(facts.join(F.broadcast(wanted) if small else wanted, "fact_id"), t_now)
+    placed = wanted.join(F.broadcast(tenant_of) if small else tenant_of, "query_id")
+    alive = temporal.valid_at(facts.join(F.broadcast(placed) if small else placed, [TENANT, "fact_id"]), t_now)
     cut = fusion.top_k(_score(_fuse(alive), t_now, connectedness), k)
 
     filters = (
@@ -114,7 +130,7 @@ def _score(rows: DataFrame, t_now: Column, connectedness: DataFrame | None) -> D
         rows = rows.withColumn("connectedness_value", clamp01(F.when(top > 0, F.col("rrf") / top).otherwise(F.lit(0.0))))
     else:
         rows = rows.join(
-            connectedness.select("fact_id", F.col("connectedness").alias("connectedness_value")), "fact_id", "left"
+            connectedness.select(TENANT, "fact_id", F.col("connectedness").alias("connectedness_value")), [TENANT, "fact_id"], "left"
         ).fillna(0.0, ["connectedness_value"])
     zero = F.lit(0.0)
     score = composed_score(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from memspark import vocab as v
 from memspark.functions.common import blank
-from memspark.functions.ids import iso_us, random_uuid7
+from memspark.functions.ids import iso_us, uuid7_from_text
 from memspark.functions.text import classify, retention_class
 from memspark.operators import idempotency
 
@@ -115,12 +115,12 @@ def remember(requests: DataFrame, stored_keys: DataFrame, staged: DataFrame | No
             F.to_json(F.struct(F.col("intent").alias("caller_tag"), F.col("idempotency_key").alias("request_idempotency_key"))).alias("payload_json"),
         ),
         recorded.select(
-            F.col("idempotency_key").alias("key"), F.lit("remember").alias("verb"), "body_hash",
+            "tenant_id", F.col("idempotency_key").alias("key"), F.lit("remember").alias("verb"), "body_hash",
             idempotency.pack(F.col("body_hash"), response).alias("response_blob"), F.col("at").alias("created_at"),
             idempotency.expires_at(F.col("at")).alias("expires_at"),
         ),
         ok.select(
-            random_uuid7(F.col("at")).alias("event_id"), F.lit("remember").alias("event_type"), "tenant_id",
+            _id("event").alias("event_id"), F.lit("remember").alias("event_type"), "tenant_id",
             iso_us(F.col("at")).alias("ts_recorded"), iso_us(F.col("at")).alias("ts_valid"),
             F.lit(v.INGEST_VERSIONS[0]).alias("model_version"), F.lit(v.INGEST_VERSIONS[1]).alias("weights_version"),
             F.lit(True).alias("contamination_protected"), F.array("episode_id").alias("fact_ids"),
@@ -134,8 +134,15 @@ def remember(requests: DataFrame, stored_keys: DataFrame, staged: DataFrame | No
 
 
 def stage_columns(judged: DataFrame) -> DataFrame:
-    """Adds the random episode id of every request that gets a record."""
-    return judged.withColumn("episode_id", random_uuid7(F.col("at")))
+    """Adds the episode id of every request that gets a record.
+
+    It follows from time, tenant and key, so all tables of one batch agree however often a task is repeated.
+    """
+    return judged.withColumn("episode_id", _id("episode"))
+
+
+def _id(what: str) -> Column:
+    return uuid7_from_text(F.unix_millis("at"), F.concat_ws("/", F.lit(what), F.col("tenant_id"), F.col("idempotency_key")))
 
 
 def stage(judged: DataFrame, path: str) -> DataFrame:

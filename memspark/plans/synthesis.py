@@ -27,19 +27,17 @@ def by_uri(pages: DataFrame, requests: DataFrame, strict: bool = True) -> DataFr
 def by_query(pages: DataFrame, requests: DataFrame, k: int) -> DataFrame:
     """The k best pages of the request's own tenant: (query_id, page_uri, score, rank).
 
-    Word statistics cover all pages; the tenant filter comes before the cut.
+    Word statistics cover the tenant's own pages.
     """
     if k < 0:
         raise ValueError("k must not be negative")
-    terms = bm25.query_terms(requests)
+    by = ("tenant_id",)
+    terms = bm25.query_terms(requests, by=by)
     small = bm25.has_at_most(terms, bm25.VOCABULARY_LIMIT)
     index = bm25.postings(
-        pages.select(F.col("page_uri").alias("fact_id"), "content"), vocabulary=terms if small else None
-    )
-    owner = pages.select(F.col("page_uri").alias("fact_id"), "tenant_id")
-    scored = bm25.scores(index, terms, small=small).join(owner, "fact_id").join(
-        requests.select("query_id", "tenant_id"), ["query_id", "tenant_id"], "left_semi"
+        pages.select("tenant_id", F.col("page_uri").alias("fact_id"), "content"), vocabulary=terms if small else None, by=by
     )
+    scored = bm25.scores(index, terms, small=small, by=by)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "fact_id")
     return (
         scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -1,5 +1,6 @@
 """Session set-up and the two run-time checks the operators need."""
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     if "memspark.local.dir" not in _local:
         _local["memspark.local.dir"] = tempfile.mkdtemp(prefix="memspark-")

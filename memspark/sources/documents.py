@@ -5,6 +5,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from memspark.functions.common import fail_when
+
 try:  # general YAML needs the package; flat mappings do not
     import yaml
 except ImportError:  # pragma: no cover
@@ -17,9 +19,10 @@ _LINE = r"^([^\s:#][^:]*):[ \t]*(.*?)[ \t]*$"
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Facts from JSON lines; blank lines are skipped, a broken line fails the job."""
+    """Facts from JSON lines; blank lines are skipped, a broken line or one without ``fact_id`` fails the job."""
     rows = spark.read.schema(CORPUS_SCHEMA).option("mode", "FAILFAST").json(path)
-    return rows.where(F.col("fact_id").isNotNull()).select(
+    named = fail_when(F.col("fact_id").isNull(), "corpus row without fact_id", F.col("fact_id"))
+    return rows.withColumn("fact_id", named).select(
         "*", F.col("valid_from").alias("recorded_at"), F.lit(1).cast("bigint").alias("version"),
         F.concat(F.lit("corpus://"), "fact_id").alias("source_uri"),
     )
@@ -30,16 +33,23 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_vector_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(vectors, queries) of a JSON document with ``dim``, ``facts`` and ``queries``."""
+    """(vectors, queries) of a JSON document with ``dim``, ``facts`` and ``queries``.
+
+    A vector of another length than ``dim``, of a fact or of a query, fails the job.
+    """
     schema = (
         "dim int, facts map<string, array<double>>, "
         "queries array<struct<query_id: string, query: string, relevant_fact_ids: array<string>, vector: array<double>>>"
     )
     doc = spark.read.schema(schema).option("multiLine", "true").json(path)
     checked = doc.withColumn("dim", F.when(F.col("dim").isNull(), F.raise_error(F.lit("document without dim"))).otherwise(F.col("dim")))
-    vectors = checked.select("dim", F.explode("facts").alias("fact_id", "vec")).where(F.size("vec") == F.col("dim"))
+
+    def fitting(vec: Column) -> Column:
+        return fail_when(F.size(vec) != F.col("dim"), F.concat(F.lit("vector dimension "), F.size(vec).cast("string"), F.lit(" is not "), F.col("dim").cast("string")), vec)
+
+    vectors = checked.select("dim", F.explode("facts").alias("fact_id", "vec")).withColumn("vec", fitting(F.col("vec")))
     queries = checked.select("dim", F.explode("queries").alias("q")).select(
-        "q.query_id", F.col("q.query").alias("text"), "q.relevant_fact_ids", F.col("q.vector").alias("vec")
+        "q.query_id", F.col("q.query").alias("text"), "q.relevant_fact_ids", fitting(F.col("q.vector")).alias("vec")
     )
     return vectors.select("fact_id", "vec"), queries
 

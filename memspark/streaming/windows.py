@@ -14,17 +14,19 @@ from memspark import vocab as v
 TTL = f"{v.IDEMPOTENCY_TTL_HOURS} hours"
 
 
-def without_replays(requests: DataFrame, keys: tuple[str, ...] = ("key", "verb"), ts: str = "at", ttl: str = TTL) -> DataFrame:
+def without_replays(requests: DataFrame, keys: tuple[str, ...] = ("tenant_id", "key", "verb"), ts: str = "at", ttl: str = TTL) -> DataFrame:
     """The first request of every key inside the retention time."""
     return requests.withWatermark(ts, ttl).dropDuplicatesWithinWatermark(list(keys))
 
 
-def classified(requests: DataFrame, ttl_hours: int = v.IDEMPOTENCY_TTL_HOURS) -> DataFrame:
-    """Adds ``outcome`` (fresh, replay, conflict) to a stream ``(key, verb, body_hash, at, seq)``.
+def classified(requests: DataFrame, ttl_hours: int = v.IDEMPOTENCY_TTL_HOURS, delay: str | None = None) -> DataFrame:
+    """Adds ``outcome`` (fresh, replay, conflict) to a stream ``(tenant_id, key, verb, body_hash, at, seq)``.
 
     The state of a key is the hash and time of its last fresh request.  A request after the
-    retention time is fresh again.  State is dropped when the watermark has passed that time.
-    Requests of one micro-batch are taken in the order of (at, seq).
+    retention time is fresh again.  A request up to ``delay`` (the retention time unless given) older than
+    the newest one seen is answered like any other; what comes later than that Spark leaves out and counts
+    (``numRowsDroppedByWatermark`` of the query's progress).  State is dropped when the watermark has passed
+    the retention time.  Requests of one micro-batch are taken in the order of (at, seq).
     """
     ttl_us = ttl_hours * 3_600_000_000
     out = T.StructType([*requests.schema.fields, T.StructField("outcome", T.StringType())])
@@ -49,7 +51,7 @@ def classified(requests: DataFrame, ttl_hours: int = v.IDEMPOTENCY_TTL_HOURS) ->
             state.setTimeoutTimestamp(max((held[1] + ttl_us) // 1000, state.getCurrentWatermarkMs() + 1))
 
     return (
-        requests.withWatermark("at", "0 seconds").groupBy("key", "verb")
+        requests.withWatermark("at", delay or f"{ttl_hours} hours").groupBy("tenant_id", "key", "verb")
         .applyInPandasWithState(step, out, "body_hash string, at_us bigint", "append", GroupStateTimeout.EventTimeTimeout)
     )
 

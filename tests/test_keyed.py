@@ -69,11 +69,16 @@ def test_idempotency_outcomes(spark):
     k = spark.range(1).select(key("a").alias("a"), key("b").alias("b"), key("c").alias("c")).first()
     req = spark.createDataFrame(
         [(k.a, "h1", T, 1), (k.a, "h1", T, 2), (k.a, "h2", T, 3), (k.b, "h1", T, 4), (k.b, "h9", T, 5), (k.c, "h3", T, 6), ("zz", "h", T, 7), (None, "h", T, 8)],
-        "key string, body_hash string, at timestamp, seq int").withColumn("verb", F.lit("remember"))
+        "key string, body_hash string, at timestamp, seq int").withColumn("verb", F.lit("remember")).withColumn("tenant_id", F.lit("t"))
     stored = spark.createDataFrame(
-        [(k.b, "remember", "h1", T + timedelta(hours=1)), (k.c, "remember", "old", T)], "key string, verb string, body_hash string, expires_at timestamp")
+        [(k.b, "remember", "h1", T + timedelta(hours=1)), (k.c, "remember", "old", T)], "key string, verb string, body_hash string, expires_at timestamp").withColumn("tenant_id", F.lit("t"))
+    want = {1: "fresh", 2: "replay", 3: "conflict", 4: "replay", 5: "conflict", 6: "fresh", 7: "malformed", 8: "missing"}
     got = {r.seq: r.outcome for r in idempotency.classify(req, stored).collect()}
-    assert got == {1: "fresh", 2: "replay", 3: "conflict", 4: "replay", 5: "conflict", 6: "fresh", 7: "malformed", 8: "missing"}
+    assert got == want
+    # another tenant may use the same keys, with other bodies
+    other = req.withColumn("tenant_id", F.lit("u")).withColumn("seq", F.col("seq") + 10).withColumn("body_hash", F.concat(F.lit("x"), "body_hash"))
+    both = {r.seq: r.outcome for r in idempotency.classify(req.unionByName(other), stored).collect()}
+    assert both == want | {11: "fresh", 12: "replay", 13: "conflict", 14: "fresh", 15: "conflict", 16: "fresh", 17: "malformed", 18: "missing"}
 
 
 def test_stored_response_round_trip(spark):
@@ -117,7 +122,11 @@ def test_broken_envelopes(spark):
 
 def test_event_sink(spark, tmp_path):
     good = "{" + BASE + 'true,"event_type":"recall_outcome"}'
-    events.write_events(spark.createDataFrame([(good,), ("{}",)], "envelope string"), str(tmp_path / "ev"))
+    rows = spark.createDataFrame([(good,), ("{}",)], "envelope string")
+    events.write_events(rows, str(tmp_path / "ev"), rejects=str(tmp_path / "bad"))
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == [("{}", "missing common field")]
+    with pytest.raises(Exception, match="rejected envelope"):
+        events.write_events(rows, str(tmp_path / "strict"))
     got = spark.read.text(str(tmp_path / "ev"))
     assert [(r.value, r.tenant_id, r.yyyy) for r in got.collect()] == [(good, "t", 2024)]
 
@@ -180,7 +189,7 @@ def test_remember_branches(spark, tmp_path):
         (7, "Alice moved to Berlin last year", "bad", "u", None, False, "utterance", None), (8, "Alice moved to Berlin last year", k[4], "", None, False, "utterance", None),
         (9, "Alice moved to Berlin last year", k[5], "u", None, True, "utterance", None), (10, "send this to my peer now", k[6], "u", "peer_route", False, "utterance", None),
     ]
-    none = spark.createDataFrame([], "key string, verb string, body_hash string, expires_at timestamp")
+    none = spark.createDataFrame([], "tenant_id string, key string, verb string, body_hash string, expires_at timestamp")
     judged = rm.judge(requests(spark, rows), none)
     staged = rm.stage(judged, str(tmp_path / "staged"))
     out = rm.remember(None, none, staged)

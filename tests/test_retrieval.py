@@ -182,6 +182,34 @@ def test_recall_ledger_and_events(spark):
     assert len(ev) == 2 and all(len(e.fact_ids) == 1 and e.path == "recall" for e in ev)
 
 
+def test_tenants_never_meet(spark):
+    """Two tenants share fact ids, words and vectors; each query sees its own facts, ranked by its own statistics."""
+    facts, q = small_world(spark)
+    twin = facts.withColumn("tenant_id", F.lit("u")).withColumn("content", F.concat(F.lit("tea "), "content"))
+    both = facts.unionByName(twin)
+    vec = lambda t, shift: [(t, f"f{i}", [float(i + shift), 0.0]) for i in range(1, 5)]
+    kind = "tenant_id string, fact_id string, vec array<double>"
+    vectors = spark.createDataFrame(vec("t", 0) + vec("u", 10), kind)
+    q = q.withColumn("vec", F.array(F.lit(1.0), F.lit(0.0)))
+    for stage in ("post_retrieval", "pre_retrieval"):
+        for tenant, own, shift in (("t", facts, 0), ("u", twin, 10)):
+            asked = q.withColumn("tenant_id", F.lit(tenant)).withColumn("query_id", F.concat(F.lit(tenant), "query_id"))
+            everyone = asked.unionByName(q.withColumn("tenant_id", F.lit("t" if tenant == "u" else "u")).withColumn("query_id", F.concat(F.lit("other"), "query_id")))
+            alone = recall(own, asked, F.lit(T), spark.createDataFrame(vec(tenant, shift), kind), dim=2, k=3, filter_stage=stage).facts
+            mixed = recall(both, everyone, F.lit(T), vectors, dim=2, k=3, filter_stage=stage).facts.where(F.col("query_id").startswith(tenant))
+            cols = ("query_id", "tenant_id", "fact_id", "content", "score", "rank")
+            want = sorted(map(tuple, alone.select(*cols).collect()))
+            assert want and sorted(map(tuple, mixed.select(*cols).collect())) == want
+
+
+def test_pre_filter_covers_vectors(spark):
+    facts, q = small_world(spark)
+    vectors = spark.createDataFrame([("t", "f2", [0.0]), ("t", "gone", [0.0])], "tenant_id string, fact_id string, vec array<double>")
+    asked = q.where("query_id = 'q3'").withColumn("vec", F.array(F.lit(0.0)))
+    got = recall(facts, asked, F.lit(T), vectors, dim=1, k=3, filter_stage="pre_retrieval")
+    assert got.filters.first().pre_filter_excluded == 0
+
+
 def test_recall_k_zero(spark):
     facts, q = small_world(spark)
     got = recall(facts, q, F.lit(T), k=0)
@@ -193,7 +221,7 @@ def test_recall_k_zero(spark):
 
 def test_recall_uses_given_connectedness(spark):
     facts, q = small_world(spark)
-    conn = spark.createDataFrame([("f1", 0.25)], "fact_id string, connectedness double")
+    conn = spark.createDataFrame([("t", "f1", 0.25), ("u", "f1", 0.9)], "tenant_id string, fact_id string, connectedness double")
     r = recall(facts, q.where("query_id = 'q1'"), F.lit(T), k=5, connectedness=conn).facts.where("fact_id = 'f1'").first()
     age = 31.0
     assert r.score == pytest.approx(0.2 * 0.7 + 0.3 * (0.05 + 0.95 * math.exp(-age / 30)) + 0.2 * 0.25, abs=1e-8)
