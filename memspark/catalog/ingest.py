@@ -190,24 +190,25 @@ def first_wins(t):
 
 
 _U04 = with_views("ledger") + """,
-old AS (SELECT fact_id, min(props) AS payload FROM ledger WHERE event_kind = 'citation' GROUP BY 1),
-inc AS (SELECT fact_id, props AS payload FROM ledger WHERE event_kind = 'correction'),
-one AS (SELECT fact_id, min(payload) AS payload FROM inc GROUP BY 1)"""
+old AS (SELECT fact_id, CAST(ts AS DATE) AS day, min(props) AS payload FROM ledger WHERE event_kind = 'citation' GROUP BY ALL),
+inc AS (SELECT fact_id, CAST(ts AS DATE) AS day, props AS payload FROM ledger WHERE event_kind = 'correction'),
+one AS (SELECT fact_id, day, min(payload) AS payload FROM inc GROUP BY ALL)"""
 
 
 def _insert_split(t):
-    old = t.ledger.where(F.col("event_kind") == "citation").groupBy("fact_id").agg(F.min("props").alias("payload"))
-    inc = t.ledger.where(F.col("event_kind") == "correction").select("fact_id", F.col("props").alias("payload"))
-    return upsert.split_new(inc, old, ("fact_id",), "payload")
+    day = F.to_date("ts").alias("day")
+    old = t.ledger.where(F.col("event_kind") == "citation").groupBy("fact_id", day).agg(F.min("props").alias("payload"))
+    inc = t.ledger.where(F.col("event_kind") == "correction").select("fact_id", day, F.col("props").alias("payload"))
+    return upsert.split_new(inc, old, ("fact_id", "day"), "payload")
 
 
-@query("U04_insert_or_ignore", _U04 + " SELECT one.* FROM one ANTI JOIN old ON one.fact_id = old.fact_id")
+@query("U04_insert_or_ignore", _U04 + " SELECT one.* FROM one ANTI JOIN old ON one.fact_id = old.fact_id AND one.day = old.day")
 def insert_or_ignore(t):
     return _insert_split(t)[0]
 
 
 @query("U04_divergence", _U04 + """
-SELECT inc.fact_id, inc.payload, count(*) AS n FROM inc JOIN one USING (fact_id) LEFT JOIN old USING (fact_id)
+SELECT inc.fact_id, inc.payload, count(*) AS n FROM inc JOIN one USING (fact_id, day) LEFT JOIN old USING (fact_id, day)
 WHERE inc.payload <> coalesce(old.payload, one.payload) GROUP BY ALL""")
 def divergence(t):
     return _insert_split(t)[1].groupBy("fact_id", "payload").agg(F.count("*").alias("n"))

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.functions.text import tokens
-from memspark.session import has_at_most
+from memspark.session import checkpointed, has_at_most
 
 NGRAM = 5
 CONTAINMENT = 0.8
@@ -41,7 +41,7 @@ def by_content(
     guard = items.select("s").distinct()
     if has_at_most(guard, _LIMIT):
         guard = F.broadcast(guard)
-    found = words.join(guard, "s", "left_semi")
+    found = checkpointed(words.join(guard, "s", "left_semi"))  # used three times; the texts are read once
     spread = found.groupBy("s").agg(F.count("*").alias("_df"))
     by_item = Window.partitionBy("item_id")
     ranked = (
