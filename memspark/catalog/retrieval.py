@@ -200,6 +200,20 @@ def recall_pre_filter(t):
     return got.facts.select("query_id", "fact_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
+@query("Q1_recall_envelope", with_views("query_batch", "pages_v") + """,
+asking AS (SELECT tenant_id, count(*) AS queries FROM query_batch GROUP BY 1),
+run AS (SELECT *, sum(bytes) OVER (PARTITION BY tenant_id ORDER BY revised_at DESC, page_uri DESC) AS s FROM pages_v),
+kept AS (SELECT tenant_id, count(*) AS n_pages, CAST(sum(bytes) AS BIGINT) AS total_bytes FROM run WHERE s <= 10240 GROUP BY 1)
+SELECT tenant_id, queries, coalesce(n_pages, 0) AS n_pages, coalesce(total_bytes, 0) AS total_bytes, 0::BIGINT AS facts FROM asking LEFT JOIN kept USING (tenant_id)""")
+def recall_envelope(t):
+    """With k = 0 an answer is the preference pages of the tenant and nothing else."""
+    got = rc.recall(t.facts, t.query_batch, clock(T_NOW), t.fact_vectors, dim=DIM, k=0, pages=t.pages)
+    asking = t.query_batch.groupBy("tenant_id").agg(F.count("*").alias("queries"))
+    kept = got.preferences.groupBy("tenant_id").agg(F.count("*").alias("n_pages"), F.sum("bytes").alias("total_bytes"))
+    facts = got.facts.groupBy("tenant_id").agg(F.count("*").alias("facts"))
+    return asking.join(kept, "tenant_id", "left").join(facts, "tenant_id", "left").fillna(0, ["n_pages", "total_bytes", "facts"])
+
+
 @query("Q1_recall_filters", sql_recall(_TWO, 10) + """
 SELECT q.query_id, coalesce(s.n, 0) - coalesce(a.n, 0) AS pre_filter_excluded, coalesce(d.n, 0) AS provenance_dropped,
   false AS k_zero_short_circuit

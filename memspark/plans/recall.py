@@ -16,7 +16,7 @@ from memspark import vocab as v
 from memspark.functions import ids
 from memspark.functions.common import blank, clamp01
 from memspark.functions.scoring import composed_score
-from memspark.operators import bm25, fusion, knn, temporal
+from memspark.operators import bm25, fusion, knn, preferences, temporal
 from memspark.session import has_at_most
 
 TENANT = "tenant_id"
@@ -25,10 +25,12 @@ VERSIONS = ("p3-recall-v0", "p3-gap03-5a-v0")  # fixed values stamped on rows of
 
 @dataclass(frozen=True)
 class Recalled:
-    """``facts`` are the answers, ``filters`` one accounting row per query."""
+    """``facts`` are the answers, ``filters`` one accounting row per query.  ``preferences`` are the pages every
+    answer of a tenant carries, one row per asking tenant and page, also when no fact is asked for."""
 
     facts: DataFrame
     filters: DataFrame
+    preferences: DataFrame | None = None
 
 
 def retrieve(
@@ -62,11 +64,13 @@ def recall(
     graph_hits: DataFrame | None = None,
     connectedness: DataFrame | None = None,
     filter_stage: str = "post_retrieval",
+    pages: DataFrame | None = None,
 ) -> Recalled:
     """``filter_stage="post_retrieval"`` lets expired facts use up list slots;
     ``"pre_retrieval"`` removes them from every list before ranking.  ``graph_hits`` are lists of facts of
     the query's tenant.  With ``connectedness(tenant_id, fact_id, connectedness)`` the graph term replaces the fused-rank proxy.  Fewer than k rows may come
-    back: rows without an episode are dropped after the cut and not replaced."""
+    back: rows without an episode are dropped after the cut and not replaced.  With ``pages`` the preference
+    pages of the asking tenants come along under their byte cap, for ``k = 0`` they are the whole answer."""
     if k < 0:
         raise ValueError("k must not be negative")
     if filter_stage not in ("post_retrieval", "pre_retrieval"):
@@ -111,7 +115,11 @@ def recall(
             F.lit(k == 0).alias("k_zero_short_circuit"),
         )
     )
-    return Recalled(cut.where(~blank(F.col("episode_id"))), filters)
+    always = None
+    if pages is not None:
+        asking = tenant_of.select(TENANT).distinct()
+        always = preferences.pack(preferences.preference_pages(pages).join(asking, TENANT, "left_semi"))
+    return Recalled(cut.where(~blank(F.col("episode_id"))), filters, always)
 
 
 def _fuse(alive: DataFrame) -> DataFrame:

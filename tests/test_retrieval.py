@@ -1,7 +1,7 @@
 import math
 import random
 import sqlite3
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
@@ -213,7 +213,12 @@ def test_pre_filter_covers_vectors(spark):
 def test_recall_k_zero(spark):
     facts, q = small_world(spark)
     got = recall(facts, q, F.lit(T), k=0)
-    assert got.facts.count() == 0
+    assert got.facts.count() == 0 and got.preferences is None
+    pages = spark.createDataFrame(
+        [("t", "p1", "preference", T, 6_000), ("t", "p2", "prohibition", T - timedelta(days=1), 6_000), ("u", "p3", "preference", T, 10), ("t", "p4", "note", T, 1)],
+        "tenant_id string, page_uri string, kind string, revised_at timestamp, bytes bigint")
+    with_pages = recall(facts, q, F.lit(T), k=0, pages=pages)
+    assert [r.page_uri for r in with_pages.preferences.collect()] == ["p1"]
     assert {r.k_zero_short_circuit for r in got.filters.collect()} == {True}
     with pytest.raises(ValueError):
         recall(facts, q, F.lit(T), k=-1)
