@@ -124,6 +124,25 @@ def gravity(t):
     )
 
 
+@query("F04_gravity_by_tenant", """WITH e AS (
+  SELECT 'tenant-' || CAST(o_custkey % 10 AS VARCHAR) AS tenant_id, 'c-' || CAST(o_custkey AS VARCHAR) AS a, 'o-' || CAST(o_orderkey AS VARCHAR) AS b,
+    CAST(o_totalprice AS DOUBLE) AS w FROM orders),
+cost AS (SELECT tenant_id, fact_id, round(sum(w), 4) AS cascade_cost FROM (
+  SELECT tenant_id, a AS fact_id, w FROM e UNION ALL SELECT tenant_id, b, w FROM e) GROUP BY ALL),
+lim AS (SELECT tenant_id, quantile_disc(cascade_cost, 0.99) AS p99 FROM cost GROUP BY 1)
+SELECT tenant_id, fact_id, p99, round(CASE WHEN p99 <= 0 THEN 0.0 ELSE greatest(0.0, least(1.0, cascade_cost / p99)) END, 9) AS gravity
+FROM cost JOIN lim USING (tenant_id)""")
+def gravity_by_tenant(t):
+    """Gravity of customers and orders against the 99th percentile of their own tenant."""
+    o = t.table("orders")
+    edges = o.select(
+        F.concat(F.lit("tenant-"), (F.col("o_custkey") % 10).cast("string")).alias("tenant_id"),
+        F.concat(F.lit("c-"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("o-"), F.col("o_orderkey").cast("string")).alias("dst"),
+        F.col("o_totalprice").cast("double").alias("weight"))
+    got = ut.with_gravity(ut.cascade_cost(edges, 4, ("tenant_id",)), ("tenant_id",))
+    return got.select("tenant_id", "fact_id", "p99", F.round("gravity", 9).alias("gravity"))
+
+
 @query("A08_contradictions", with_views("ledger") + """
 SELECT fact_id, count(DISTINCT props) FILTER (event_kind = 'correction') AS contradiction_count FROM ledger GROUP BY 1""")
 def contradictions(t):

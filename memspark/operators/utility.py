@@ -63,24 +63,28 @@ def contradiction_count(edges: DataFrame, facts: DataFrame | None = None) -> Dat
     return facts.select("fact_id").join(counts, "fact_id", "left").fillna(0, ["contradiction_count"])
 
 
-def undirected(edges: DataFrame) -> DataFrame:
-    """(a, b, weight) once per pair, a < b; loops dropped, bad weights fail the job."""
+def undirected(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by…, a, b, weight) once per pair, a < b; loops dropped, bad weights fail the job."""
     w = fail_when(F.col("weight") < 0.0, "negative edge weight", F.col("weight"))
     pairs = edges.where(F.col("src") != F.col("dst")).groupBy(
-        F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")
+        *by, F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")
     ).agg(F.min(w).alias("_lo"), F.max(w).alias("_hi"))
     agreed = fail_when(F.col("_lo") != F.col("_hi"), "edge weights of the two directions differ", F.col("_lo"))
-    return pairs.select("a", "b", agreed.alias("weight"))
+    return pairs.select(*by, "a", "b", agreed.alias("weight"))
 
 
-def cascade_cost(edges: DataFrame, digits: int = v.RANK_DIGITS) -> DataFrame:
-    """(fact_id, cascade_cost): weight of all edges that break when the node goes."""
-    ends = undirected(edges).select(F.explode(F.array("a", "b")).alias("fact_id"), "weight")
-    return ends.groupBy("fact_id").agg(F.round(F.sum("weight"), digits).alias("cascade_cost"))
+def cascade_cost(edges: DataFrame, digits: int = v.RANK_DIGITS, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by…, fact_id, cascade_cost): weight of all edges that break when the node goes."""
+    ends = undirected(edges, by).select(*by, F.explode(F.array("a", "b")).alias("fact_id"), "weight")
+    return ends.groupBy(*by, "fact_id").agg(F.round(F.sum("weight"), digits).alias("cascade_cost"))
 
 
-def with_gravity(costs: DataFrame) -> DataFrame:
-    """Adds p99 (over all rows; 0 when there are none) and the clipped ratio."""
+def with_gravity(costs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds p99 (of the rows that agree in ``by``, such as a tenant; 0 when there are none) and the clipped ratio."""
+    if by:
+        p99 = percentile_disc(costs, "cascade_cost", 0.99, by, "p99").drop("n")
+        rows = costs.join(p99, list(by), "left").fillna(0.0, ["p99"])
+        return rows.withColumn("gravity", gravity(F.col("cascade_cost"), F.col("p99")))
     p99 = percentile_disc(costs, "cascade_cost", 0.99, name="p99")
     one = F.coalesce(p99.select("p99").scalar(), F.lit(0.0))
     return costs.withColumn("p99", one).withColumn("gravity", gravity(F.col("cascade_cost"), F.col("p99")))
