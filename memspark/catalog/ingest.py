@@ -1,5 +1,7 @@
 """Registered queries: classification, idempotency, upserts, preferences, events, lints."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from memspark import vocab as v
@@ -13,6 +15,7 @@ from memspark.operators import idempotency, lints, preferences, transitions, ups
 from memspark.operators import utility as ut
 from memspark.plans import remember as rm
 from memspark.sources import documents as docs
+from memspark.session import shared_dir
 
 # the SQL side has no Unicode-aware \b and \d, so both are written out
 _EDGE0, _EDGE1 = r"(^|[^\p{L}\p{N}_])", r"($|[^\p{L}\p{N}_])"
@@ -380,6 +383,21 @@ def integrity(t):
 
 
 # --- text and vectors --------------------------------------------------------------------------
+@query("S04_round_trip", "SELECT page_id, CAST(strlen(html) AS BIGINT) AS bytes, true AS same FROM pages")
+def markdown_round_trip(t):
+    """Pages written as markdown files with front matter and read back, text and address compared."""
+    p = t.table("pages").select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    place = f"{shared_dir(t.spark)}/markdown/{uuid.uuid4().hex}"
+    text = docs.render(F.create_map(F.lit("url"), F.col("url"), F.lit("id"), F.col("page_id").cast("string")), F.col("html"))
+    written = docs.write_markdown(p.select(F.col("page_id").alias("page"), text.alias("text")), place)
+    back = docs.read_markdown(t.spark, place)
+    meta = docs.flat_front_matter(F.col("text"))
+    back = back.select(meta["id"].cast("bigint").alias("page_id"), meta["url"].alias("back_url"), docs.body(F.col("text")).alias("back"))
+    got = p.join(written.select(F.col("page").cast("bigint").alias("page_id")), "page_id").join(back, "page_id", "left")
+    same = F.col("back").eqNullSafe(F.col("html")) & F.col("back_url").eqNullSafe(F.col("url"))
+    return got.select("page_id", F.octet_length("back").cast("bigint").alias("bytes"), same.alias("same"))
+
+
 @query("S03_front_matter", r"""WITH md AS (
   SELECT doc_id, lang, source, regexp_replace(text, '\r', '', 'g') AS body FROM documents)
 SELECT doc_id, lang AS md_lang, source AS md_source, CAST(length(body) AS BIGINT) AS body_chars FROM md""")

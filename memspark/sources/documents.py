@@ -1,11 +1,16 @@
 """Text sources: JSON lines, JSON documents, markdown with front matter; log rows."""
 
+from urllib.parse import quote
+
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from memspark.functions.common import fail_when
+from memspark.session import checkpointed
 
 try:  # general YAML needs the package; flat mappings do not
     import yaml
@@ -15,6 +20,8 @@ except ImportError:  # pragma: no cover
 CORPUS_SCHEMA = "fact_id string, kind string, content string, valid_from timestamp, valid_to timestamp, episode_id string"
 CASE_SCHEMA = "case_id string, version int, source string, intent_class string, contamination_protected boolean, tags array<string>, payload string"
 _ENVELOPE = r"(?s)\A---\s*\r?\n(.*?)\r?\n---\s*\r?\n(.*)\z"
+_PLAIN = r"^([\p{L}_]([\p{L}\p{N}_./ -]*[\p{L}\p{N}_./-])?|0|[1-9]\d*)$"  # text YAML reads back unchanged
+_RESERVED = r"(?i)^(true|false|yes|no|on|off|null|y|n)$"
 _LINE = r"^([^\s:#][^:]*):[ \t]*(.*?)[ \t]*$"
 
 
@@ -78,7 +85,9 @@ def flat_front_matter(text: Column) -> Column:
     pairs = F.filter(lines, lambda s: s.rlike(_LINE))
 
     def value(s: Column) -> Column:
-        return F.regexp_replace(F.regexp_extract(s, _LINE, 2), r"^(['\"])(.*)\1$", "$2")
+        raw = F.regexp_extract(s, _LINE, 2)
+        inside = F.regexp_replace(raw, r"^(['\"])(.*)\1$", "$2")
+        return F.when(raw.rlike("^'.*'$"), F.replace(inside, F.lit("''"), F.lit("'"))).otherwise(inside)
 
     return F.map_from_entries(F.transform(pairs, lambda s: F.struct(F.regexp_extract(s, _LINE, 1), value(s))))
 
@@ -103,16 +112,44 @@ def front_matter(text: Column) -> Column:
     return flat_front_matter(text) if yaml is None else _yaml_map(front_matter_block(text))
 
 
+def _scalar(value: Column) -> Column:
+    quoted = F.concat(F.lit("'"), F.replace(value, F.lit("'"), F.lit("''")), F.lit("'"))
+    checked = fail_when(value.rlike("[\\r\\n]"), "front matter value with a line break", value)
+    return F.when(value.rlike(_PLAIN) & ~value.rlike(_RESERVED), checked).otherwise(fail_when(value.rlike("[\\r\\n]"), "front matter value with a line break", quoted))
+
+
 def render(metadata: Column, body_: Column) -> Column:
-    """Markdown text with sorted front matter; no envelope for an empty map."""
+    """Markdown text with sorted front matter; no envelope for an empty map.
+
+    Values that YAML would read as something else than their text are put in single quotes; one with a line break fails.
+    """
     entries = F.array_sort(F.map_entries(metadata))
-    lines = F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n")
+    lines = F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit(": "), _scalar(e["value"]))), "\n")
     return F.when(F.size(metadata) > 0, F.concat(F.lit("---\n"), lines, F.lit("\n---\n"), body_)).otherwise(body_)
 
 
-def write_markdown(pages: DataFrame, path: str) -> None:
-    """Write ``pages(page, text)`` as text rows under one folder per page."""
-    pages.select("page", F.col("text").alias("value")).write.mode("overwrite").partitionBy("page").option("lineSep", "\0").text(path)
+def write_markdown(pages: DataFrame, path: str) -> DataFrame:
+    """Write ``pages(page, text)``, each as the file ``<page>.md`` below ``path``, and return (page, file, bytes).
+
+    Characters of a page name that cannot stand in a file name are percent-encoded.  The file holds the text and nothing
+    else; a repeated task writes the same files again.
+    """
+    folder = path if "://" in path else f"file://{path}"
+
+    def write(batches):
+        fs, root = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        for batch in batches:
+            out = []
+            for page, text in zip(batch.column("page").to_pylist(), batch.column("text").to_pylist()):
+                name, data = f"{quote(page, safe=' ')}.md", (text or "").encode()
+                with fs.open_output_stream(f"{root}/{name}", compression=None) as f:
+                    f.write(data)
+                out.append((page, name, len(data)))
+            columns = list(zip(*out)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], ["page", "file", "bytes"])
+
+    return checkpointed(pages.select(F.col("page").cast("string").alias("page"), "text").mapInArrow(write, "page string, file string, bytes long"))
 
 
 def log_rows(entries: DataFrame, columns: tuple[str, ...], kind: str, at: Column) -> DataFrame:

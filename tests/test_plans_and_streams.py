@@ -99,6 +99,18 @@ def test_front_matter(spark, tmp_path):
     assert back.t == "---\na: 1\nb: 2\n---\ntext" and back.e == "text"
 
 
+def test_markdown_files_hold_the_text_alone(spark, tmp_path):
+    odd = {"a": "x: y", "b": "'quoted'", "c": 'say "hi"', "d": "yes", "e": "007", "f": " padded ", "g": "# no comment", "h": "it's", "i": "", "j": "plain words", "k": "1.5", "l": "[x]"}
+    pairs = F.create_map(*[F.lit(x) for kv in odd.items() for x in kv])
+    pages = spark.createDataFrame([("one/two ü", "body\nend"), ("empty", ""), ("crlf", "a\r\nb\n")], "page string, text string")
+    made = documents.write_markdown(pages.withColumn("text", documents.render(pairs, F.col("text"))), str(tmp_path / "md"))
+    assert made.count() == 3 and (tmp_path / "md" / "one%2Ftwo %C3%BC.md").read_bytes().endswith(b"---\nbody\nend")
+    for r in documents.read_markdown(spark, str(tmp_path / "md")).select(documents.flat_front_matter(F.col("text")).alias("m"), documents.front_matter(F.col("text")).alias("y"), documents.body(F.col("text")).alias("b")).collect():
+        assert r.m == odd and (documents.yaml is None or r.y == odd) and r.b in ("body\nend", "", "a\r\nb\n")
+    with pytest.raises(Exception, match="line break"):
+        pages.select(documents.render(F.create_map(F.lit("k"), F.lit("a\nb")), F.col("text"))).collect()
+
+
 def test_front_matter_must_be_a_mapping(spark):
     if documents.yaml is None:
         pytest.skip("no YAML package")
