@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from memspark.llm import bpe
 from memspark.llm.common import checkpointed, shared_folder, slices, text_or_empty
+from memspark.session import broadcast_if
 
 
 class Permutation:
@@ -70,6 +71,7 @@ def write_shards(
 
     A null or empty text is an end id; repeated rows are written as often as they occur; other columns are
     ignored; the last sequence is padded with ``pad``.  An empty table has no sequence and no file.
+    ``docs`` must give the same rows in the same partitions each time, as a table scan does.
     The texts are encoded twice, once for the counts: cheaper than to keep the ids of all texts in between.
     To the driver come the token counts of partitions, one number each.  Files get fresh names and count
     only when the manifest, a checkpoint, has them, so lost and repeated tasks do no harm.
@@ -184,9 +186,10 @@ def read_shards(spark: SparkSession, shards: Shards, from_slot: int = 0) -> Data
                         ["slot", "sequence_id", "shard", "n_tokens", "ids"],
                     )
 
+    # The contents stay where they are read: the list of files goes to them, up to a million of them.
     files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.bin").load(shards.folder).withColumn("file", F.element_at(F.split("path", "/"), -1))
     wanted = shards.manifest.filter(F.col("first_slot") + F.col("sequences") > from_slot).select("file", "shard")
-    return files.join(wanted, "file").select("shard", "content").mapInArrow(parse, schema)
+    return files.join(broadcast_if(wanted, 1_000_000), "file").select("shard", "content").mapInArrow(parse, schema)
 
 
 def training_order(docs: DataFrame, vocabulary: str, folder: str | None = None, **options) -> DataFrame:
