@@ -12,7 +12,6 @@ from memspark.functions.ids import uuid7_from_text
 from memspark.functions.vectors import cosine, hash_vector
 from memspark.operators import events as ev
 from memspark.operators import idempotency, lints, preferences, transitions, upsert
-from memspark.operators import utility as ut
 from memspark.plans import remember as rm
 from memspark.sources import documents as docs
 from memspark.session import shared_dir

@@ -5,7 +5,6 @@ import uuid
 from pyspark.sql import functions as F
 
 from memspark import vocab as v
-from memspark.catalog.ingest import remember_requests
 from memspark.catalog.registry import query
 from memspark.catalog.retrieval import _TWO, sql_recall
 from memspark.catalog.scoring import SQL_SCORE, scored_facts
