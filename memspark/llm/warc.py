@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memspark.llm.common import checkpointed, shared_folder, text_or_empty
+from memspark.session import broadcast_if
 
 _MAGIC = 0x184D2A5D  # of the frame that holds a dictionary, as the format says
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -172,7 +173,8 @@ def read_archive(spark: SparkSession, folder: str, manifest: DataFrame) -> DataF
     if manifest.isEmpty():
         return spark.createDataFrame([], schema)
     files = spark.read.format("binaryFile").load(folder).withColumn("file", F.element_at(F.split("path", "/"), -1))
-    return files.join(manifest.select("file"), "file", "left_semi").select("content").mapInArrow(parse, schema)
+    # The contents stay where they are read: the list of files goes to them, up to a million of them.
+    return files.join(broadcast_if(manifest.select("file"), 1_000_000), "file", "left_semi").select("content").mapInArrow(parse, schema)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
