@@ -79,7 +79,7 @@ def _powers_of(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers_of(1 << max(20, int(size).bit_length()))
+    return _powers_of(max(5, -(-size // (1 << 18))) << 18)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -218,7 +218,7 @@ class Encoder:
 
     cut = regex.compile(r"(?<=\S) (?=\S)")  # where a text can be cut without changing its pre-tokens
 
-    def __init__(self, path: str, remember: int = 1_500_000):
+    def __init__(self, path: str, remember: int = 600_000):
         self.merges = Merges(path)
         self.remember = remember
         specials = self.merges.specials

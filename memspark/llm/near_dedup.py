@@ -3,7 +3,7 @@
 Steps, each a shuffle on an evenly spread key:
 
 1. Equal texts are merged (by SHA-256, inside the map tasks first); one text of each goes on.
-2. Shingles are hashed in chunks of about 4 MB of text and dealt out by hash range, as packed arrays.
+2. Shingles are hashed in chunks of about 2 MB of text and dealt out by hash range, as packed arrays.
 3. Each range counts document frequencies, turns its entries into weights and sends each chunk the
    entries that other texts hold too; the rest comes back as a count per text.
 4. A text whose common shingles carry less than the threshold of its weight has no partner (exact
@@ -24,7 +24,7 @@ from memspark.llm import bpe
 from memspark.llm.common import checkpointed, slices, text_or_empty
 from memspark.operators.safety import components
 
-_CHUNK = 4 << 20
+_CHUNK = 2 << 20
 _DOCS = 60_000  # of a chunk at most, so that a place in it fits 16 bits
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -62,6 +62,21 @@ def word_shingles(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]
     return bpe.mixed(total), owner[at]
 
 
+def _shingles_in_parts(texts: list[str], width: int, limit: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """``word_shingles`` of about ``limit`` characters at a time."""
+    hashes, owners, lo = [], [], 0
+    while lo < len(texts):
+        hi, size = lo, 0
+        while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= limit):
+            size += len(texts[hi])
+            hi += 1
+        h, owner = word_shingles(texts[lo:hi], width)
+        hashes.append(h)
+        owners.append(owner + lo)
+        lo = hi
+    return np.concatenate(hashes), np.concatenate(owners)
+
+
 def _chunks(batches):
     """Slices of about ``_CHUNK`` bytes that hold no more than ``_DOCS`` rows."""
     waiting, size = [], 0
@@ -83,7 +98,7 @@ def _dealer(ranges: int, width: int):
         for chunk in _chunks(batches):
             digests = chunk.column("digest").to_pylist()
             texts = chunk.column("text").to_pylist()
-            h, owner = word_shingles(texts, width)
+            h, owner = _shingles_in_parts(texts, width)
             of = ((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
             order = np.argsort(of.astype(np.uint16) if ranges <= 1 << 16 else of, kind="stable")
             h, owner, of = h[order].astype(np.uint32), owner[order], of[order].astype(np.int64)
@@ -167,14 +182,23 @@ def _weigher(texts: int, spread: float):
     return weigh
 
 
-def consistent_samples(keys: np.ndarray, weights: np.ndarray, starts: np.ndarray, samples: int) -> np.ndarray:
+def consistent_samples(keys: np.ndarray, weights: np.ndarray, starts: np.ndarray, samples: int, block: int = 1 << 16) -> np.ndarray:
     """``samples`` improved consistent weighted samples (Ioffe 2010) of every set, as 32-bit values.
 
     Two sets agree in a sample with the probability of their weighted Jaccard similarity.  The sets
     are the stretches of ``keys`` that begin at ``starts``; r and c are Gamma(2, 1), b is uniform.
     """
     out = np.empty((len(starts), samples), np.uint32)
-    size = np.diff(np.append(starts, len(keys)))
+    edges = np.append(starts, len(keys))
+    if len(keys) > block and len(starts) > 1:  # whole sets, about ``block`` elements at a time
+        lo = 0
+        while lo < len(starts):
+            hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + block, side="right")) - 1)
+            part = slice(edges[lo], edges[hi])
+            out[lo:hi] = consistent_samples(keys[part], weights[part], starts[lo:hi] - edges[lo], samples, len(keys))
+            lo = hi
+        return out
+    size = np.diff(edges)
     log_w = np.log(weights.astype(np.float64))
     for k in range(samples):
         u = bpe.mixed(keys + np.uint64((k + 1) * int(_STEP) & 0xFFFFFFFFFFFFFFFF))
@@ -323,7 +347,7 @@ def _across(threshold: float):
     return compare
 
 
-def links(able: DataFrame, threshold: float, large: int = 64, block: int = 512) -> DataFrame:
+def links(able: DataFrame, threshold: float, large: int = 64, block: int = 256) -> DataFrame:
     """Verified pairs (a, b) that connect the same texts as all similar candidate pairs do.
 
     Buckets up to ``large`` members give their remaining pairs, bigger ones meet in blocks.

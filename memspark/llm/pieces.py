@@ -64,7 +64,7 @@ class Pieces:
     def stable(self, a: str, b: str) -> bool:
         found = self._stable.get((a, b))
         if found is None:
-            if len(self._stable) > 2_000_000:
+            if len(self._stable) > 400_000:
                 self._stable.clear()
             found = self._stable[a, b] = self.merged(a + b) == [a, b]
         return found
@@ -164,7 +164,7 @@ class PieceEncoder(bpe.Encoder):
 
     cut = regex.compile(f"(?<=[^{_SPACE}]){_SPACE}(?=[^{_SPACE}])")
 
-    def __init__(self, path: str, remember: int = 1_500_000):
+    def __init__(self, path: str, remember: int = 600_000):
         self.pieces, self.remember, self.special = Pieces(path), remember, None
         self._forget()
 

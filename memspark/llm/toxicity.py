@@ -6,6 +6,7 @@ label 1.  How often windows gain how many bytes is calibrated against labels to
 is learned from a bounded sample of labelled rows, every text is scored in whole.
 """
 
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -50,9 +51,18 @@ def toxic_pieces(toxic: list[bytes], ordinary: list[bytes], most: int = 400) ->
     Taken in falling order of gain, one of each chain of prefixes, as long as a piece covers texts
     that fewer than two others cover.
     """
-    found, other = [_pieces(b) for b in toxic], Counter()
+    least = max(2, int(np.ceil(0.01 * len(toxic))))
+    # A count by hash tells first which pieces can be frequent enough, so that only those are held.
+    rough = np.zeros(1 << 22, np.int32)
+    slots = lambda pieces: np.fromiter((zlib.crc32(p) for p in pieces), np.int64, len(pieces)) & (len(rough) - 1)
+    for b in toxic:
+        np.add.at(rough, slots(_pieces(b)), 1)
+    found, other = [], Counter()
+    for b in toxic:
+        pieces = list(_pieces(b))
+        found.append({p for p, n in zip(pieces, rough[slots(pieces)].tolist(), strict=True) if n >= least})
     counts = Counter(p for pieces in found for p in pieces)
-    counts = Counter({p: k for p, k in counts.items() if k >= 2})
+    counts = Counter({p: k for p, k in counts.items() if k >= least})
     for b in ordinary:
         other.update(p for p in _pieces(b) if p in counts)
     gain = {}
@@ -71,7 +81,7 @@ def toxic_pieces(toxic: list[bytes], ordinary: list[bytes], most: int = 400) ->
     for p in sorted(gain, key=lambda p: (-gain[p], -len(p), p)):
         if len(out) == most or any(p.startswith(x) or x.startswith(p) for x in out):
             continue
-        if (covered[holders[p]] < 2).sum() >= max(2, 0.01 * len(toxic)):
+        if (covered[holders[p]] < 2).sum() >= least:
             out.append(p)
             covered[holders[p]] += 1
     return out
@@ -166,7 +176,7 @@ def fold(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.encode(F.col(key).cast("string"), "UTF-8")) % 5 == 0, F.lit(True))
 
 
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 3000, chars: int = 20_000) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 2000, chars: int = 20_000) -> Model:
     """A model from at most ``per_class`` labelled texts of each class of at most ``chars`` characters.
 
     The sample is the texts with the smallest hashes among the labelled rows that are not held out
@@ -183,7 +193,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def _scores(batch: pa.RecordBatch, model: Model, column: str) -> np.ndarray:
-    parts = slices([batch.select([column])], column, 4 << 20)
+    parts = slices([batch.select([column])], column, 1 << 20)
     return np.concatenate([np.empty(0), *(model.score(p.column(column).to_pylist()) for p in parts)])
 
 
