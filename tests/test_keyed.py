@@ -204,7 +204,7 @@ def test_remember_branches(spark, tmp_path):
     assert rq.status == "pending_review" and rq.expires_at == T + timedelta(days=7)
     ids = {r.episode_id for r in out.episodes.collect()}
     assert ids == {e.fact_ids[0] for e in out.events.collect()}
-    later = rm.judge(requests(spark, rows[:1]), out.idempotency_keys.select("key", "verb", "body_hash", "expires_at"))
+    later = rm.judge(requests(spark, rows[:1]), out.idempotency_keys.select("tenant_id", "key", "verb", "body_hash", "expires_at"))
     assert later.first().outcome == "replay"
 
 
