@@ -2,17 +2,16 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and works on all rows its predecessor kept; all but
 the last return the columns of ``docs``.  A null or empty text is a document like any other; rows
-that repeat are copies.  Stages drop rows by their number in the table they read, so rows with one
-id or without an id are told apart.
+that repeat are copies.  Dedup stages first write their rows with a number to the shared folder and drop
+rows of that table by it, so rows with one id or without an id are told apart, and a cluster that
+loses or gains executors between two scans (which may split the files otherwise) drops the same rows.
 """
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memspark.llm import catalog
-from memspark.llm.common import shared_dir, table
+from memspark.llm.common import shared_folder, table
 from memspark.llm.exact_dedup import exact_duplicates
 from memspark.llm.near_dedup import near_duplicates
 from memspark.llm.packing import packed_documents
@@ -24,10 +23,17 @@ _ROW = "__row_of_stage"
 _BROADCAST_ROWS = 1_000_000
 
 
-def _without(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose verdict is not ``kept``."""
+def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` with a number for every row, stored: no later scan derives it again."""
+    folder = shared_folder(spark, "numbered")
+    docs.withColumn(_ROW, F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def _without(numbered: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The rows of ``_numbered`` whose verdict is ``kept``, without their numbers."""
     dropped = verdicts.filter(~F.col("kept")).select(F.col("row").alias(_ROW))
-    return docs.withColumn(_ROW, F.monotonically_increasing_id()).join(broadcast_if(dropped, _BROADCAST_ROWS), _ROW, "left_anti").drop(_ROW)
+    return numbered.join(broadcast_if(dropped, _BROADCAST_ROWS), _ROW, "left_anti").drop(_ROW)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,12 +43,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest id."""
-    return _without(docs, exact_duplicates(docs, with_row=True))
+    numbered = _numbered(spark, docs)
+    return _without(numbered, exact_duplicates(numbered, row=_ROW))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar texts, the document with the smallest id."""
-    return _without(docs, near_duplicates(docs, different=True, with_row=True))
+    numbered = _numbered(spark, docs)
+    return _without(numbered, near_duplicates(numbered, different=True, row=_ROW))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +67,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written as Parquet below the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "pipeline")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")

@@ -17,11 +17,11 @@ def numbered(different: DataFrame, *by: str) -> DataFrame:
     return different.sortWithinPartitions(*by).select(*by, F.monotonically_increasing_id().alias("name"))
 
 
-def identities(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = 4096) -> DataFrame:
+def identities(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = 4096, row: str | None = None) -> DataFrame:
     """``row, key, sha, blocks, name``: equal texts and only these share (blocks, name)."""
     body = F.encode(text_or_empty(text), "UTF-8")
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc"), F.sha2(body, 256).alias("sha"), body.alias("body"),
+        (F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.col(key).alias("doc"), F.sha2(body, 256).alias("sha"), body.alias("body"),
         F.greatest(F.ceil(F.octet_length(text_or_empty(text)) / block), F.lit(1)).cast("int").alias("blocks"),
     )
     parts = rows.select("row", "doc", "sha", "blocks", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.substring("body", i * block + 1, F.lit(block)))).alias("pos", "part"))
@@ -48,7 +48,7 @@ def identities(docs: DataFrame, key: str = "doc_id", text: str = "text", block:
     return done.withColumnRenamed("doc", key)
 
 
-def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = 4096, with_row: bool = False) -> DataFrame:
+def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = 4096, row: str | None = None) -> DataFrame:
     """``key, keep_id, group_size, kept, text_sha256`` of every row.
 
     Texts are compared unchanged, null as empty.  Of equal texts the row with the largest key stays
@@ -58,12 +58,12 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", b
     Equal blocks are merged in the map tasks before they are numbered, groups are counted the same
     way, and both joins back to the rows can be split by adaptive execution, so a block or text that
     makes up a third of all rows does not end in one task.  Every round is a reliable checkpoint.
-    ``with_row`` adds ``row``, what ``monotonically_increasing_id`` gives over ``docs``.
+    ``row`` names a column of ``docs`` with a stored number for every row; the result then has it as ``row``.
     """
-    found = identities(docs, key, text, block)
+    found = identities(docs, key, text, block, row)
     best = F.max(F.struct(F.col(key), (-F.col("row")).alias("back")))
     groups = found.groupBy("blocks", "name").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
     out = found.join(groups, ["blocks", "name"]).select(
         key, F.col(f"best.{key}").alias("keep_id"), "group_size", (F.col("row") == -F.col("best.back")).alias("kept"), F.col("sha").alias("text_sha256"), "row"
     )
-    return out if with_row else out.drop("row")
+    return out if row else out.drop("row")

@@ -379,7 +379,7 @@ def links(able: DataFrame, threshold: float, large: int = 64, block: int = 256)
 
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, width: int = 5, bands: int = 16, rows: int = 4, spread: float = 0.25,
-    different: bool = False, with_row: bool = False,
+    different: bool = False, row: str | None = None,
 ) -> DataFrame:
     """``key, component_id, group_size, kept`` of every row.
 
@@ -392,16 +392,17 @@ def near_duplicates(
     larger than all others; a group of null keys only has a null ``component_id``.  Of repeated rows
     with one key and text one is kept.  Other columns are ignored.
 
-    ``different`` tells that no two texts are equal, which saves the shuffle of step 1; ``with_row`` adds
-    ``row``, what ``monotonically_increasing_id`` gives over ``docs``.
+    ``different`` tells that no two texts are equal, which saves the shuffle of step 1; ``row`` names a
+    column of ``docs`` with a stored number for every row, and the result then has it as ``row``.  Without one, rows
+    are numbered in one scan and kept in a checkpoint.
     """
     able = checkpointed(candidates(docs, text, threshold, width, bands, rows, spread, different))
     part = components(links(able, threshold)).withColumnRenamed("node", "digest")
-    rows_ = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), digest_of(text).alias("digest"))
-    rows_ = rows_.join(part, "digest", "left").select("row", "key", F.coalesce("component", "digest").alias("class"))
+    rows_ = docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.col(key).alias("key"), digest_of(text).alias("digest"))
+    rows_ = checkpointed(rows_.join(part, "digest", "left").select("row", "key", F.coalesce("component", "digest").alias("class")))
     best = F.min(F.struct(F.col("key").isNull().alias("unknown"), "key", "row"))
     groups = rows_.groupBy("class").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
     out = rows_.join(groups, "class").select(
         F.col("key").alias(key), F.col("best.key").alias("component_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "row"
     )
-    return out if with_row else out.drop("row")
+    return out if row else out.drop("row")
