@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,7 +56,7 @@ class Permutation:
 @dataclass
 class Shards:
     folder: str
-    manifest: DataFrame  # shard, first_slot, sequences, file, crc32
+    manifest: DataFrame  # shard, first_slot, sequences, tokens, file, crc32
     length: int
     sequences: int
     tokens: int
@@ -71,8 +72,10 @@ def write_shards(
 
     A null or empty text is an end id; repeated rows are written as often as they occur; other columns are
     ignored; the last sequence is padded with ``pad``.  An empty table has no sequence and no file.
-    ``docs`` must give the same rows in the same partitions each time, as a table scan does.
-    The texts are encoded twice, once for the counts: cheaper than to keep the ids of all texts in between.
+    The texts are encoded once, in one scan: their ids go to a checkpoint in blocks that carry the number of their
+    partition and their place in it, and all that follows reads these blocks, so a cluster that loses or gains
+    executors (and then splits the files otherwise) cannot move a token.  A shard whose pieces do not
+    follow each other, or a sum of written tokens other than the counted one, fails the job.
     To the driver come the token counts of partitions, one number each.  Files get fresh names and count
     only when the manifest, a checkpoint, has them, so lost and repeated tasks do no harm.
     """
@@ -81,15 +84,19 @@ def write_shards(
     spark = docs.sparkSession
     rows = docs.select(text_or_empty(text).alias("text"), F.spark_partition_id().alias("part"))
 
-    def count(batches):
-        encoder, part, n = bpe.encoder(vocabulary), None, 0
+    def encode(batches):
+        """Rows of (part, at, n, ids): ``n`` ids that begin ``at`` ids after the start of the partition."""
+        encoder, press, at = bpe.encoder(vocabulary), zstandard.ZstdCompressor(3), 0
         for batch in slices(batches, "text"):
-            n += int(encoder.counts(batch.column("text").to_pylist()).sum()) + batch.num_rows
-            part = batch.column("part")[0].as_py()
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int64())], ["part", "n"])
+            ids, n = encoder.encode(batch.column("text").to_pylist())
+            ids = np.insert(ids, np.cumsum(n), end).astype(kind)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("part")[:1].cast(pa.int32()), pa.array([at], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([press.compress(ids.tobytes())], pa.binary())], ["part", "at", "n", "ids"]
+            )
+            at += len(ids)
 
-    counts = sorted((r["part"], r["n"]) for r in rows.mapInArrow(count, "part int, n long").collect())
+    blocks = checkpointed(rows.mapInArrow(encode, "part int, at long, n long, ids binary"))
+    counts = sorted((r["part"], r["n"]) for r in blocks.groupBy("part").agg(F.sum("n").alias("n")).collect())
     edges = np.cumsum([0, *(n for _, n in counts)])
     tokens = int(edges[-1])
     sequences = -(-tokens // length)
@@ -98,67 +105,61 @@ def write_shards(
     order = Permutation(max(1, sequences), key)
 
     def place(batches):
-        """Rows of (slot, offset, ids): whole sequences, and the two a partition shares with others."""
-        encoder, at, waiting = bpe.encoder(vocabulary), None, np.empty(0, kind)
-
-        def out(ids: np.ndarray, last: bool):
-            edge = [0, *range((-at) % length or length, len(ids) + 1, length)]
-            if last and edge[-1] < len(ids):
-                edge.append(len(ids))
-            first = np.array([at + e for e in edge[:-1]], np.int64)
-            data = [ids[a:b].tobytes() for a, b in zip(edge, edge[1:], strict=False)]
-            return edge[-1], pa.RecordBatch.from_arrays(
-                [pa.array(order.slot(first // length) if len(first) else first, pa.int64()), pa.array((first % length).astype(np.int32), pa.int32()), pa.array(data, pa.binary())], ["slot", "offset", "ids"]
-            )
-
-        for batch in slices(batches, "text"):
-            if at is None:
-                at = begin.value[batch.column("part")[0].as_py()]
-            ids, n = encoder.encode(batch.column("text").to_pylist())
-            ids = np.insert(ids, np.cumsum(n), end).astype(kind)
-            waiting = np.concatenate((waiting, ids))
-            used, done = out(waiting, False)
-            waiting, at = waiting[used:], at + used
-            yield done
-        if at is not None:
-            yield out(waiting, True)[1]
+        """Rows of (slot, offset, ids): whole sequences, and the two a block shares with others."""
+        press, unpack = zstandard.ZstdCompressor(3), zstandard.ZstdDecompressor()
+        for batch in batches:
+            for part, at, packed in zip(batch.column("part").to_pylist(), batch.column("at").to_pylist(), batch.column("ids"), strict=True):
+                ids, at = np.frombuffer(unpack.decompress(packed.as_py()), kind), begin.value[part] + at
+                edge = np.unique(np.concatenate(([0], np.arange((-at) % length, len(ids), length), [len(ids)])))
+                first = at + edge[:-1]
+                data = [press.compress(ids[a:b].tobytes()) for a, b in zip(edge, edge[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(order.slot(first // length), pa.int64()), pa.array((first % length).astype(np.int32), pa.int32()), pa.array(data, pa.binary())], ["slot", "offset", "ids"]
+                )
 
     shard = F.floor(F.col("slot") / per_shard).cast("long")
-    placed = rows.mapInArrow(place, "slot long, offset int, ids binary").withColumn("shard", shard)
+    placed = blocks.select("part", "at", "ids").mapInArrow(place, "slot long, offset int, ids binary").withColumn("shard", shard)
     sorted_ = placed.repartition(max(1, -(-sequences // per_shard)), "shard").sortWithinPartitions("slot", "offset")
 
     def write(batches):
         fs, path = pafs.FileSystem.from_uri(folder)
         fs.create_dir(path, recursive=True)
-        now, file, name, crc, done, size = None, None, None, 0, [], 0
+        now, file, name, crc, done, size, n = None, None, None, 0, [], 0, 0
+        width, unpack = np.dtype(kind).itemsize, zstandard.ZstdDecompressor()
 
         def close():
             nonlocal crc
             if file is not None:
                 fill = (-size) % stride
-                tail = np.full(fill // np.dtype(kind).itemsize, pad, kind).tobytes()
+                tail = np.full(fill // width, pad, kind).tobytes()
                 file.write(tail)
                 crc = zlib.crc32(tail, crc)
                 file.close()
-                done.append({"shard": now, "first_slot": now * per_shard, "sequences": (size + fill) // stride, "file": name, "crc32": crc})
+                done.append({"shard": now, "first_slot": now * per_shard, "sequences": (size + fill) // stride, "tokens": n, "file": name, "crc32": crc})
 
         last = None
         for batch in batches:
-            for shard_no, slot, ids in zip(batch.column("shard").to_pylist(), batch.column("slot").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+            for shard_no, slot, offset, ids in zip(*(batch.column(c).to_pylist() for c in ("shard", "slot", "offset", "ids")), strict=True):
                 if shard_no != now:
                     close()
-                    now, name, crc, size = shard_no, f"shard-{shard_no:08d}-{uuid.uuid4().hex}.bin", 0, 0
+                    now, name, crc, size, n = shard_no, f"shard-{shard_no:08d}-{uuid.uuid4().hex}.bin", 0, 0, 0
                     file = fs.open_output_stream(f"{path}/{name}", compression=None)
                 elif slot != last and size % stride:  # only the last sequence is short
-                    tail = np.full((-size) % stride // np.dtype(kind).itemsize, pad, kind).tobytes()
+                    tail = np.full((-size) % stride // width, pad, kind).tobytes()
                     file.write(tail)
                     crc, size = zlib.crc32(tail, crc), size + len(tail)
+                if size != (slot - now * per_shard) * stride + offset * width:
+                    raise ValueError(f"shard {now}: slot {slot} goes on at token {offset}, but {size} bytes are written")
+                ids = unpack.decompress(ids)
                 file.write(ids)
-                crc, size, last = zlib.crc32(ids, crc), size + len(ids), slot
+                crc, size, n, last = zlib.crc32(ids, crc), size + len(ids), n + len(ids) // width, slot
         close()
-        yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("shard", pa.int64()), ("first_slot", pa.int64()), ("sequences", pa.int64()), ("file", pa.string()), ("crc32", pa.int64())]))
+        yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("shard", pa.int64()), ("first_slot", pa.int64()), ("sequences", pa.int64()), ("tokens", pa.int64()), ("file", pa.string()), ("crc32", pa.int64())]))
 
-    manifest = checkpointed(sorted_.select("shard", "slot", "ids").mapInArrow(write, "shard long, first_slot long, sequences long, file string, crc32 long"))
+    manifest = checkpointed(sorted_.select("shard", "slot", "offset", "ids").mapInArrow(write, "shard long, first_slot long, sequences long, tokens long, file string, crc32 long"))
+    written = manifest.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("sequences"), F.lit(0))).first()
+    if tuple(written) != (tokens, sequences):
+        raise ValueError(f"{written[0]} tokens in {written[1]} sequences are written, {tokens} in {sequences} were counted")
     return Shards(folder, manifest, length, sequences, tokens, key, per_shard, kind)
 
 

@@ -4,10 +4,14 @@ import random
 from contextlib import contextmanager
 
 import corpus_pipeline
+import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
-from memspark.llm import near_dedup
+from memspark.llm import near_dedup, token_shards
 
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 ONE_SPLIT = {"spark.sql.files.minPartitionNum": "1", "spark.sql.files.openCostInBytes": "1"}
 MANY_SPLITS = {"spark.sql.files.minPartitionNum": "64", "spark.sql.files.openCostInBytes": "64m"}
 
@@ -65,3 +69,23 @@ def test_row_numbers_are_stored(spark, stored, texts, stage):
     docs = stored(list(enumerate(texts)))
     result = getattr(corpus_pipeline, stage)(spark, docs, "") if stage else near_dedup.near_duplicates(docs)
     assert "monotonically_increasing_id" not in result._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shards_of_moving_splits(spark, stored, texts, tmp_path, monkeypatch):
+    docs = stored(list(enumerate(texts)))
+    real = token_shards.checkpointed
+
+    def moved(df):
+        with split(spark, MANY_SPLITS):
+            return real(df)
+
+    monkeypatch.setattr(token_shards, "checkpointed", moved)
+    library = Tokenizer.from_file(VOCABULARY)
+    with split(spark, ONE_SPLIT):
+        shards = token_shards.write_shards(docs.select("text"), VOCABULARY, f"file://{tmp_path}/shards", length=64)
+    rows = sorted(token_shards.read_shards(spark, shards).collect(), key=lambda r: r.sequence_id)
+    stream = np.concatenate([np.frombuffer(r.ids, shards.kind) for r in rows]).tolist()
+    ends = [i for i, x in enumerate(stream) if x == 50256]
+    got = [tuple(stream[a:b]) for a, b in zip([0, *(e + 1 for e in ends)], ends, strict=False)]
+    assert sorted(got) == sorted(tuple(library.encode(t, add_special_tokens=False).ids) for t in texts)
+    assert shards.tokens == len(stream)
