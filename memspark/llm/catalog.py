@@ -131,7 +131,7 @@ def op4(spark, sf_dir):
 
     model = vocabulary("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    read = pieces.decode(pieces.encode(docs, model), model, text="decoded")
+    read = pieces.encode(docs, model, decoded="decoded")
     return read.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), pieces.checksum().alias("ids_crc32"), F.coalesce(F.col("decoded") == F.coalesce("text", F.lit("")), F.lit(False)).alias("round_trip")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from memspark.session import checkpointed, shared_dir
 
-__all__ = ["checkpointed", "shared_dir", "shared_folder", "table", "text_or_empty", "slices", "like"]
+__all__ = ["checkpointed", "shared_dir", "shared_folder", "table", "text_or_empty", "slices", "like", "free_name"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,3 +41,11 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = 1 << 20) -
 def like(df: DataFrame, *more: str) -> str:
     """The schema of ``df`` as DDL text, and further fields."""
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), *more])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it (Spark does not tell upper from lower case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

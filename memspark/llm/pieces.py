@@ -7,10 +7,14 @@ position has at most one surviving backpointer.  The search keeps a window of a
 piece; whenever all surviving paths of the last window meet in one border, the ids before it are
 committed and forgotten.
 
+Neighbours settle a path as long as no two pieces have one score.  The pieces that do, runs of spaces with a score
+below all others, are joined behind the search, leftmost first as the model does, in a window no longer than the longest piece.
+
 A text is first cut where no piece holds the two characters next to each other, which no merge can
 cross; equal parts are searched once per worker.
 """
 
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -21,30 +25,62 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memspark.llm import bpe
-from memspark.llm.common import like, slices, text_or_empty
+from memspark.llm.common import free_name, like, slices, text_or_empty
 
 _SPACE = "▁"
 
 
+def _model(path: str) -> sentencepiece.SentencePieceProcessor:
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    if model.normalize(" ﬁ  x ") != f"{_SPACE * 2}ﬁ{_SPACE * 2}x{_SPACE}":
+        raise ValueError("only models that keep the text and add one space in front are supported")
+    return model
+
+
+def _plain(model: sentencepiece.SentencePieceProcessor) -> list[int]:
+    """Ids of the pieces that stand for their own text."""
+    return [i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
+
+
+class Texts:
+    """The bytes every id stands for; all that decoding needs."""
+
+    def __init__(self, path: str):
+        model = _model(path)
+        self.of_id = [b""] * model.get_piece_size()
+        for i in _plain(model):
+            self.of_id[i] = model.id_to_piece(i).replace(_SPACE, " ").encode()
+        for b in range(256):
+            self.of_id[model.piece_to_id(f"<0x{b:02X}>")] = bytes([b])
+
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of a document's ids; bytes that form no character become U+FFFD."""
+        body = b"".join(map(self.of_id.__getitem__, ids.tolist()))
+        return (body[1:] if body[:1] == b" " else body).decode("utf-8", "replace")
+
+
 class Pieces:
     """Vocabulary of a SentencePiece BPE model with byte fallback."""
 
-    def __init__(self, path: str):
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        if model.normalize(" ﬁ  x ") != f"{_SPACE * 2}ﬁ{_SPACE * 2}x{_SPACE}":
-            raise ValueError("only models that keep the text and add one space in front are supported")
-        size = model.get_piece_size()
-        names = [model.id_to_piece(i) for i in range(size)]
-        plain = [i for i in range(size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
-        self.ids = {names[i]: i for i in plain}
-        self.score = {names[i]: model.get_score(i) for i in plain}
+    def __init__(self, path: str, remember: int = 200_000):
+        model = _model(path)
+        plain = _plain(model)
+        self.ids = {model.id_to_piece(i): i for i in plain}
+        score = {p: model.get_score(i) for p, i in self.ids.items()}
         self.of_byte = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.longest = max(map(len, self.ids))
-        self.text = [names[i].replace(_SPACE, " ").encode() if i in set(plain) else b"" for i in range(size)]
-        for b, i in enumerate(self.of_byte):
-            self.text[i] = bytes([b])
         pairs = {(ord(a) << 21) | ord(b) for p in self.ids for a, b in zip(p, p[1:], strict=False)}
         self.pairs = bpe.Index(np.array(sorted(pairs), np.uint64))
+        # Pieces that share a score: runs of one character, behind all others.
+        low = min(score.values())
+        self.tied = {p for p, s in score.items() if s == low and len(p) > 1}
+        if len(self.tied) < 2:
+            self.tied = set()
+        self.score = {p: s for p, s in score.items() if p not in self.tied}
+        own = [s for p, s in self.score.items() if len(p) > 1]
+        if len(set(own)) < len(own) or any(len(set(p)) > 1 for p in self.tied):
+            raise ValueError("only models whose pieces of one score are runs of one character are supported")
+        self.remember = remember
         self._stable: dict[tuple[str, str], bool] = {}
         self._whole: dict[str, bool] = {}
 
@@ -64,12 +100,13 @@ class Pieces:
     def stable(self, a: str, b: str) -> bool:
         found = self._stable.get((a, b))
         if found is None:
-            if len(self._stable) > 400_000:
+            if len(self._stable) >= self.remember:
                 self._stable.clear()
             found = self._stable[a, b] = self.merged(a + b) == [a, b]
         return found
 
     def whole(self, a: str) -> bool:
+        """Asked for vocabulary pieces only, so there are never more answers than pieces."""
         found = self._whole.get(a)
         if found is None:
             found = self._whole[a] = len(a) == 1 or self.merged(a) == [a]
@@ -77,7 +114,7 @@ class Pieces:
 
     def segment(self, text: str):
         """Yields the pieces of a part of a text, in a window of bounded size."""
-        ids, longest, whole, stable = self.ids, self.longest, self.whole, self.stable
+        known, longest, whole, stable = self.score, self.longest, self.whole, self.stable
         last: list[str | None] = [""]  # piece that ends here on the surviving path; "" at a committed border
         for i in range(1, len(text) + 1):
             here = None
@@ -86,7 +123,7 @@ class Pieces:
                 if before is None:
                     continue
                 piece = text[i - n : i]
-                if (n == 1 or piece in ids) and whole(piece) and (not before or stable(before, piece)):
+                if (n == 1 or piece in known and whole(piece)) and (not before or stable(before, piece)):
                     here = piece
                     break
             last.append(here)
@@ -118,14 +155,29 @@ class Pieces:
             shared = chain if shared is None else shared & chain
         return max(shared or {0})
 
+    def joined(self, parts: Iterable[str]) -> Iterator[str]:
+        """``parts`` with neighbours of one score joined, leftmost first.
+
+        What comes first is joined before anything behind it is looked at, so only the last pieces can
+        change, and only while they are together no longer than the longest piece.
+        """
+        last: list[str] = []
+        length = 0
+        for part in parts:
+            last.append(part)
+            length += len(part)
+            while len(last) > 1 and last[-2] + last[-1] in self.tied:
+                last[-2:] = [last[-2] + last[-1]]
+            while length > self.longest and len(last) > 1:
+                length -= len(last[0])
+                yield last.pop(0)
+        yield from last
+
     def encode(self, text: str) -> list[int]:
         """Ids of one part (see ``PieceEncoder.borders``)."""
-        if _SPACE * 2 in text:  # runs of spaces: their pieces tie in score, so neighbours alone do not settle them
-            parts = self._by_runs(text)
-        else:
-            parts = self.segment(text)
+        parts = self.segment(text)
         out = []
-        for p in parts:
+        for p in self.joined(parts):
             i = self.ids.get(p)
             if i is None:
                 out.extend(self.of_byte[b] for b in p.encode())
@@ -133,41 +185,21 @@ class Pieces:
                 out.append(i)
         return out
 
-    def _by_runs(self, text: str) -> list[str]:
-        """Merge with a heap of pairs, best score first and leftmost of equal ones."""
-        import heapq
-
-        part = list(text)
-        right, left = [*range(1, len(part)), -1], list(range(-1, len(part) - 1))
-        heap = []
-
-        def offer(a: int, b: int) -> None:
-            if a >= 0 and b >= 0 and (s := self.score.get(part[a] + part[b])) is not None:
-                heapq.heappush(heap, (-s, a, b, part[a], part[b]))
-
-        for k in range(len(part) - 1):
-            offer(k, k + 1)
-        while heap:
-            _, a, b, x, y = heapq.heappop(heap)
-            if part[a] != x or part[b] != y or right[a] != b:
-                continue
-            part[a], part[b], right[a] = x + y, "", right[b]
-            if right[b] >= 0:
-                left[right[b]] = a
-            offer(left[a], a)
-            offer(a, right[a])
-        return [p for p in part if p]
-
 
 class PieceEncoder(bpe.Encoder):
     """Encodes batches of texts to SentencePiece ids."""
 
     cut = regex.compile(f"(?<=[^{_SPACE}]){_SPACE}(?=[^{_SPACE}])")
 
-    def __init__(self, path: str, remember: int = 600_000):
-        self.pieces, self.remember, self.special = Pieces(path), remember, None
+    def __init__(self, path: str, remember: int = 300_000, remember_bytes: int = 32 << 20):
+        self.pieces, self.remember, self.remember_bytes, self.special = Pieces(path), remember, remember_bytes, None
         self._forget()
 
+    def _slots(self, *block) -> np.ndarray:
+        if self.ids.nbytes > self.remember_bytes:
+            self._forget()
+        return super()._slots(*block)
+
     def _segments(self, texts: list[str], limit: int):
         return super()._segments([_SPACE + t.replace(" ", _SPACE) if t else "" for t in texts], limit)
 
@@ -182,45 +214,59 @@ class PieceEncoder(bpe.Encoder):
         ids = [self.pieces.encode(w) for w in words]
         return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of a document's ids; bytes that form no character become U+FFFD."""
-        body = b"".join(map(self.pieces.text.__getitem__, ids.tolist()))
-        return (body[1:] if body[:1] == b" " else body).decode("utf-8", "replace")
-
 
 @lru_cache(2)
 def encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
-def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids") -> DataFrame:
+@lru_cache(2)
+def texts(path: str) -> Texts:
+    return Texts(path)
+
+
+def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """``docs`` with the ids of every text (binary, little-endian unsigned 32-bit).
 
     ``model`` is the path of a SentencePiece BPE model every executor can read.  A null or empty text
-    has no ids; strings like ``<s>`` in a text are ordinary text; a column ``ids`` of ``docs`` is replaced.
+    has no ids; strings like ``<s>`` in a text are ordinary text; rows that repeat are encoded each, an empty table stays
+    empty.  A column ``ids`` of ``docs`` is replaced, all other columns stay as they are.  Where scores tie the leftmost pair
+    is merged, as in the library.  With ``decoded`` the text that the ids decode to comes along in that column, in the same pass.
+
+    A worker holds one batch of about 1 MB of text, cut into blocks of at most 256 K characters where parts allow; a
+    longer text is cut between its parts.  What it remembers is bounded: parts in number and bytes, pairs in number.
     """
+    kept = docs.drop(ids, *([decoded] if decoded else []))
+    body = free_name(kept, "text_to_encode")
 
     def run(batches):
-        for batch in slices(batches, "__text"):
-            flat, n = encoder(model).encode(batch.column("__text").to_pylist())
-            edge = np.cumsum(np.append(0, n)) * 4
-            data = flat.astype("<u4").tobytes()
-            yield batch.drop_columns(["__text"]).append_column(ids, pa.array([data[a:b] for a, b in zip(edge, edge[1:], strict=False)], pa.binary()))
+        for batch in slices(batches, body):
+            flat, n = encoder(model).encode(batch.column(body).to_pylist(), 1 << 18)
+            edge = np.cumsum(np.append(0, n))
+            data = flat.astype("<u4")
+            out = batch.drop_columns([body]).append_column(ids, pa.array([data[a:b].tobytes() for a, b in zip(edge, edge[1:], strict=False)], pa.binary()))
+            if decoded:
+                out = out.append_column(decoded, pa.array([texts(model).decode(data[a:b]) for a, b in zip(edge, edge[1:], strict=False)], pa.string()))
+            yield out
 
-    kept = docs.drop(ids)
-    return kept.withColumn("__text", text_or_empty(text)).mapInArrow(run, like(kept, f"`{ids}` binary"))
+    more = [f"`{ids}` binary", *([f"`{decoded}` string"] if decoded else [])]
+    return kept.withColumn(body, text_or_empty(text)).mapInArrow(run, like(kept, *more))
 
 
 def decode(rows: DataFrame, model: str, ids: str = "ids", text: str = "text") -> DataFrame:
-    """``rows`` with the text of every id sequence in column ``text`` (null ids give null)."""
+    """``rows`` with the text of every id sequence in column ``text`` (null ids give null, no ids an empty text).
+
+    A column ``text`` of ``rows`` is replaced, all other columns stay; rows that repeat are decoded each, an empty table stays empty.
+    """
+    kept = rows.drop(text)
+    held = free_name(kept, "ids_to_decode")
 
     def run(batches):
         for batch in batches:
-            found = [None if x is None else encoder(model).decode(np.frombuffer(x, "<u4")) for x in batch.column("__ids").to_pylist()]
-            yield batch.drop_columns(["__ids"]).append_column(text, pa.array(found, pa.string()))
+            found = [None if x is None else texts(model).decode(np.frombuffer(x, "<u4")) for x in batch.column(held).to_pylist()]
+            yield batch.drop_columns([held]).append_column(text, pa.array(found, pa.string()))
 
-    kept = rows.drop(text)
-    return kept.withColumn("__ids", F.col(ids)).mapInArrow(run, like(kept, f"`{text}` string"))
+    return kept.withColumn(held, F.col(ids)).mapInArrow(run, like(kept, f"`{text}` string"))
 
 
 def checksum(ids: str = "ids"):

@@ -56,13 +56,15 @@ def test_token_counts(odd, empty, library):
 
 def test_pieces_give_the_librarys_ids(random_texts):
     model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
-    encoder = pieces.PieceEncoder(MODEL)
-    texts = [*random_texts, "e" * 3000, "the=" * 900, " " * 700, "a" + " " * 333 + "b"]
+    encoder, plain = pieces.PieceEncoder(MODEL), pieces.Texts(MODEL)
+    rng = random.Random(9)
+    spaced = ["".join(rng.choice(["a", "the", " ", " " * rng.randint(1, 60), "\n", "▁", "é"]) for _ in range(20)) for _ in range(1000)]
+    texts = [*random_texts, *spaced, "e" * 3000, "the=" * 900, *(" " * k for k in range(1, 70)), " " * 700, "a" + " " * 333 + "b"]
     ids, n = encoder.encode(texts)
     assert ids.tolist() == [i for w in model.encode(texts) for i in w]
     at = 0
     for text, k in zip(texts, n.tolist(), strict=True):
-        assert encoder.decode(ids[at : at + k]) == text.replace("▁", " ")
+        assert plain.decode(ids[at : at + k]) == text.replace("▁", " ")
         at += k
 
 
@@ -78,10 +80,43 @@ def test_streaming_search_keeps_a_window():
 
     vocabulary._converged = watch
     found = list(vocabulary.segment(text))
-    assert found == vocabulary._by_runs(text)
+    assert found == vocabulary.merged(text)
     assert "".join(found) == text and max(seen) < 20 * vocabulary.longest
 
 
+def test_runs_are_joined_in_a_window():
+    """What is given out never waits for more than the longest piece."""
+    vocabulary = pieces.Pieces(MODEL)
+    taken = 0
+
+    def spaces():
+        nonlocal taken
+        for _ in range(10_000):
+            taken += 1
+            yield "▁"
+
+    given = 0
+    for piece in vocabulary.joined(spaces()):
+        given += len(piece)
+        assert taken - given <= vocabulary.longest + 1
+    assert given == taken
+
+
+def test_bounded_memory_does_not_change_ids(random_texts):
+    small = pieces.PieceEncoder(MODEL, remember=10, remember_bytes=100)
+    small.pieces.remember = 5
+    want = sentencepiece.SentencePieceProcessor(model_file=MODEL).encode(random_texts[:300])
+    for limit in (1 << 18, 40):
+        ids, _ = small.encode(random_texts[:300], limit)
+        assert ids.tolist() == [i for w in want for i in w] and len(small.pieces._stable) <= 5
+
+
+def test_names_of_other_columns_do_not_matter(spark):
+    rows = spark.createDataFrame([("a b", "own", "kept", "more")], "text string, text_to_encode string, __text string, ids_to_decode string")
+    done = pieces.decode(pieces.encode(rows, MODEL, decoded="again"), MODEL, text="third").first()
+    assert (done.text, done.again, done.third) == ("a b",) * 3 and (done.text_to_encode, done["__text"], done.ids_to_decode) == ("own", "kept", "more")
+
+
 def test_pieces_round_trip(spark, odd, empty):
     read = pieces.decode(pieces.encode(odd, MODEL), MODEL, text="again")
     assert "key" in read.columns
