@@ -230,11 +230,12 @@ def unexpired(t):
 
 
 @query("S14_episodes_since", with_views("episodes") + """,
-cur AS (SELECT tenant_id, max(struct_pack(ts := ts_recorded, id := episode_id)) AS c FROM episodes WHERE conv_id < 20 GROUP BY 1)
+cur AS (SELECT tenant_id, max(struct_pack(ts := ts_recorded, id := episode_id)) AS c FROM episodes WHERE conv_id < 20 AND turn = 0 GROUP BY 1)
 SELECT e.tenant_id, e.episode_id FROM episodes e JOIN cur USING (tenant_id)
 WHERE e.ts_recorded > c.ts OR (e.ts_recorded = c.ts AND e.episode_id > c.id)""")
 def episodes_since(t):
-    cur = upsert.high_water_mark(t.episodes.where(F.col("conv_id") < 20), "ts_recorded", "episode_id", ("tenant_id",))
+    """The cursor stands at the first turn of a conversation, so there is always something behind it."""
+    cur = upsert.high_water_mark(t.episodes.where((F.col("conv_id") < 20) & (F.col("turn") == 0)), "ts_recorded", "episode_id", ("tenant_id",))
     rows = t.episodes.join(cur.select("tenant_id", F.col("ts_recorded").alias("_t"), F.col("episode_id").alias("_i")), "tenant_id")
     return upsert.after(rows, "ts_recorded", "episode_id", F.col("_t"), F.col("_i")).select("tenant_id", "episode_id")
 

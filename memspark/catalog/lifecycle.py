@@ -154,10 +154,11 @@ def rolling_rate(t):
 
 @query("R9_spikes", with_views("ledger") + """,
 r AS (SELECT tenant_id, event_kind, count(*) OVER (PARTITION BY tenant_id, event_kind ORDER BY ts
-  RANGE BETWEEN INTERVAL 599999999 MICROSECONDS PRECEDING AND CURRENT ROW) AS n FROM ledger)
+  RANGE BETWEEN INTERVAL 86399999999 MICROSECONDS PRECEDING AND CURRENT ROW) AS n FROM ledger)
 SELECT tenant_id, event_kind, max(n) AS peak FROM r GROUP BY ALL HAVING max(n) > 2""")
 def spikes(t):
-    return outcomes.spikes(t.ledger, ("tenant_id", "event_kind"), "ts", 600, 2)
+    """Kinds of feedback with more than two events within a day."""
+    return outcomes.spikes(t.ledger, ("tenant_id", "event_kind"), "ts", 86400, 2)
 
 
 @query("P07_due_tenants", with_views("ledger") + f""",

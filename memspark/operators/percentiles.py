@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from memspark.operators.positions import running_sum
+
 CELLS = 4096
-BUCKETS = 64
 ACCURACY = 10_000  # rank error of the bracketing sketch is at most 1 / ACCURACY
 
 
@@ -91,30 +92,17 @@ def disc_index(p: float, n: int) -> int:
     return min(n - 1, max(0, math.ceil(p * n) - 1))
 
 
-def rank_among_others(df: DataFrame, value: str, group: tuple[str, ...], name: str = "pct_rank") -> DataFrame:
+def rank_among_others(df: DataFrame, value: str, group: tuple[str, ...], name: str = "pct_rank", n_ranges: int | None = None) -> DataFrame:
     """Fraction of the other rows of a group that are strictly smaller; 0 for a lone row.
 
-    Ties count as not smaller.  Equal values are counted first; the counts of a group are summed up in
-    BUCKETS ranges that approximate quantiles split evenly, so no task orders a whole group.
+    Ties count as not smaller, null values come first.  Equal values are counted before they are shuffled; their
+    counts are summed up over ranges sized by rows (``positions.running_sum``), so no task orders a whole group.
     """
     keys = list(group)
     counts = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    known = counts.where(F.col("_v").isNotNull())
-    edges = df.groupBy(*keys).agg(
-        F.count("*").alias("_all"),
-        F.percentile_approx(value, F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)]), F.lit(1000)).alias("_edges"),
-    )
-    # the number of edges a value exceeds rises with the value, so a bucket is a range of values
-    bucket = F.aggregate("_edges", F.lit(0), lambda n, e: n + (F.col("_v") > e).cast("int"))
-    known = known.join(edges.select(*keys, "_edges"), keys).withColumn("_bucket", F.coalesce(bucket, F.lit(0))).drop("_edges")
-    up = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = known.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(up), F.lit(0)))
-    inner = Window.partitionBy(*keys, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    less = known.withColumn("_inner", F.coalesce(F.sum("_n").over(inner), F.lit(0))).join(before.drop("_c"), [*keys, "_bucket"])
-    nulls = counts.where(F.col("_v").isNull()).select(*keys, F.col("_n").alias("_nulls"))
-    # null values come first, as in a window ordered upwards
-    table = less.join(edges.select(*keys, "_all"), keys).join(nulls, keys, "left").select(
-        *keys, F.col("_v"), (F.col("_before") + F.col("_inner") + F.coalesce("_nulls", F.lit(0))).alias("_less"), "_all")
-    found = df.join(table.withColumnRenamed("_v", value), [*keys, value], "left")
+    less = running_sum(counts, "_n", group, [F.asc_nulls_first("_v")], "_less", n_ranges)
+    sizes = less.groupBy(*keys).agg(F.sum("_n").alias("_all"))
+    table = less.where(F.col("_v").isNotNull()).join(sizes, keys).select(*keys, F.col("_v").alias(value), "_less", "_all")
+    found = df.join(table, [*keys, value], "left")
     share = F.when(F.col("_all") > 1, F.col("_less") / (F.col("_all") - 1))
     return found.select(*df.columns, F.coalesce(share, F.lit(0.0)).alias(name))

@@ -14,7 +14,9 @@ def replay(
 ) -> DataFrame:
     """One row: n_queries, n_hits, recall_at_k, passed.
 
-    ``queries(query_id, text, vec, relevant_fact_ids)``.
+    ``facts(tenant_id, fact_id, ...)``, ``vectors(tenant_id, fact_id, vec)`` and ``queries(tenant_id, query_id, text, vec,
+    relevant_fact_ids)``: a query is replayed within its tenant.  It hits when any relevant fact is among the
+    first ``k`` answers; a query without relevant facts is not counted.
     """
     got = recall(facts, queries, t_now, vectors, dim=dim, k=k)
     truth = queries.select("query_id", F.explode("relevant_fact_ids").alias("fact_id"))

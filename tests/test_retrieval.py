@@ -241,11 +241,13 @@ def test_replay_on_a_small_corpus(spark):
     data = [("t", f"f{i}", "user_fact", f"{n} {s} on weekends", datetime(2024, 1, 1), None, T, f"e{i}", 1, "s")
             for i, (n, s) in enumerate(zip(names, things))]
     facts = spark.createDataFrame(data, FACTS)
-    vecs = facts.select("fact_id", hash_vector(F.col("content")).alias("vec"))
-    q = spark.createDataFrame([(f"q{i}", f"What does {n} do?", [f"f{i}"]) for i, n in enumerate(names)],
-                              "query_id string, text string, relevant_fact_ids array<string>").withColumn("vec", hash_vector(F.col("text")))
+    vecs = facts.select("tenant_id", "fact_id", hash_vector(F.col("content")).alias("vec"))
+    q = spark.createDataFrame([("t", f"q{i}", f"What does {n} do?", [f"f{i}"]) for i, n in enumerate(names)],
+                              "tenant_id string, query_id string, text string, relevant_fact_ids array<string>").withColumn("vec", hash_vector(F.col("text")))
     r = replay(facts, vecs, q, F.lit(T), 32, k=3).first()
     assert r.n_queries == 6 and r.n_hits == 6 and r.passed
+    stranger = replay(facts, vecs, q.withColumn("tenant_id", F.lit("u")), F.lit(T), 32, k=3).first()
+    assert stranger.n_queries == 6 and stranger.n_hits == 0 and not stranger.passed
 
 
 def test_union_then_group_is_whole(spark):
