@@ -4,8 +4,11 @@ from pyspark.sql import functions as F
 
 from memspark.catalog.registry import query
 from memspark.catalog.views import DIM, T_NOW, clock, with_views
-from memspark.operators import bm25, fusion, knn, temporal
+from memspark.operators import bm25, fusion, knn, temporal, vector_cells
+from memspark.operators import text_index as stored_text
+from memspark.plans import evaluate
 from memspark.plans import recall as rc
+from memspark.session import new_folder
 
 _VALID = f"valid_from <= TIMESTAMP '{T_NOW}' AND (valid_to IS NULL OR valid_to > TIMESTAMP '{T_NOW}')"
 
@@ -98,6 +101,15 @@ def vector_knn(t):
     return hits.select("query_id", "fact_id", "distance", F.round("score", 9).alias("score"), F.col("rank").cast("bigint"))
 
 
+@query("S09_cells", with_views("fact_vectors", "query_batch") + ",\n" + SQL_SEM.replace("rank <= 50", "rank <= 10") + """
+SELECT query_id, fact_id, distance, round(score, 9) AS score, rank FROM sem""")
+def vector_cells_search(t):
+    """Ten nearest vectors by cells that the triangle inequality cannot rule out."""
+    stored = vector_cells.build(t.fact_vectors, new_folder(t.spark, "vector-cells"), dim=DIM, by="tenant_id")
+    hits = vector_cells.nearest(stored, t.query_batch, 10, by="tenant_id").hits
+    return hits.select("query_id", "fact_id", "distance", F.round("score", 9).alias("score"), F.col("rank").cast("bigint"))
+
+
 @query("S10_text_index", with_views("facts") + """,
 toks AS (SELECT fact_id, regexp_extract_all(strip_accents(lower(content)), '[\\p{L}\\p{N}]+') AS t FROM facts),
 tf AS (SELECT fact_id, len(t) AS doc_len, unnest(t) AS term FROM toks)
@@ -116,6 +128,30 @@ def bm25_search(t):
     return hits.select("query_id", "fact_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
+def _stored(t, facts=None) -> stored_text.TextIndex:
+    return stored_text.build(t.facts if facts is None else facts, new_folder(t.spark, "text-index"), by=("tenant_id",))
+
+
+@query("S10_stored_index", with_views("facts") + """,
+toks AS (SELECT tenant_id, fact_id, regexp_extract_all(strip_accents(lower(content)), '[\\p{L}\\p{N}]+') AS t FROM facts),
+placed AS (SELECT *, (row_number() OVER (PARTITION BY tenant_id ORDER BY len(t), fact_id) - 1) // 64 AS range FROM toks),
+tf AS (SELECT tenant_id, fact_id, range, len(t) AS doc_len, unnest(t) AS term FROM placed)
+SELECT term, count(DISTINCT fact_id) AS df, count(*) AS occurrences, count(DISTINCT tenant_id || ':' || range) AS blocks, max(doc_len) AS longest FROM tf GROUP BY term""")
+def stored_index(t):
+    """Words of the stored index, read from its blocks."""
+    blocks = _stored(t).blocks.select("term", F.explode("postings").alias("p"), F.struct("_scope", "range").alias("block"))
+    return blocks.groupBy("term").agg(
+        F.count("*").alias("df"), F.sum("p.tf").cast("bigint").alias("occurrences"), F.countDistinct("block").alias("blocks"), F.max("p.doc_len").cast("bigint").alias("longest")
+    )
+
+
+@query("A10_block_max", with_views("facts", "query_batch") + ",\n" + SQL_LEX + "\nSELECT query_id, fact_id, score, rank FROM lex")
+def block_max(t):
+    """The search over the stored index skips blocks and finds the same."""
+    hits = stored_text.search(_stored(t), t.query_batch).hits
+    return hits.select("query_id", "fact_id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
 @query("S12_query_tokens", with_views("query_batch") + r"""
 SELECT query_id, term, count(*) AS n FROM (
   SELECT query_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')) AS term FROM query_batch)
@@ -179,6 +215,32 @@ def recall_query(t):
     )
 
 
+@query("Q1_recall_indexed", sql_recall(_TWO, 10) + """
+SELECT query_id, fact_id, kind, score, connectedness_value, rank FROM cut WHERE coalesce(episode_id, '') <> ''""")
+def recall_indexed(t):
+    """Recall over a stored text index; no text is read while a query is answered."""
+    got = rc.recall(t.facts.drop("content"), t.query_batch, clock(T_NOW), t.fact_vectors, dim=DIM, k=10, index=_stored(t))
+    return got.facts.select(
+        "query_id", "fact_id", "kind", "score", F.round("connectedness_value", 9).alias("connectedness_value"),
+        F.col("rank").cast("bigint").alias("rank"),
+    )
+
+
+@query("Q6_replay", sql_recall(_TWO, 5) + """,
+truth AS (
+  SELECT q.query_id, v.fact_id FROM query_batch q JOIN fact_vectors o ON o.vec_id = q.item_id JOIN fact_vectors v ON v.tenant_id = q.tenant_id AND v.label = o.label),
+hit AS (SELECT DISTINCT query_id FROM cut SEMI JOIN truth ON cut.query_id = truth.query_id AND cut.fact_id = truth.fact_id WHERE coalesce(episode_id, '') <> '')
+SELECT count(*) AS n_queries, count(h.query_id) AS n_hits, round(count(h.query_id) / count(*), 9) AS recall_at_k, count(h.query_id) / count(*) >= 0.6 AS passed
+FROM (SELECT DISTINCT query_id FROM truth) q LEFT JOIN hit h USING (query_id)""")
+def replay(t):
+    """Relevant for a query are the facts of its tenant in the vector class of its item."""
+    own = t.fact_vectors.select(F.col("vec_id").alias("item_id"), "label")
+    members = t.fact_vectors.groupBy("tenant_id", "label").agg(F.collect_set("fact_id").alias("relevant_fact_ids"))
+    asked = t.query_batch.join(own, "item_id").join(members, ["tenant_id", "label"])
+    got = evaluate.replay(t.facts, t.fact_vectors, t.query_batch.join(asked.select("query_id", "relevant_fact_ids"), "query_id", "left"), clock(T_NOW), DIM)
+    return got.withColumn("recall_at_k", F.round("recall_at_k", 9))
+
+
 @query("Q1_recall_three_lists", sql_recall(_ALL, 10) + """
 SELECT query_id, fact_id, kind, score, rank FROM cut WHERE coalesce(episode_id, '') <> ''""")
 def recall_three(t):

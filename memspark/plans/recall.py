@@ -16,8 +16,8 @@ from memspark import vocab as v
 from memspark.functions import ids
 from memspark.functions.common import blank, clamp01
 from memspark.functions.scoring import composed_score
-from memspark.operators import bm25, fusion, knn, preferences, temporal
-from memspark.session import has_at_most
+from memspark.operators import bm25, fusion, knn, preferences, temporal, text_index
+from memspark.session import checkpointed, has_at_most
 
 TENANT = "tenant_id"
 VERSIONS = ("p3-recall-v0", "p3-gap03-5a-v0")  # fixed values stamped on rows of this verb
@@ -41,10 +41,15 @@ def retrieve(
     dim: int | None = None,
     graph_hits: DataFrame | None = None,
     fanout: int = v.FANOUT,
+    index: text_index.TextIndex | None = None,
 ) -> DataFrame:
     """The stacked ranked lists.  ``facts(tenant_id, fact_id, content)``, ``vectors(tenant_id, fact_id, vec)``,
-    ``queries(tenant_id, query_id, text[, vec])``; without vectors the search is lexical only."""
-    lists = [bm25.search_documents(facts, queries, fanout, by=(TENANT,))]
+    ``queries(tenant_id, query_id, text[, vec])``; without vectors the search is lexical only.
+    A stored ``index`` of the facts, by tenant, takes the place of their texts."""
+    if index is not None:
+        lists = [text_index.search(index, queries, fanout).hits]
+    else:
+        lists = [bm25.search_documents(facts, queries, fanout, by=(TENANT,))]
     if vectors is not None:
         with_vec = queries.where(F.col("vec").isNotNull())
         lists.insert(0, knn.nearest(vectors, with_vec, fanout, dim=dim, by=TENANT))
@@ -65,12 +70,16 @@ def recall(
     connectedness: DataFrame | None = None,
     filter_stage: str = "post_retrieval",
     pages: DataFrame | None = None,
+    index: text_index.TextIndex | None = None,
 ) -> Recalled:
     """``filter_stage="post_retrieval"`` lets expired facts use up list slots;
     ``"pre_retrieval"`` removes them from every list before ranking.  ``graph_hits`` are lists of facts of
     the query's tenant.  With ``connectedness(tenant_id, fact_id, connectedness)`` the graph term replaces the fused-rank proxy.  Fewer than k rows may come
     back: rows without an episode are dropped after the cut and not replaced.  With ``pages`` the preference
-    pages of the asking tenants come along under their byte cap, for ``k = 0`` they are the whole answer."""
+    pages of the asking tenants come along under their byte cap, for ``k = 0`` they are the whole answer.
+    With a stored ``index`` of all facts no text is read; it counts expired facts too, so it cannot serve ``"pre_retrieval"``."""
+    if index is not None and filter_stage == "pre_retrieval":
+        raise ValueError("a stored index holds all facts; pre_retrieval needs one of the valid ones")
     if k < 0:
         raise ValueError("k must not be negative")
     if filter_stage not in ("post_retrieval", "pre_retrieval"):
@@ -87,7 +96,7 @@ def recall(
                 graph_hits.join(tenant_of, "query_id").join(alive_ids, [TENANT, "fact_id"], "left_semi").drop(TENANT)
             )
     asked = queries if k > 0 else queries.where(F.lit(False))
-    hits = retrieve(pool, asked, vectors, dim=dim, graph_hits=graph_hits)
+    hits = checkpointed(retrieve(pool, asked, vectors, dim=dim, graph_hits=graph_hits, index=index))
 
     # one row per candidate with its rank in each list; at most three lists of FANOUT rows per
     # query, so for a batch of checked size the candidates are broadcast and the facts, the big

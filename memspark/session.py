@@ -2,6 +2,7 @@
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,11 @@ def shared_dir(spark: SparkSession) -> str:
 _local: dict[str, str] = {}
 
 
+def new_folder(spark: SparkSession, what: str) -> str:
+    """A new folder name below the shared one."""
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through a reliable checkpoint, which survives lost executors."""
     spark = df.sparkSession
