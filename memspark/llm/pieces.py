@@ -80,9 +80,15 @@ class Pieces:
         own = [s for p, s in self.score.items() if len(p) > 1]
         if len(set(own)) < len(own) or any(len(set(p)) > 1 for p in self.tied):
             raise ValueError("only models whose pieces of one score are runs of one character are supported")
+        self.runs = {p[:2] for p in self.tied}
+        # The longest piece that ends with three given characters, so that no position tries lengths in vain.
+        self.reach: dict[str, int] = {}
+        for p in self.score:
+            if len(p) > 2:
+                self.reach[p[-3:]] = max(len(p), self.reach.get(p[-3:], 0))
         self.remember = remember
         self._stable: dict[tuple[str, str], bool] = {}
-        self._whole: dict[str, bool] = {}
+        self._whole: dict[str, bool | None] = {p: True if len(p) == 1 else None for p in self.score}  # None: not asked yet
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text by the definition: merge the best-scored pair, the leftmost of equal ones."""
@@ -106,28 +112,38 @@ class Pieces:
         return found
 
     def whole(self, a: str) -> bool:
-        """Asked for vocabulary pieces only, so there are never more answers than pieces."""
-        found = self._whole.get(a)
+        """True for vocabulary pieces that merging gives back as one."""
+        found = self._whole.get(a, False)
         if found is None:
-            found = self._whole[a] = len(a) == 1 or self.merged(a) == [a]
+            found = self._whole[a] = self.merged(a) == [a]
         return found
 
     def segment(self, text: str):
         """Yields the pieces of a part of a text, in a window of bounded size."""
-        known, longest, whole, stable = self.score, self.longest, self.whole, self.stable
+        reach, whole, stable, window = self.reach, self._whole, self._stable, 8 * self.longest
         last: list[str | None] = [""]  # piece that ends here on the surviving path; "" at a committed border
         for i in range(1, len(text) + 1):
             here = None
-            for n in range(min(longest, len(last)), 0, -1):
+            n = reach.get(text[i - 3 : i], 2) if i > 2 else i
+            if n > len(last):
+                n = len(last)
+            while n:
                 before = last[-n]
-                if before is None:
-                    continue
-                piece = text[i - n : i]
-                if (n == 1 or piece in known and whole(piece)) and (not before or stable(before, piece)):
-                    here = piece
-                    break
+                if before is not None:
+                    piece = text[i - n : i]
+                    good = n == 1 or whole.get(piece, False)
+                    if good is None:
+                        good = self.whole(piece)
+                    if good and before:
+                        good = stable.get((before, piece))
+                        if good is None:
+                            good = self.stable(before, piece)
+                    if good:
+                        here = piece
+                        break
+                n -= 1
             last.append(here)
-            if len(last) > 8 * longest:
+            if len(last) > window:
                 cut = self._converged(last)
                 if cut:
                     yield from self._path(last, cut)
@@ -177,7 +193,7 @@ class Pieces:
         """Ids of one part (see ``PieceEncoder.borders``)."""
         parts = self.segment(text)
         out = []
-        for p in self.joined(parts):
+        for p in self.joined(parts) if any(r in text for r in self.runs) else parts:
             i = self.ids.get(p)
             if i is None:
                 out.extend(self.of_byte[b] for b in p.encode())
@@ -191,7 +207,7 @@ class PieceEncoder(bpe.Encoder):
 
     cut = regex.compile(f"(?<=[^{_SPACE}]){_SPACE}(?=[^{_SPACE}])")
 
-    def __init__(self, path: str, remember: int = 300_000, remember_bytes: int = 32 << 20):
+    def __init__(self, path: str, remember: int = 600_000, remember_bytes: int = 32 << 20):
         self.pieces, self.remember, self.remember_bytes, self.special = Pieces(path), remember, remember_bytes, None
         self._forget()
 
