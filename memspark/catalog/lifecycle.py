@@ -11,12 +11,12 @@ from memspark.catalog.scoring import SQL_SCORE, scored_facts
 from memspark.catalog.views import DIM, T_LEDGER, T_NOW, clock, with_views
 from memspark.functions import scoring
 from memspark.functions.ids import import_id
-from memspark.operators import contamination, fusion, imports, inbox, knn, metrics, outcomes, safety, transitions
+from memspark.operators import contamination, fusion, imports, inbox, knn, metrics, outcomes, safety, transitions, upsert
 from memspark.operators import utility as ut
 from memspark.plans import consolidate
 from memspark.plans import recall as rc
-from memspark.session import shared_dir
-from memspark.streaming import windows
+from memspark.session import new_folder, shared_dir
+from memspark.streaming import requests, windows
 
 _SCORES = with_views("facts", "ledger") + ",\n" + SQL_SCORE
 
@@ -654,6 +654,60 @@ def stream_extract(t):
     return got.select("episode_id", F.size("embedding").cast("bigint").alias("dim"))
 
 
+def _requests(raw):
+    """Conversation turns as write requests; every third conversation writes under a key it shares."""
+    return raw.select(
+        F.concat(F.lit("tenant-"), (F.col("conv_id") % 10).cast("string")).alias("tenant_id"),
+        F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("c"), F.floor(F.col("conv_id") / 10).cast("string")))
+        .otherwise(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))).alias("key"),
+        F.lit("remember").alias("verb"), F.sha2("text", 256).alias("body_hash"),
+        F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 3600 + F.col("turn") * 60).alias("at"), F.col("turn").alias("seq"))
+
+
+_PIECE = "CASE WHEN turn = 1 AND conv_id % 4 = 0 THEN 3 ELSE conv_id * 3 // (SELECT max(conv_id) + 1 FROM conversations) END"
+
+
+@query("R4_stream_late", f"""WITH r AS (SELECT conv_id % 10 AS tenant_id, CASE WHEN conv_id % 3 = 0 THEN 'c' || CAST(conv_id // 10 AS VARCHAR)
+    ELSE CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) END AS key, sha256(text) AS h, conv_id * 3600 + turn * 60 AS t, turn, {_PIECE} AS piece FROM conversations),
+m AS (SELECT *, max(t) OVER (ORDER BY piece RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM r),
+d AS (SELECT *, coalesce(t < high - 7200, false) AS late FROM m),
+f AS (SELECT h, first_value(h) OVER w AS fh, row_number() OVER w AS i FROM d WHERE NOT late WINDOW w AS (PARTITION BY tenant_id, key ORDER BY piece, t, turn))
+SELECT CASE WHEN i = 1 THEN 'fresh' WHEN h = fh THEN 'replay' ELSE 'conflict' END AS outcome, count(*) AS n FROM f GROUP BY 1
+UNION ALL SELECT 'late', count(*) FROM d WHERE late""")
+def stream_late(t):
+    """Files that arrive out of order: rows two hours behind go to the table of late rows, every row is accounted for."""
+    rows = t.table("conversations")
+    last = rows.agg((F.max("conv_id") + 1).alias("n"))
+    cut = F.when((F.col("turn") == 1) & (F.col("conv_id") % 4 == 0), 3).otherwise(F.floor(F.col("conv_id") * 3 / last.select("n").scalar()))
+    place = new_folder(t.spark, "stream-late")
+    pieces = rows.withColumn("piece", cut)
+    for i in range(4):  # one file each, in this order of arrival
+        pieces.where(F.col("piece") == i).drop("piece").coalesce(1).write.mode("append").parquet(f"{place}/arrived")
+    raw = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/arrived")
+    req = _requests(raw)
+    requests.start_dividing(req, f"{place}/divided", f"{place}/c1", "2 hours").awaitTermination()
+    out = requests.classified(requests.in_time(t.spark, f"{place}/divided", req.schema), "2 hours")
+    windows.to_table(out, f"{place}/out", f"{place}/c2").awaitTermination()
+    late = requests.late(t.spark, f"{place}/divided", req.schema)
+    answered = t.spark.read.schema(out.schema).parquet(f"{place}/out").groupBy("outcome").agg(F.count("*").alias("n"))
+    return answered.union(late.agg(F.lit("late").alias("outcome"), F.count("*").alias("n")))
+
+
+@query("R6_forward_decay", with_views("ledger") + f""",
+w AS (SELECT tenant_id, fact_id, epoch_us(TIMESTAMP '{T_NOW}') / 1e6 / 86400.0 - epoch_us(ts) / 1e6 / 86400.0 AS age,
+  CASE event_kind WHEN 'citation' THEN 0.4 WHEN 'tool_success' THEN 0.7 WHEN 'correction' THEN 1.0 WHEN 'repeat_recall' THEN 0.1 WHEN 'no_op' THEN -0.2 END::DOUBLE AS w FROM ledger)
+SELECT tenant_id, fact_id, round(sum(w * exp(-age / 30.0)), 9) AS utility_raw FROM w GROUP BY ALL""")
+def stream_forward_decay(t):
+    """Decayed sums of the feedback stream, one number of state per fact."""
+    raw = t.spark.readStream.schema(t.table("events").schema).parquet(f"{t.dir}/events*.parquet")
+    sums = windows.forward_decay(t.ledger_of(raw), "2024-01-01 00:00:00")
+    place = new_folder(t.spark, "stream-decay")
+    windows.latest_sums(sums, f"{place}/sums", f"{place}/checkpoint").awaitTermination()
+    stored = t.spark.read.schema(sums.schema.add("batch", "long")).parquet(f"{place}/sums")
+    now = windows.decayed_at(upsert.latest(stored, ("tenant_id", "fact_id"), "batch").drop("batch"), "2024-01-01 00:00:00", clock(T_NOW))
+    return now.withColumn("utility_raw", F.round("utility_raw", 9))
+
+
 @query("R4_stream_conflicts", """WITH r AS (SELECT conv_id % 10 AS tenant_id, CASE WHEN conv_id % 3 = 0 THEN 'c' || CAST(conv_id // 10 AS VARCHAR)
     ELSE CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) END AS key, sha256(text) AS h, conv_id * 3600 + turn * 60 AS t, turn FROM conversations),
 f AS (SELECT h, first_value(h) OVER w AS fh, row_number() OVER w AS i FROM r WINDOW w AS (PARTITION BY tenant_id, key ORDER BY t, turn))
@@ -661,12 +715,7 @@ SELECT CASE WHEN i = 1 THEN 'fresh' WHEN h = fh THEN 'replay' ELSE 'conflict' EN
 def stream_conflicts(t):
     """Write requests as a stream: fresh, replayed and conflicting keys with a one-day memory."""
     raw = t.spark.readStream.schema(t.table("conversations").schema).parquet(f"{t.dir}/conversations*.parquet")
-    req = raw.select(
-        F.concat(F.lit("tenant-"), (F.col("conv_id") % 10).cast("string")).alias("tenant_id"),
-        F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("c"), F.floor(F.col("conv_id") / 10).cast("string")))
-        .otherwise(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))).alias("key"),
-        F.lit("remember").alias("verb"), F.sha2("text", 256).alias("body_hash"),
-        F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 3600 + F.col("turn") * 60).alias("at"), F.col("turn").alias("seq"))
+    req = _requests(raw)
     out = _finish(t, windows.classified(req))
     return out.groupBy("outcome").agg(F.count("*").alias("n"))
 

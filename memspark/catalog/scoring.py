@@ -7,8 +7,9 @@ from memspark.catalog.registry import query
 from memspark.catalog.views import T_LEDGER, T_NOW, clock, with_views
 from memspark.functions import ids, scoring
 from memspark.functions.common import blank
-from memspark.operators import graph, percentiles, temporal
+from memspark.operators import adjacency, graph, percentiles, temporal
 from memspark.operators import utility as ut
+from memspark.session import new_folder
 
 _VALID = f"valid_from <= TIMESTAMP '{T_NOW}' AND (valid_to IS NULL OR valid_to > TIMESTAMP '{T_NOW}')"
 _MS = "strftime({}, '%Y-%m-%dT%H:%M:%S.%gZ')"
@@ -256,7 +257,7 @@ ego AS (
 SELECT seed, count(*) AS n_nodes, count(*) FILTER (depth = 1) AS n_near, max(node) AS last_node FROM ego GROUP BY seed""")
 def ego_sizes(t):
     """Two-hop neighbourhood of every node of a graph with hubs, cut at 500 nodes."""
-    nodes = graph.ego_nodes(t.supply_graph, t.supply_graph.select(F.col("src").alias("seed")))
+    nodes = adjacency.ego_nodes(adjacency.build(t.supply_graph, new_folder(t.spark, "graph")), t.supply_graph.select(F.col("src").alias("seed")))
     return nodes.groupBy("seed").agg(
         F.count("*").alias("n_nodes"), F.count_if(F.col("depth") == 1).alias("n_near"), F.max("node").alias("last_node")
     )
@@ -300,7 +301,8 @@ SELECT size.seed AS fact_id, n_nodes, round(CASE WHEN n_nodes < 10 THEN d / grea
 FROM size JOIN deg ON deg.src = size.seed JOIN near ON near.src = size.seed LEFT JOIN pct ON pct.seed = size.seed""")
 def connectedness(t):
     """Personalised-PageRank percentile (or degree ratio) of every node of the order graph."""
-    got = graph.connectedness(t.order_graph, t.order_graph.select(F.col("src").alias("seed")))
+    stored = adjacency.build(t.order_graph, new_folder(t.spark, "graph"))
+    got = adjacency.connectedness(stored, t.order_graph.select(F.col("src").alias("seed")))
     return got.select("fact_id", "n_nodes", F.round("connectedness", 9).alias("connectedness"))
 
 

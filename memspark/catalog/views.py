@@ -84,7 +84,10 @@ class Views:
     @cached_property
     def ledger(self) -> DataFrame:
         """Utility events: the user is the fact, the event type the feedback kind."""
-        e = self.table("events")
+        return self.ledger_of(self.table("events"))
+
+    @staticmethod
+    def ledger_of(e: DataFrame) -> DataFrame:
         kind = None
         for k, val in LEDGER_KIND.items():
             kind = F.when(F.col("event_type") == k, val) if kind is None else kind.when(F.col("event_type") == k, val)

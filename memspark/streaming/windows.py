@@ -3,7 +3,7 @@
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -103,3 +103,33 @@ def to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
     return stream.writeStream.outputMode(mode).format("parquet").option("path", path).option(
         "checkpointLocation", checkpoint
     ).trigger(availableNow=True).start()
+
+
+def forward_decay(events: DataFrame, landmark: str, tau_days: float = v.UTILITY_TAU_DAYS, keys: tuple[str, ...] = ("tenant_id", "fact_id")) -> DataFrame:
+    """(keys…, forward_sum): weights that grow from a fixed ``landmark`` on instead of decaying towards now.
+
+    The sum of a key is one number that partial sums add up to, so the state of the stream is one row per key, rows of any
+    age count in full, and no watermark leaves any out.  ``decayed_at`` turns sums into utilities at any time.
+    Sums stay within a double for some 700 times ``tau_days`` behind the landmark.
+    """
+    from memspark.functions.common import days_between
+    from memspark.operators.utility import event_weight
+
+    grown = F.exp(days_between(F.col("ts"), F.to_timestamp(F.lit(landmark))) / F.lit(float(tau_days)))
+    return events.groupBy(*keys).agg(F.sum(event_weight(F.col("event_kind")) * grown).alias("forward_sum"))
+
+
+def decayed_at(sums: DataFrame, landmark: str, at: Column, tau_days: float = v.UTILITY_TAU_DAYS) -> DataFrame:
+    """``utility_raw`` of forward sums at a time not before their last event."""
+    from memspark.functions.common import days_between
+
+    return sums.withColumn("utility_raw", F.col("forward_sum") * F.exp(-days_between(at, F.to_timestamp(F.lit(landmark))) / F.lit(float(tau_days)))).drop("forward_sum")
+
+
+def latest_sums(sums: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write the rows that a batch changed to a folder of its own; a batch that runs again replaces it."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return sums.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
