@@ -16,7 +16,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memspark.llm.common import like, slices, text_or_empty
+from memspark.llm.common import free_name, like, slices, text_or_empty
 
 WINDOW, OVERLAP, LEVEL = 64, 16, 9
 ORDINARY_BYTES, TOXIC_BYTES = 16384, 1024
@@ -201,27 +201,28 @@ def toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All columns of ``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on).
 
     A null or empty text is scored as a window without matter.  No shuffle; repeated rows are scored
-    alike.  Columns of ``docs`` named ``score`` or ``predicted`` are replaced.
+    alike, an empty table stays empty.  Columns of ``docs`` named ``score`` or ``predicted`` are replaced, all others stay as they are.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.drop("score", "predicted")
-    names = kept.columns
+    names, body = kept.columns, free_name(kept, "text_to_score")
 
     def run(batches):
         for batch in batches:
-            p = _scores(batch, shared.value, "__body")
+            p = _scores(batch, shared.value, body)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
 
-    return kept.withColumn("__body", text_or_empty(text)).mapInArrow(run, like(kept, "score double", "predicted int"))
+    return kept.withColumn(body, text_or_empty(text)).mapInArrow(run, like(kept, "score double", "predicted int"))
 
 
 def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns unchanged, whose score is below 0.5."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    body = free_name(docs, "text_to_score")
 
     def run(batches):
         for batch in batches:
-            good = _scores(batch, shared.value, "__body") < 0.5
-            yield batch.drop_columns(["__body"]).filter(pa.array(good, pa.bool_()))
+            good = _scores(batch, shared.value, body) < 0.5
+            yield batch.drop_columns([body]).filter(pa.array(good, pa.bool_()))
 
-    return docs.withColumn("__body", text_or_empty(text)).mapInArrow(run, docs.schema)
+    return docs.withColumn(body, text_or_empty(text)).mapInArrow(run, docs.schema)

@@ -65,6 +65,13 @@ def test_filter_keeps_columns(odd, empty):
     assert toxicity.toxicity(empty, model).count() == 0
 
 
+def test_names_of_other_columns_do_not_matter(spark):
+    rows = spark.createDataFrame([("plain words", "own", "kept")], "text string, __body string, text_to_score string")
+    model = toxicity.fit([], ["plain words"])
+    assert [tuple(r) for r in toxicity.keep_clean(rows, model).collect()] == [("plain words", "own", "kept")]
+    assert tuple(toxicity.toxicity(rows, model).first())[:3] == ("plain words", "own", "kept")
+
+
 PAGES = [(5, "http://a/x y", "<p>same</p>"), (3, "http://b/\r\nz", "<p>same</p>"), (9, None, "<p>same</p>"), (1, "http://c", None), (2, "http://d", ""), (7, "http://e", "ü" * 200_000), (8, "http://f", "\r\n\r\nWARC/1.1\r\n"), (3, "http://b", "<p>same</p>"), (None, "http://g", "alone")]
 
 
