@@ -11,29 +11,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memspark.llm import catalog
-from memspark.llm.common import shared_folder, table
+from memspark.llm.common import free_name, shared_folder, table
 from memspark.llm.exact_dedup import exact_duplicates
 from memspark.llm.near_dedup import near_duplicates
 from memspark.llm.packing import packed_documents
 from memspark.llm.toxicity import keep_clean, learn
 from memspark.session import broadcast_if
 
-_ROW = "__row_of_stage"
 #: Rows to drop are sent to every task up to this number (16 MB); more are met in a shuffle.
 _BROADCAST_ROWS = 1_000_000
 
 
-def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` with a number for every row, stored: no later scan derives it again."""
-    folder = shared_folder(spark, "numbered")
-    docs.withColumn(_ROW, F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(folder)
-    return spark.read.parquet(folder)
+def _numbered(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number for every row, stored so that no later scan derives it again, and the name of that column."""
+    folder, row = shared_folder(spark, "numbered"), free_name(docs, "row_of_stage")
+    docs.withColumn(row, F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(folder)
+    return spark.read.parquet(folder), row
 
 
-def _without(numbered: DataFrame, verdicts: DataFrame) -> DataFrame:
+def _without(numbered: DataFrame, row: str, verdicts: DataFrame) -> DataFrame:
     """The rows of ``_numbered`` whose verdict is ``kept``, without their numbers."""
-    dropped = verdicts.filter(~F.col("kept")).select(F.col("row").alias(_ROW))
-    return numbered.join(broadcast_if(dropped, _BROADCAST_ROWS), _ROW, "left_anti").drop(_ROW)
+    dropped = verdicts.filter(~F.col("kept")).select(F.col("row").alias(row))
+    return numbered.join(broadcast_if(dropped, _BROADCAST_ROWS), row, "left_anti").drop(row)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,14 +42,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest id."""
-    numbered = _numbered(spark, docs)
-    return _without(numbered, exact_duplicates(numbered, row=_ROW))
+    numbered, row = _numbered(spark, docs)
+    return _without(numbered, row, exact_duplicates(numbered, row=row))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar texts, the document with the smallest id."""
-    numbered = _numbered(spark, docs)
-    return _without(numbered, near_duplicates(numbered, different=True, row=_ROW))
+    numbered, row = _numbered(spark, docs)
+    return _without(numbered, row, near_duplicates(numbered, different=True, row=row))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -129,7 +129,7 @@ def bm25_search(t):
 
 
 def _stored(t, facts=None) -> stored_text.TextIndex:
-    return stored_text.build(t.facts if facts is None else facts, new_folder(t.spark, "text-index"), by=("tenant_id",))
+    return stored_text.build(t.facts if facts is None else facts, new_folder(t.spark, "text-index"), by=("tenant_id",), buckets=16)
 
 
 @query("S10_stored_index", with_views("facts") + """,

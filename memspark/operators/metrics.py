@@ -4,8 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark import vocab as v
-from memspark.operators.percentiles import percentile_disc
-from memspark.session import union_all
+from memspark.operators.percentiles import percentile_points
 
 
 def hit_rate(answers: DataFrame, relevant: DataFrame, k: int, name: str = "recall_at_k") -> DataFrame:
@@ -91,22 +90,18 @@ def extraction_quality(extracted: DataFrame, expected: DataFrame) -> DataFrame:
 def stratified_percentiles(
     samples: DataFrame, value: str, strata: tuple[tuple[str, ...], ...], points: dict[str, float]
 ) -> DataFrame:
-    """Percentiles per stratum, one block of rows per column set in ``strata``.
+    """Percentiles per stratum, one block of rows per column set in ``strata``, all from one scan.
 
     A pooled number over all rows is refused: every set needs at least one column.
     """
     if not strata or any(not s for s in strata):
         raise ValueError("percentiles are only reported per stratum")
-    out = None
-    for cols in strata:
-        block = None
-        for name, p in points.items():
-            part = percentile_disc(samples, value, p, cols, name)
-            block = part if block is None else block.join(part.drop("n"), list(cols))
-        label = F.concat_ws("|", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in cols])
-        block = block.select(F.lit("+".join(cols)).alias("strata"), label.alias("stratum"), "n", *points)
-        out = block if out is None else union_all(out, block)
-    return out
+    def label(cols: tuple[str, ...]):
+        parts = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("NULL"))) for c in cols]
+        return F.struct(F.lit("+".join(cols)).alias("strata"), F.concat_ws("|", *parts).alias("stratum"))
+
+    rows = samples.where(F.col(value).isNotNull()).select(F.col(value).alias("_value"), F.inline(F.array(*map(label, strata))))
+    return percentile_points(rows, "_value", points, ("strata", "stratum")).select("strata", "stratum", "n", *points)
 
 
 def budget_fit(samples: DataFrame, by: tuple[str, ...]) -> DataFrame:
@@ -119,8 +114,7 @@ def budget_fit(samples: DataFrame, by: tuple[str, ...]) -> DataFrame:
 def over_budget_tail(samples: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """p95 and p99 of the tokens above budget, among the responses that exceed it."""
     over = samples.where(F.col("tokens") > F.col("budget")).withColumn("_over", F.col("tokens") - F.col("budget"))
-    p95 = percentile_disc(over, "_over", 0.95, by, "p95_over")
-    return p95.join(percentile_disc(over, "_over", 0.99, by, "p99_over").drop("n"), list(by))
+    return percentile_points(over, "_over", {"p95_over": 0.95, "p99_over": 0.99}, by)
 
 
 def two_strata(rows: DataFrame, source: str = "source") -> DataFrame:

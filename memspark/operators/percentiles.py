@@ -87,6 +87,27 @@ def _target_cell(inside: DataFrame, by: list[str]) -> DataFrame:
     return rows.join(reached, [*by, "_cell"]).withColumn("_below", F.col("_before")).drop("_cell", "_before")
 
 
+def percentile_points(df: DataFrame, value: str, points: dict[str, float], by: tuple[str, ...] = (), n_ranges: int | None = None) -> DataFrame:
+    """(by…, n, point…): several discrete percentiles per group from one scan.
+
+    Equal values are counted in the map tasks; the counts of all groups are sorted into ranges together and summed up once
+    (``positions.running_sum``), then every point picks the value whose counts reach its rank.  Null values are left out, a null
+    group is a group.  No rows, no result.
+    """
+    if not points or any(not 0.0 < p <= 1.0 for p in points.values()):
+        raise ValueError("points must lie in (0, 1]")
+    rows = df.select(*by, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
+    hist = rows.groupBy(*by, "_v").agg(F.count("*").alias("_n"))
+    run = running_sum(hist, "_n", by, [F.asc("_v")], "_less", n_ranges, total="n")
+
+    def pick(p: float):
+        target = F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("n")))
+        return F.min(F.when((F.col("_less") < target) & (target <= F.col("_less") + F.col("_n")), F.col("_v")))
+
+    found = run.groupBy(*by).agg(F.first("n").alias("n"), *(pick(p).alias(name) for name, p in points.items()))
+    return found.where(F.col("n").isNotNull())
+
+
 def disc_index(p: float, n: int) -> int:
     """0-based index of the same percentile in a sorted list; the plain form of the rule."""
     return min(n - 1, max(0, math.ceil(p * n) - 1))

@@ -37,14 +37,14 @@ def positions(rows: DataFrame, by: tuple[str, ...], order: list[Column], n_range
     return found.withColumn("pos", F.col("_row") + F.col("_shift")).drop("_part", "_row", "_shift")
 
 
-def running_sum(rows: DataFrame, value: str, by: tuple[str, ...], order: list[Column], name: str = "before", n_ranges: int | None = None) -> DataFrame:
-    """``rows`` with ``name``, the sum of ``value`` over the rows of the group in front of each one.
+def running_sum(rows: DataFrame, value: str, by: tuple[str, ...], order: list[Column], name: str = "before", n_ranges: int | None = None, total: str | None = None) -> DataFrame:
+    """``rows`` with ``name``, the sum of ``value`` over the rows of the group in front of each one, and with ``total``, that of the whole group.
 
     The windows inside cover one group within one range, which has a bounded number of rows.
     """
     placed = ranges(rows, by, order, n_ranges)
     sums = placed.groupBy(*by, "_part").agg(F.sum(value).alias("_here"))
-    table = _before(sums, by, "_here").select(*by, "_part", "_before")
+    table = _before(sums, by, "_here").select(*by, "_part", "_before", *([F.col("_total").alias(total)] if total else []))
     inner = Window.partitionBy("_part", *by).orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
     found = _attach(placed.withColumn("_inner", F.coalesce(F.sum(value).over(inner), F.lit(0))), table, by)
     return found.withColumn(name, F.col("_before") + F.col("_inner")).drop("_part", "_row", "_inner", "_before")

@@ -67,3 +67,23 @@ def test_rank_among_others(spark, rows):
         if g is not None and v is not None:
             values[g].append(v)
     assert got and all(r.pct_rank == pytest.approx(sum(x < r.v for x in values[r.g]) / (len(values[r.g]) - 1) if len(values[r.g]) > 1 else 0.0) for r in got)
+
+
+def test_percentile_points(spark, rows):
+    """Several points of all groups, null group and null values included, against sorted lists."""
+    points = {"p1": 0.01, "p50": 0.5, "p99": 0.99, "top": 1.0}
+    got = {r.g: r for r in percentiles.percentile_points(frame(spark, rows), "v", points, ("g",), n_ranges=7).collect()}
+    values = defaultdict(list)
+    for g, v in rows:
+        if v is not None:
+            values[g].append(v)
+    assert set(got) == set(values)
+    for g, vs in values.items():
+        vs.sort()
+        assert got[g].n == len(vs) and all(got[g][name] == vs[percentiles.disc_index(p, len(vs))] for name, p in points.items())
+    assert percentiles.percentile_points(frame(spark, rows).limit(0), "v", points, ("g",)).count() == 0
+    whole = percentiles.percentile_points(frame(spark, rows), "v", {"m": 0.5}).first()
+    every = sorted(v for _, v in rows if v is not None)
+    assert (whole.n, whole.m) == (len(every), every[percentiles.disc_index(0.5, len(every))])
+    with pytest.raises(ValueError):
+        percentiles.percentile_points(frame(spark, rows), "v", {"p": 0.0})
