@@ -11,7 +11,7 @@ from memspark.catalog.scoring import SQL_SCORE, scored_facts
 from memspark.catalog.views import DIM, T_LEDGER, T_NOW, clock, with_views
 from memspark.functions import scoring
 from memspark.functions.ids import import_id
-from memspark.operators import contamination, fusion, imports, inbox, knn, metrics, outcomes, safety, transitions, upsert
+from memspark.operators import contamination, fusion, imports, inbox, knn, lineage, metrics, outcomes, safety, transitions, upsert
 from memspark.operators import utility as ut
 from memspark.plans import consolidate
 from memspark.plans import recall as rc
@@ -435,6 +435,46 @@ def merged_sources(t):
     return safety.merged_sources(merges, t.ledger.select("fact_id", F.col("props").alias("episode_id")))
 
 
+#: Facts are merged (or derived) twice over: number i into i // 2 and i // 3, which makes long chains and many diamonds.
+_STEPS = """docs AS (SELECT doc_id AS i, 't-' || lang AS tenant_id, source AS episode_id FROM documents),
+steps AS (SELECT DISTINCT tenant_id, i AS part, CASE k WHEN 2 THEN i // 2 ELSE i // 3 END AS whole FROM docs, (VALUES (2), (3)) x(k) WHERE i > 0)"""
+
+
+def _merged_twice(t):
+    d = t.table("documents").select(F.col("doc_id").alias("i"), F.concat(F.lit("t-"), "lang").alias("tenant_id"), F.col("source").alias("episode_id"))
+    steps = d.where("i > 0").select("tenant_id", F.col("i").alias("part"), F.explode(F.array(F.floor(F.col("i") / 2), F.floor(F.col("i") / 3))).alias("whole"))
+    return d, steps
+
+
+@query("E2_lineage", f"""WITH RECURSIVE {_STEPS},
+up(tenant_id, merged_id, fact_id) AS (
+  SELECT tenant_id, whole, part FROM steps UNION SELECT u.tenant_id, u.merged_id, s.part FROM up u JOIN steps s ON s.tenant_id = u.tenant_id AND s.whole = u.fact_id),
+every AS (SELECT * FROM up UNION SELECT DISTINCT tenant_id, whole, whole FROM steps)
+SELECT e.tenant_id, e.merged_id, count(DISTINCT d.episode_id) AS n_episodes, count(DISTINCT e.fact_id) FILTER (e.fact_id <> e.merged_id) AS n_parts
+FROM every e LEFT JOIN docs d ON d.tenant_id = e.tenant_id AND d.i = e.fact_id GROUP BY ALL""")
+def lineage_of_merges(t):
+    """Parts and source episodes of every merged fact through merges of merges."""
+    d, steps = _merged_twice(t)
+    merges = steps.select("tenant_id", F.col("part").alias("fact_id"), F.col("whole").alias("merged_id"))
+    behind = lineage.lineage(merges, d.select("tenant_id", F.col("i").alias("fact_id"), "episode_id"))
+    episodes = behind.groupBy("tenant_id", "merged_id").agg(F.countDistinct("episode_id").alias("n_episodes"))
+    parts = lineage.all_parts(merges).groupBy("tenant_id", "merged_id").agg(F.count("*").alias("n_parts"))
+    every = merges.select("tenant_id", "merged_id").distinct()
+    return every.join(episodes, ["tenant_id", "merged_id"], "left").join(parts, ["tenant_id", "merged_id"], "left").fillna(0, ["n_episodes", "n_parts"])
+
+
+@query("J14_cascade", f"""WITH RECURSIVE {_STEPS},
+hit(tenant_id, episode_id, fact) AS (
+  SELECT tenant_id, episode_id, i FROM docs UNION SELECT h.tenant_id, h.episode_id, s.whole FROM hit h JOIN steps s ON s.tenant_id = h.tenant_id AND s.part = h.fact)
+SELECT tenant_id, episode_id, count(*) AS cascade_count, CASE WHEN count(*) > 40 THEN 'precondition_failed' ELSE 'intended_not_applied' END AS outcome FROM hit GROUP BY 1, 2""")
+def quarantine_cascade(t):
+    """All that falls with the facts of a source, over every step of derivation."""
+    d, steps = _merged_twice(t)
+    derived = steps.select("tenant_id", F.col("part").alias("src"), F.col("whole").alias("dst"))
+    got = lineage.cascade(d.select("tenant_id", F.col("i").alias("fact_id"), "episode_id"), derived, d, 40)
+    return got.select("tenant_id", "episode_id", "cascade_count", "outcome").distinct()
+
+
 _E3 = """WITH ch AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity >= 25),
 pg AS (SELECT DISTINCT 'tenant-' || CAST(o_custkey % 10 AS VARCHAR) AS tenant_id, 'page-' || CAST(o_custkey AS VARCHAR) AS page_uri FROM orders SEMI JOIN ch ON o_orderkey = l_orderkey)"""
 
