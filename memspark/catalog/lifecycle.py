@@ -552,13 +552,34 @@ o AS (SELECT m.*, row_number() OVER (PARTITION BY tenant_id, recipient ORDER BY
 SELECT msg_id FROM m WHERE type = 'query' UNION ALL
 SELECT msg_id FROM o LEFT JOIN q USING (tenant_id, recipient) WHERE n <= 100 - coalesce(nq, 0)""")
 def inbox_cap(t):
+    return inbox.capped(_messages(t)).select("msg_id")
+
+
+def _messages(t):
+    """Events as peer messages: some were acknowledged, some only delivered."""
     e = t.table("events")
-    m = e.select(
+    i, sent = F.col("event_id"), F.col("ts").cast("timestamp")
+    return e.select(
         F.col("event_id").alias("msg_id"), F.concat(F.lit("tenant-"), (F.col("user_id") % 10).cast("string")).alias("tenant_id"),
         F.concat(F.lit("a-"), (F.col("user_id") % 7).cast("string")).alias("recipient"),
         F.when(F.col("event_type") == "error", "query").when(F.col("event_type") == "view", "claim").otherwise("info").alias("type"),
-        F.col("ts").cast("timestamp").alias("sent_at"))
-    return inbox.capped(m).select("msg_id")
+        sent.alias("sent_at"), F.when(i % 5 == 0, sent).alias("acked_at"), F.when(i % 3 == 0, sent).alias("delivered_at"))
+
+
+@query("Q8_inbox_status", f"""WITH m AS (SELECT event_id AS msg_id, 'tenant-' || CAST(user_id % 10 AS VARCHAR) AS tenant_id, 'a-' || CAST(user_id % 7 AS VARCHAR) AS recipient,
+    CASE event_type WHEN 'error' THEN 'query' WHEN 'view' THEN 'claim' ELSE 'info' END AS type, ts, event_id % 5 = 0 AS acked, event_id % 3 = 0 AS given,
+    ts + INTERVAL 7 DAY > TIMESTAMP '{T_LEDGER}' AS live FROM events),
+u AS (SELECT * FROM m WHERE NOT acked AND NOT given AND live),
+q AS (SELECT tenant_id, recipient, count(*) AS nq FROM u WHERE type = 'query' GROUP BY ALL),
+o AS (SELECT u.*, row_number() OVER (PARTITION BY tenant_id, recipient ORDER BY ts DESC, msg_id DESC) AS n FROM u WHERE type <> 'query'),
+k AS (SELECT msg_id FROM u WHERE type = 'query' UNION ALL SELECT msg_id FROM o LEFT JOIN q USING (tenant_id, recipient) WHERE n <= 3 - coalesce(nq, 0))
+SELECT msg_id, CASE WHEN acked THEN 'acked' WHEN given THEN 'delivered' WHEN NOT live THEN 'expired' WHEN k.msg_id IS NULL THEN 'dropped_cap' ELSE 'pending' END AS status
+FROM m LEFT JOIN k USING (msg_id)""")
+def inbox_status(t):
+    """State of every message: unread ones that have not expired stay in a box up to its cap (three here)."""
+    m, now = _messages(t), clock(T_LEDGER)
+    unread = m.where(F.col("acked_at").isNull() & F.col("delivered_at").isNull())
+    return inbox.status(m, inbox.capped(inbox.live(unread, now), 3), now)
 
 
 # --- imports -----------------------------------------------------------------------------------
