@@ -16,7 +16,7 @@ from memspark.operators import utility as ut
 from memspark.plans import consolidate
 from memspark.plans import recall as rc
 from memspark.session import new_folder, shared_dir
-from memspark.streaming import requests, windows
+from memspark.streaming import embed, requests, windows
 
 _SCORES = with_views("facts", "ledger") + ",\n" + SQL_SCORE
 
@@ -715,6 +715,26 @@ def stream_extract(t):
     return got.select("episode_id", F.size("embedding").cast("bigint").alias("dim"))
 
 
+@query("C02_batch_embed", with_views("episodes") + """,
+b AS (SELECT episode_id, tenant_id, conv_id, list_transform(range(1, 33), lambda i: (CAST(CAST('0x' || substr(sha256(body), CAST(2 * i - 1 AS INTEGER), 2) AS UBIGINT) AS DOUBLE) - 127.5) / 127.5) AS v FROM episodes),
+n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS s FROM b)
+SELECT tenant_id, episode_id, CASE WHEN conv_id % 2 = 0 THEN 0 ELSE 1 END::BIGINT AS run, round(v[1] / s, 8) + 0.0 AS x1, round(v[32] / s, 8) + 0.0 AS x32,
+  round(list_sum(list_transform(v, lambda x: round(x / s, 8))), 8) + 0.0 AS total FROM n""")
+def batch_embed(t):
+    """Two runs of a model over batches of texts; the second gets all episodes and embeds those the first did not have."""
+    place = new_folder(t.spark, "stream-embed")
+    rows = t.episodes.select("tenant_id", "episode_id", "body", "conv_id")
+    for part in (rows.where("conv_id % 2 = 0"), rows):
+        part.write.mode("append").parquet(f"{place}/arrived")
+        raw = t.spark.readStream.schema(rows.schema).parquet(f"{place}/arrived")
+        embed.start(raw, f"{place}/out", f"{place}/checkpoint", embed.hash_model, 32).awaitTermination()
+    h = embed.stored(t.spark, f"{place}/out", rows.schema)
+    eight = lambda c: (F.round(c, 8) + 0.0)
+    return h.select(
+        "tenant_id", "episode_id", F.col("batch").alias("run"), eight(F.col("embedding")[0]).alias("x1"), eight(F.col("embedding")[31]).alias("x32"),
+        eight(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+
+
 def _requests(raw):
     """Conversation turns as write requests; every third conversation writes under a key it shares."""
     return raw.select(
