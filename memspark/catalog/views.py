@@ -158,7 +158,8 @@ class Views:
 
     @cached_property
     def flags(self) -> DataFrame:
-        d = self.table("documents").where(F.col("doc_id") % 10 == 0)
+        """Facts of low quality are demoted; labels tell, and they lie in every tenant."""
+        d = self.table("labels").where(F.col("quality") == 0)
         return d.select(
             F.concat(F.lit("tenant-"), (F.col("doc_id") % 10).cast("string")).alias("tenant_id"),
             F.concat(F.lit("f-"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("fact_id"),
@@ -221,7 +222,7 @@ supply_graph AS (
     CAST(strlen(html) AS BIGINT) AS bytes, page_id FROM pages)""",
     "flags": """flags AS (
   SELECT 'tenant-' || CAST(doc_id % 10 AS VARCHAR) AS tenant_id, 'f-' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS fact_id,
-    'demoted' AS tier, doc_id AS seq FROM documents WHERE doc_id % 10 = 0)""",
+    'demoted' AS tier, doc_id AS seq FROM labels WHERE quality = 0)""",
 }
 
 
