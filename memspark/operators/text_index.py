@@ -62,44 +62,44 @@ def build(docs: DataFrame, path: str, *, id_col: str = "fact_id", text_col: str
     """Write the index of ``docs(by…, id, text)`` below ``path`` and open it.
 
     Every text is split into words once.  Null and empty texts count as documents without words; ids are unique within a
-    tenant.  Words are counted in the map tasks; numbering documents by length uses sorted
-    ranges, so a tenant with most of the documents is spread over the tasks, and a word that occurs everywhere has a block for each range.
+    tenant.  Numbering documents by length uses sorted ranges, so a tenant with most of the documents is spread over the tasks,
+    and a word that occurs everywhere has a block for each range.  Postings are shuffled once, as blocks.
     """
     spark = docs.sparkSession
-    # Each step is a column of its own: what a lambda refers to would otherwise be worked out again for each element.
-    words = docs.select(_scope(by).alias(_KEY), F.col(id_col).alias("id"), F.array_sort(F.coalesce(tokens(F.col(text_col)), F.array())).alias("w"))
-    starts = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: (i == 1) | (F.get("w", i - 1) != F.get("w", i - 2)))
-    runs = words.withColumn("starts", F.when(F.size("w") > 0, starts).otherwise(F.array().cast("array<int>")))
-    runs = runs.withColumn("ends", F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array(F.size("w") + 1)))
-    count_of = F.transform("starts", lambda a, i: F.struct(F.get("w", a - 1).alias("term"), (F.get("ends", i) - a).alias("tf")))
-    counted = runs.select(_KEY, "id", F.size("w").alias("doc_len"), count_of.alias("tf"))
-    placed = positions(counted, (_KEY,), [F.col("doc_len"), F.asc_nulls_first("id")])
-    placed.select(_KEY, "id", "doc_len", F.floor(F.col("pos") / span).cast("long").alias("range"), "tf").write.mode("overwrite").parquet(f"{path}/documents")
+    words = docs.select(_scope(by).alias(_KEY), F.col(id_col).alias("id"), F.coalesce(tokens(F.col(text_col)), F.array()).alias("w"))
+    placed = positions(words.withColumn("doc_len", F.size("w")), (_KEY,), [F.col("doc_len"), F.asc_nulls_first("id")])
+    placed.select(_KEY, "id", "doc_len", F.floor(F.col("pos") / span).cast("long").alias("range"), "w").write.mode("overwrite").parquet(f"{path}/documents")
     stored = spark.read.parquet(f"{path}/documents")
     stored.groupBy(_KEY).agg(F.count("*").cast("double").alias("n_docs"), F.avg(F.col("doc_len").cast("double")).alias("avg_len")).write.mode("overwrite").parquet(f"{path}/stats")
     stats = spark.read.parquet(f"{path}/stats")
-    posting = stored.select(_KEY, "id", "doc_len", "range", F.inline("tf"))
+    # The documents of a range meet in one task before they are taken apart, so words are counted and put into blocks where they are.
+    posting = (
+        stored.repartition(_KEY, "range").select(_KEY, "range", "id", "doc_len", F.explode("w").alias("term"))
+        .groupBy(_KEY, "range", "id", "doc_len", "term").agg(F.count("*").cast("int").alias("tf"))
+    )
     # Scopes differ in their mean length only, so the largest part is found with that of the own scope.
     scoped = posting.join(F.broadcast(stats) if has_at_most(stats, bm25.VOCABULARY_LIMIT) else stats, _KEY)
     part = bm25.term_score(F.lit(1.0), F.col("tf").cast("double"), F.col("doc_len"), F.col("avg_len"))
     blocks = (
-        scoped.withColumn("part", part).groupBy(_KEY, "term", "range")
+        scoped.withColumn("part", part).groupBy(_KEY, "range", "term")
         .agg(F.max("part").alias("top"), F.count("*").cast("int").alias("n"), F.collect_list(F.struct("id", "tf", "doc_len")).alias("postings"))
         .withColumn("bucket", _bucket(buckets))
     )
-    _write(blocks, f"{path}/blocks", (_KEY, "term", "range"))
+    _write(blocks, f"{path}/blocks", (_KEY, "term", "range"), buckets)
     heads = _read(spark, path, "blocks").select("bucket", _KEY, "term", "range", "top", "n")
-    _write(heads, f"{path}/fine", (_KEY, "term", "range"))
+    _write(heads, f"{path}/fine", (_KEY, "term", "range"), buckets)
     coarse = heads.groupBy("bucket", _KEY, "term", F.floor(F.col("range") / SUPER).cast("long").alias("group")).agg(F.max("top").alias("top"), F.sum("n").alias("n"), F.count("*").alias("blocks"))
-    _write(coarse, f"{path}/coarse", (_KEY, "term", "group"))
+    _write(coarse, f"{path}/coarse", (_KEY, "term", "group"), buckets)
     words = _read(spark, path, "coarse").groupBy("bucket", _KEY, "term").agg(F.sum("n").cast("double").alias("df"), F.sum("blocks").alias("blocks"))
-    _write(words, f"{path}/words", (_KEY, "term"))
+    _write(words, f"{path}/words", (_KEY, "term"), buckets)
     return load(spark, path, id_col=id_col, by=by, buckets=buckets)
 
 
-def _write(table: DataFrame, path: str, order: tuple[str, ...]) -> None:
-    """One sorted run of files for each hash bucket; a hot bucket takes several files, cut at ranges of the order."""
-    table.repartitionByRange("bucket", *order).sortWithinPartitions("bucket", *order).write.mode("overwrite").partitionBy("bucket").parquet(path)
+def _write(table: DataFrame, path: str, order: tuple[str, ...], buckets: int) -> None:
+    """Sorted files for each hash bucket; a bucket is cut into slices, so a hot one takes several files."""
+    slices = -(-4 * int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")) // buckets)
+    cut = table.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(slices)))
+    cut.repartition("bucket", "_slice").drop("_slice").sortWithinPartitions("bucket", *order).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def _schema(name: str, id_type: str) -> str:

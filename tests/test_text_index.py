@@ -86,3 +86,14 @@ def test_an_index_cannot_serve_the_filter_before(spark, index, docs, asked):
 
     with pytest.raises(ValueError):
         recall(docs, asked, F.current_timestamp(), index=index, filter_stage="pre_retrieval")
+
+
+def test_the_build_numbers_documents_before_it_counts_words(monkeypatch, tmp_path, docs):
+    """Counting within arrays walked a text several times per word; now words are counted by grouping, behind one shuffle of texts."""
+    seen, place = [], text_index.positions
+    monkeypatch.setattr(text_index, "positions", lambda rows, *rest: seen.append(rows) or place(rows, *rest))
+    index = text_index.build(docs, f"{tmp_path}/i", by=("tenant_id",), span=8, buckets=4)
+    assert "lambdafunction" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+    want = bm25.postings(docs, by=("tenant_id",)).where("term <> ''").select("fact_id", "term", F.col("tf").cast("int"), "doc_len")
+    got = index.blocks.select("term", F.inline("postings")).select(F.col("id").alias("fact_id"), "term", "tf", "doc_len")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
