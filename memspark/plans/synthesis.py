@@ -12,9 +12,13 @@ INTENTS = ("synthesis_uri", "synthesis_query")  # fixed values
 
 
 def by_uri(pages: DataFrame, requests: DataFrame, strict: bool = True) -> DataFrame:
-    """Pages for ``requests(query_id, tenant_id, uri)``; an unknown address fails the job when strict."""
-    p = pages.select("tenant_id", F.col("page_uri").alias("uri"), "content", F.lit(True).alias("_found"))
-    rows = requests.join(p, ["tenant_id", "uri"], "left")
+    """Pages for ``requests(query_id, tenant_id, uri[, revision_id])``; an unknown address fails the job when strict.
+
+    A request that names a revision gets that one; without the column every page at the address is an answer.
+    """
+    at = ["tenant_id", "uri"] + [c for c in ("revision_id",) if c in requests.columns]
+    p = pages.withColumn("uri", F.col("page_uri")).select(*at, "content", F.lit(True).alias("_found"))
+    rows = requests.join(p, at, "left")
     if not strict:
         rows = rows.where(F.col("_found"))
     missing = F.concat(F.lit("no page at "), F.col("uri"))

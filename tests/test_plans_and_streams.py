@@ -196,3 +196,13 @@ def test_stream_outcomes_with_no_op(spark, tmp_path):
     windows.to_table(windows.join_outcomes(r, o), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = {x.recall_id: x.outcome for x in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got["r1"] == "citation" and got["r2"] == "no_op"
+
+
+def test_a_request_by_revision_gets_that_page_alone(spark):
+    pages = spark.createDataFrame([("t", "u", "old", "rev-1"), ("t", "u", "new", "rev-2"), ("s", "u", "other", "rev-1")], "tenant_id string, page_uri string, content string, revision_id string")
+    req = spark.createDataFrame([("r1", "t", "u", "rev-1"), ("r2", "t", "u", "rev-2")], "query_id string, tenant_id string, uri string, revision_id string")
+    assert sorted((r.query_id, r.content) for r in synthesis.by_uri(pages, req).collect()) == [("r1", "old"), ("r2", "new")]
+    assert synthesis.by_uri(pages, req.drop("revision_id")).count() == 4
+    gone = spark.createDataFrame([("r3", "t", "u", "rev-9")], "query_id string, tenant_id string, uri string, revision_id string")
+    with pytest.raises(Exception, match="no page at u"):
+        synthesis.by_uri(pages, gone).collect()
