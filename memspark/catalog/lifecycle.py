@@ -386,11 +386,8 @@ b AS (SELECT coalesce(e.query_id, s.query_id) AS query_id, e.fact_id AS ef, s.fa
 SELECT query_id, round(count(*) FILTER (ef IS NULL OR sf IS NULL) / count(ef), 9) AS drift FROM b GROUP BY 1 HAVING count(ef) > 0""")
 def probe_drift(t):
     """Recall answers against the ten best text matches."""
-    from memspark.operators import bm25
-
-    got = rc.recall(t.facts, t.query_batch, clock(T_NOW), t.fact_vectors, dim=DIM, k=10).facts
-    want = bm25.search_documents(t.facts, t.query_batch, 10, by=("tenant_id",))
-    d = metrics.set_drift(want, got)
+    got = rc.recall(t.facts, t.query_batch, clock(T_NOW), t.fact_vectors, dim=DIM, k=10)
+    d = metrics.set_drift(got.best("lexical", 10), got.facts)
     return d.select("query_id", F.round("drift", 9).alias("drift"))
 
 
@@ -398,10 +395,8 @@ def probe_drift(t):
 SELECT query_id, round(count(*) FILTER (ef IS NOT NULL AND sf IS NOT NULL) / count(*), 9) AS agreement FROM b GROUP BY 1""")
 def agreement(t):
     """Agreement of live answers with a shadow ranking that uses text only."""
-    from memspark.operators import bm25
-
-    live = rc.recall(t.facts, t.query_batch, clock(T_NOW), t.fact_vectors, dim=DIM, k=10).facts
-    got = metrics.agreement(bm25.search_documents(t.facts, t.query_batch, 10, by=("tenant_id",)), live)
+    live = rc.recall(t.facts, t.query_batch, clock(T_NOW), t.fact_vectors, dim=DIM, k=10)
+    got = metrics.agreement(live.best("lexical", 10), live.facts)
     return got.select("query_id", F.round("agreement", 9).alias("agreement"))
 
 
@@ -456,9 +451,10 @@ def lineage_of_merges(t):
     """Parts and source episodes of every merged fact through merges of merges."""
     d, steps = _merged_twice(t)
     merges = steps.select("tenant_id", F.col("part").alias("fact_id"), F.col("whole").alias("merged_id"))
-    behind = lineage.lineage(merges, d.select("tenant_id", F.col("i").alias("fact_id"), "episode_id"))
+    found = lineage.all_parts(merges)
+    behind = lineage.lineage(merges, d.select("tenant_id", F.col("i").alias("fact_id"), "episode_id"), found)
     episodes = behind.groupBy("tenant_id", "merged_id").agg(F.countDistinct("episode_id").alias("n_episodes"))
-    parts = lineage.all_parts(merges).groupBy("tenant_id", "merged_id").agg(F.count("*").alias("n_parts"))
+    parts = found.groupBy("tenant_id", "merged_id").agg(F.count("*").alias("n_parts"))
     every = merges.select("tenant_id", "merged_id").distinct()
     return every.join(episodes, ["tenant_id", "merged_id"], "left").join(parts, ["tenant_id", "merged_id"], "left").fillna(0, ["n_episodes", "n_parts"])
 

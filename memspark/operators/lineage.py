@@ -51,12 +51,13 @@ def all_parts(merges: DataFrame) -> DataFrame:
     return reach(starts, edges).where("depth > 0").select("tenant_id", F.col("start").alias("merged_id"), F.col("node").alias("fact_id"), "depth")
 
 
-def lineage(merges: DataFrame, provenance: DataFrame) -> DataFrame:
+def lineage(merges: DataFrame, provenance: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     """(tenant_id, merged_id, episode_id): all episodes behind a merged fact, its own and those of all its parts.
 
     ``provenance(tenant_id, fact_id, episode_id)``.  The sets stay in rows, as in ``safety.merged_sources``.
+    ``parts`` are those of ``all_parts(merges)`` where they are there already.
     """
-    parts = all_parts(merges).drop("depth")
+    parts = (all_parts(merges) if parts is None else parts).drop("depth")
     own = merges.select("tenant_id", "merged_id", F.col("merged_id").alias("fact_id")).distinct()
     scoped = lambda df, *c: df.select(F.struct("tenant_id", "fact_id").alias("fact_id"), *c)
     found = merged_sources(

@@ -26,11 +26,17 @@ VERSIONS = ("p3-recall-v0", "p3-gap03-5a-v0")  # fixed values stamped on rows of
 @dataclass(frozen=True)
 class Recalled:
     """``facts`` are the answers, ``filters`` one accounting row per query.  ``preferences`` are the pages every
-    answer of a tenant carries, one row per asking tenant and page, also when no fact is asked for."""
+    answer of a tenant carries, one row per asking tenant and page, also when no fact is asked for.
+    ``hits`` are the stored ranked lists the answers were made from."""
 
     facts: DataFrame
     filters: DataFrame
     preferences: DataFrame | None = None
+    hits: DataFrame | None = None
+
+    def best(self, source: str, k: int) -> DataFrame:
+        """The first ``k`` of one ranked list, at most as many as it was made with; the search is not run again."""
+        return self.hits.where((F.col("source") == source) & (F.col("rank") <= k))
 
 
 def retrieve(
@@ -128,7 +134,7 @@ def recall(
     if pages is not None:
         asking = tenant_of.select(TENANT).distinct()
         always = preferences.pack(preferences.preference_pages(pages).join(asking, TENANT, "left_semi"))
-    return Recalled(cut.where(~blank(F.col("episode_id"))), filters, always)
+    return Recalled(cut.where(~blank(F.col("episode_id"))), filters, always, hits)
 
 
 def _fuse(alive: DataFrame) -> DataFrame:
