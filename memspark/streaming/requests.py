@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from memspark import vocab as v
-from memspark.streaming.windows import _unit
+from memspark.streaming.windows import _micros
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -76,14 +76,15 @@ class _Conflicts(StatefulProcessor):
         return -(-(held[1] + self.ttl_us) // 1000)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.held.get() if self.held.exists() else None
-        known = held
-        batch = pd.concat(list(rows), ignore_index=True)
-        batch = batch.sort_values([c for c in ("batch", "at", "seq") if c in batch.columns], ignore_index=True)
+        known = held = self.held.get()  # none for a key without state; each call is a message to the state server
+        pieces = list(rows)
+        batch = pieces[0] if len(pieces) == 1 else pd.concat(pieces, ignore_index=True)
+        if len(batch) > 1:  # most keys have one request
+            batch = batch.sort_values([c for c in ("batch", "at", "seq") if c in batch.columns], ignore_index=True)
         outcomes = []
-        for at, body in zip(batch["at"].astype("int64") // _unit(batch["at"]), batch["body_hash"], strict=True):
+        for at, body in zip(_micros(batch["at"]), batch["body_hash"].tolist(), strict=True):
             if held is None or at >= held[1] + self.ttl_us:
-                held = (body, int(at))
+                held = (body, at)
                 outcomes.append("fresh")
             else:
                 outcomes.append("replay" if held[0] == body else "conflict")
@@ -92,10 +93,12 @@ class _Conflicts(StatefulProcessor):
                 self.handle.deleteTimer(self._end(known))
             self.held.update(held)
             self.handle.registerTimer(max(self._end(held), timerValues.getCurrentWatermarkInMs() + 1))
-        yield batch.assign(outcome=outcomes)
+        batch["outcome"] = outcomes
+        yield batch
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.held.exists() and self._end(self.held.get()) <= timerValues.getCurrentWatermarkInMs():
+        held = self.held.get()
+        if held is not None and self._end(held) <= timerValues.getCurrentWatermarkInMs():
             self.held.clear()
         yield pd.DataFrame()
 

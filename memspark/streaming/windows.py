@@ -37,15 +37,17 @@ def classified(requests: DataFrame, ttl_hours: int = v.IDEMPOTENCY_TTL_HOURS, de
             return
         held = state.get if state.exists else None
         for rows in batches:
-            rows = rows.sort_values(["at", "seq"])
+            if len(rows) > 1:  # most keys have one request, for which sorting costs more than all else
+                rows = rows.sort_values(["at", "seq"])
             outcomes = []
-            for at, body in zip(rows["at"].astype("int64") // _unit(rows["at"]), rows["body_hash"]):
+            for at, body in zip(_micros(rows["at"]), rows["body_hash"].tolist()):
                 if held is None or at >= held[1] + ttl_us:
-                    held = (body, int(at))
+                    held = (body, at)
                     outcomes.append("fresh")
                 else:
                     outcomes.append("replay" if held[0] == body else "conflict")
-            yield rows.assign(outcome=outcomes)
+            rows["outcome"] = outcomes
+            yield rows
         if held is not None:
             state.update(held)
             state.setTimeoutTimestamp(max((held[1] + ttl_us) // 1000, state.getCurrentWatermarkMs() + 1))
@@ -56,9 +58,9 @@ def classified(requests: DataFrame, ttl_hours: int = v.IDEMPOTENCY_TTL_HOURS, de
     )
 
 
-def _unit(ts: pd.Series) -> int:
-    """Ticks of the series per microsecond."""
-    return 1000 if "ns" in str(ts.dtype) else 1
+def _micros(ts: pd.Series) -> list[int]:
+    """Microseconds since 1970 as plain numbers."""
+    return (ts.to_numpy(dtype="datetime64[us]").astype("int64")).tolist()
 
 
 def join_outcomes(recalls: DataFrame, outcomes: DataFrame, within: str = "1 hour", delay: str = "10 minutes") -> DataFrame:

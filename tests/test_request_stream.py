@@ -72,3 +72,22 @@ def test_forward_decay_is_exact(spark, tmp_path):
     got = {r.fact_id: r.utility_raw for r in windows.decayed_at(upsert.latest(stored, ("tenant_id", "fact_id"), "batch"), landmark, now).collect()}
     want = {r.fact_id: r.utility_raw for r in ut.utility_raw(spark.createDataFrame(sum(batches, []), kind), now).collect()}
     assert got == pytest.approx(want, rel=1e-12)
+
+
+def test_a_key_with_one_request_asks_for_its_state_once():
+    """Each call on the state is a message to another process, and sorting one row costs more than answering it."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from memspark.streaming import requests as rq
+
+    calls = []
+    state = SimpleNamespace(get=lambda: calls.append("get"), update=lambda x: calls.append("update"))
+    handle = SimpleNamespace(getValueState=lambda *a: state, registerTimer=lambda t: calls.append("timer"), deleteTimer=None)
+    step = rq._Conflicts(24)
+    step.init(handle)
+    row = pd.DataFrame({"body_hash": ["a"], "at": pd.to_datetime(["2024-01-01"]), "seq": [1]})
+    row.sort_values = None
+    out = list(step.handleInputRows(("t", "k", "v"), iter([row]), SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)))
+    assert out[0]["outcome"].tolist() == ["fresh"] and calls == ["get", "update", "timer"]
