@@ -63,19 +63,23 @@ def contradiction_count(edges: DataFrame, facts: DataFrame | None = None) -> Dat
     return facts.select("fact_id").join(counts, "fact_id", "left").fillna(0, ["contradiction_count"])
 
 
-def undirected(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by…, a, b, weight) once per pair, a < b; loops dropped, bad weights fail the job."""
+def undirected(edges: DataFrame, by: tuple[str, ...] = (), at: tuple[str, ...] = ()) -> DataFrame:
+    """(by…, a, b, weight) once per pair, a < b; loops dropped, bad weights fail the job.
+
+    ``at`` names columns in which all rows of a pair agree, such as its numeric keys.  Edges that are dealt by them
+    (``session.dealt``) are grouped where they lie, without a shuffle.
+    """
     w = fail_when(F.col("weight") < 0.0, "negative edge weight", F.col("weight"))
     pairs = edges.where(F.col("src") != F.col("dst")).groupBy(
-        *by, F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")
+        *by, *at, F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")
     ).agg(F.min(w).alias("_lo"), F.max(w).alias("_hi"))
     agreed = fail_when(F.col("_lo") != F.col("_hi"), "edge weights of the two directions differ", F.col("_lo"))
     return pairs.select(*by, "a", "b", agreed.alias("weight"))
 
 
-def cascade_cost(edges: DataFrame, digits: int = v.RANK_DIGITS, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by…, fact_id, cascade_cost): weight of all edges that break when the node goes."""
-    ends = undirected(edges, by).select(*by, F.explode(F.array("a", "b")).alias("fact_id"), "weight")
+def cascade_cost(edges: DataFrame, digits: int = v.RANK_DIGITS, by: tuple[str, ...] = (), at: tuple[str, ...] = ()) -> DataFrame:
+    """(by…, fact_id, cascade_cost): weight of all edges that break when the node goes; ``at`` as for ``undirected``."""
+    ends = undirected(edges, by, at).select(*by, F.explode(F.array("a", "b")).alias("fact_id"), "weight")
     return ends.groupBy(*by, "fact_id").agg(F.round(F.sum("weight"), digits).alias("cascade_cost"))
 
 
