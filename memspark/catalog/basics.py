@@ -8,7 +8,7 @@ from memspark import vocab as v
 from memspark.catalog.ingest import envelopes
 from memspark.catalog.registry import query
 from memspark.catalog.retrieval import _TWO
-from memspark.catalog.views import DIM, T_LEDGER, T_NOW, clock, with_views
+from memspark.catalog.views import DIM, SUPPLY_KEYS, T_LEDGER, T_NOW, clock, with_views
 from memspark.functions import ids, scoring, text
 from memspark.functions.common import clamp01
 from memspark.operators import contamination, events, fusion, graph, idempotency, knn, lints, outcomes, preferences, temporal, transitions
@@ -199,7 +199,7 @@ def degree(t):
 @query("J08_undirected_edges", with_views("supply_graph") + """
 SELECT least(src, dst) AS a, greatest(src, dst) AS b, max(weight) AS weight FROM supply_graph WHERE src <> dst GROUP BY 1, 2""")
 def undirected_edges(t):
-    return ut.undirected(t.supply_graph)
+    return ut.undirected(t.supply_graph, at=SUPPLY_KEYS)
 
 
 # --- ids and JSON ---------------------------------------------------------------------------------

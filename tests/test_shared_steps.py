@@ -47,3 +47,12 @@ def test_pairs_are_grouped_in_pieces_sized_by_rows(spark, monkeypatch, name):
     got = catalog.QUERIES[name](spark, DATA)
     assert max(exchanges(got)) >= 15
     assert sorted(map(repr, got.collect())) == before
+
+
+def test_pairs_of_the_supply_graph_are_shuffled_once(spark, monkeypatch):
+    """One shuffle, sized by rows; the directions of a pair meet where they are made."""
+    before = sorted(map(tuple, catalog.QUERIES["J08_undirected_edges"](spark, DATA).collect()))
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    got = catalog.QUERIES["J08_undirected_edges"](spark, DATA)
+    assert len(exchanges(got)) == 1 and exchanges(got)[0] >= 15
+    assert sorted(map(tuple, got.collect())) == before
