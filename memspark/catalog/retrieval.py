@@ -139,9 +139,9 @@ tf AS (SELECT tenant_id, fact_id, range, len(t) AS doc_len, unnest(t) AS term FR
 SELECT term, count(DISTINCT fact_id) AS df, count(*) AS occurrences, count(DISTINCT tenant_id || ':' || range) AS blocks, max(doc_len) AS longest FROM tf GROUP BY term""")
 def stored_index(t):
     """Words of the stored index, read from its blocks."""
-    blocks = _stored(t).blocks.select("term", F.explode("postings").alias("p"), F.struct("_scope", "range").alias("block"))
-    return blocks.groupBy("term").agg(
-        F.count("*").alias("df"), F.sum("p.tf").cast("bigint").alias("occurrences"), F.countDistinct("block").alias("blocks"), F.max("p.doc_len").cast("bigint").alias("longest")
+    postings = _stored(t).blocks.select("term", F.posexplode("postings").alias("place", "p"))
+    return postings.groupBy("term").agg(
+        F.count("*").alias("df"), F.sum("p.tf").cast("bigint").alias("occurrences"), F.count_if(F.col("place") == 0).alias("blocks"), F.max("p.doc_len").cast("bigint").alias("longest")
     )
 
 

@@ -1,6 +1,7 @@
 """The stored text index against the search over texts."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,3 +98,38 @@ def test_the_build_numbers_documents_before_it_counts_words(monkeypatch, tmp_pat
     want = bm25.postings(docs, by=("tenant_id",)).where("term <> ''").select("fact_id", "term", F.col("tf").cast("int"), "doc_len")
     got = index.blocks.select("term", F.inline("postings")).select(F.col("id").alias("fact_id"), "term", "tf", "doc_len")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_an_index_holds_each_posting_once_and_no_words_of_texts(tmp_path, spark, docs):
+    """The build stored the words of every text and each head twice, and shuffled texts, postings and heads for each table."""
+    text_index.build(docs, f"{tmp_path}/i", by=("tenant_id",), span=8, buckets=4)
+    assert {p.name for p in (tmp_path / "i").iterdir()} == {"documents", "stats", "parts"}
+    assert spark.read.parquet(f"{tmp_path}/i/documents").columns == ["_scope", "id", "doc_len", "range"]
+
+
+def test_pieces_keep_the_numbering(monkeypatch, tmp_path, docs, asked):
+    """Ranges of many pieces, and a range longer than a piece: places run over all documents of a tenant."""
+    monkeypatch.setattr(text_index, "PIECE", 150)
+    monkeypatch.setattr(text_index, "SUPER", 5)
+    index = text_index.build(docs, f"{tmp_path}/i", by=("tenant_id",), span=8, buckets=4)
+    postings = bm25.postings(docs, by=("tenant_id",))
+    lengths = postings.where("term = ''").select("tenant_id", "fact_id", "doc_len").collect()
+    place = {}
+    for tenant in ("t0", "t1"):
+        own = sorted((r.doc_len, r.fact_id) for r in lengths if r.tenant_id == tenant)
+        place |= {(tenant, fact): i // 8 for i, (_, fact) in enumerate(own)}
+    want = sorted((r.tenant_id, r.term, place[r.tenant_id, r.fact_id], r.fact_id, int(r.tf)) for r in postings.where("term <> ''").collect())
+    flat = index.blocks.select(F.substring("_scope", 3, 9).alias("t"), "term", "range", F.inline("postings"))
+    assert sorted((r.t, r.term, r.range, r.id, r.tf) for r in flat.collect()) == want
+    assert index.blocks.groupBy("_scope", "term", "range").count().where("count > 1").isEmpty()
+    fine = index.fine.groupBy("_scope", "term", F.floor(F.col("range") / 5).alias("group")).agg(F.max("top").alias("high"), F.sum("n").alias("all"), F.count("*").alias("held"))
+    assert index.coarse.count() == fine.count() < index.parts.count()
+    assert index.coarse.join(fine, ["_scope", "term", "group"]).where("top <> high or n <> all or blocks <> held").isEmpty()
+    found = text_index.search(index, asked, 4)
+    assert sorted(map(tuple, found.hits.collect())) == sorted(map(tuple, bm25.search_documents(docs, asked, 4, by=("tenant_id",)).collect()))
+
+
+def test_scores_are_summed_where_a_range_meets(index, asked):
+    """A score was shuffled for every query, document and task; now blocks travel to their range and only the first k of a task go on."""
+    plan = text_index.search(index, asked, 3).hits._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_scope" in plan and not re.search(r"hashpartitioning\((query_id#\d+, \w+#|bucket)", plan)
