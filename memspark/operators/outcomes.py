@@ -43,21 +43,26 @@ def repeat_recalls(ledger: DataFrame, since: Column, until: Column) -> DataFrame
 
 
 def rolling_count(rows: DataFrame, keys: tuple[str, ...], ts: str, span_seconds: int, bucket_seconds: int | None = None) -> DataFrame:
-    """Adds ``n``: rows of the same key in ``(ts - span, ts]``, this one included.
+    """Adds ``n``: rows of the same key in ``(ts - span, ts]``, this one included.  Rows without a time count each other.
 
     Each key's time line is cut into buckets, so one busy key spreads over many tasks.  A row
-    within ``span`` of the end of its bucket is also handed to the next one as context.
+    within ``span`` of the end of its bucket is also handed to the next one as context.  A row adds one
+    at its time and takes it away when the span is over, so a running sum in order of time is the
+    count: the work per row does not grow with the rows in the span, as that of a moving frame does.
     """
     width = bucket_seconds or max(span_seconds * 10, 60)
     if width < span_seconds:
         raise ValueError("a bucket must cover the span")
-    us, w_us = F.unix_micros(ts), width * 1_000_000
+    us, w_us, s_us = F.unix_micros(ts), width * 1_000_000, span_seconds * 1_000_000
     own = F.floor(us / F.lit(w_us))
-    late = (us - own * w_us) >= w_us - span_seconds * 1_000_000
+    late = (us - own * w_us) >= w_us - s_us
     copies = F.when(late, F.array(own, own + 1)).otherwise(F.array(own))
-    spread = rows.withColumn("_us", us).withColumn("_own", own).withColumn("_b", F.explode(copies))
-    w = Window.partitionBy(*keys, "_b").orderBy("_us").rangeBetween(-span_seconds * 1_000_000 + 1, 0)
-    return spread.withColumn("n", F.count("*").over(w)).where(F.col("_b") == F.col("_own")).drop("_us", "_own", "_b")
+    spread = rows.withColumn("_us", us).withColumn("_own", own).withColumn("_b", F.explode(copies)).repartition(*keys, "_b")
+    marks = spread.withColumn("_by", F.explode(F.when(F.col("_us").isNull(), F.array(F.lit(1))).otherwise(F.array(F.lit(1), F.lit(-1)))))
+    timed = marks.withColumn("_at", F.when(F.col("_by") > 0, F.col("_us")).otherwise(F.col("_us") + s_us)).drop("_us")
+    w = Window.partitionBy(*keys, "_b").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = timed.withColumn("n", F.sum("_by").over(w))
+    return counted.where((F.col("_by") > 0) & F.col("_b").eqNullSafe(F.col("_own"))).drop("_at", "_by", "_own", "_b")
 
 
 def rate_violations(requests: DataFrame, burst: int, sustained: float, keys=("tenant_id", "principal"), ts: str = "ts") -> DataFrame:

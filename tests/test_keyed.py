@@ -218,6 +218,20 @@ def test_rolling_count(spark):
     assert outcomes.rate_violations(df, 1, 100.0, ("k",)).count() > 0
 
 
+def test_rolling_count_adds_up_in_order_of_time(spark):
+    """A frame that moves was summed anew for every row; ties, ends of buckets and spans, and rows without a time count as in SQL."""
+    rng = random.Random(9)
+    data = [(i, rng.choice(["a", "b", None]), rng.choice([None, *(T + timedelta(seconds=s, microseconds=m) for s in range(0, 70, 5) for m in (0, 1, 999_999))])) for i in range(600)]
+    df = spark.createDataFrame(data, "i int, k string, ts timestamp")
+    found = outcomes.rolling_count(df, ("k",), "ts", 10, 20)
+    plan = found._jdf.queryExecution().executedPlan().toString().lower()
+    assert "unboundedpreceding" in plan and "specifiedwindowframe(rangeframe, -" not in plan
+    inside = lambda t, t2: t2 is None if t is None else t2 is not None and t - timedelta(seconds=10) < t2 <= t
+    assert {r.i: r.n for r in found.collect()} == {i: sum(1 for _, k2, t2 in data if k2 == k and inside(t, t2)) for i, k, t in data}
+    peaks = {r.k: r.peak for r in outcomes.spikes(df, ("k",), "ts", 10, 2).collect()}
+    assert peaks == {k: max(sum(1 for _, k2, t2 in data if k2 == k and inside(t, t2)) for _, k1, t in data if k1 == k) for k in ("a", "b", None)}
+
+
 def test_gate_and_lock(spark):
     df = spark.createDataFrame([(1, None, None, None), (2, T, None, None), (3, T - timedelta(minutes=15), "x", T), (4, T - timedelta(hours=1), "x", T - timedelta(seconds=61))],
                                "i int, last timestamp, token string, beat timestamp")
