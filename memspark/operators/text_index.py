@@ -90,39 +90,39 @@ def build(docs: DataFrame, path: str, *, id_col: str = "fact_id", text_col: str
     def per_piece(rows: pa.Table) -> pa.Table:
         return _piece_rows(rows, per_group)
 
-    schema = _schema(stored.schema["id"].dataType.simpleString())
-    made = split.groupBy(_KEY, "piece").applyInArrow(per_piece, schema).withColumn("bucket", _bucket(buckets))
-    made.sortWithinPartitions("level", "bucket", _KEY, "term", "at").write.mode("overwrite").option("compression", "zstd").partitionBy("level", "bucket").parquet(f"{path}/parts")
+    schema = "level int, " + _schema(stored.schema["id"].dataType.simpleString())
+    made = split.groupBy(_KEY, "piece").applyInArrow(per_piece, schema).withColumn("slot", _bucket(buckets) * 2 + F.col("level")).drop("level")
+    # Rows come by word; sorted by one number they need no comparison.
+    made.sortWithinPartitions("slot").write.mode("overwrite").option("compression", "zstd").partitionBy("slot").parquet(f"{path}/parts")
     return load(spark, path, id_col=id_col, by=by, buckets=buckets)
 
 
 def _piece_rows(rows: pa.Table, per_group: int) -> pa.Table:
-    """The blocks of a run of ranges and their coarse heads: words are counted by document, postings sorted by range and word."""
+    """The blocks of a run of ranges and their coarse heads: words are counted by document, postings sorted by word and range."""
     coded = rows["w"].combine_chunks().flatten().dictionary_encode()
     n_terms, doc = max(len(coded.dictionary), 1), np.repeat(np.arange(len(rows)), rows["doc_len"].to_numpy())
     found, tf = np.unique(doc * n_terms + coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), return_counts=True)
     doc, term = found // n_terms, found % n_terms
     ranges = rows["range"].to_numpy()[doc]
-    order = np.lexsort((term, ranges))
+    order = np.lexsort((ranges, term))
     doc, term, ranges, tf = doc[order], term[order], ranges[order], tf[order].astype(np.int32)
     doc_len = rows["doc_len"].to_numpy()[doc]
     # Scopes differ in their mean length only, so the largest part is found with that of the own scope.
     part = bm25.term_score(1.0, tf.astype(np.float64), doc_len, rows["avg_len"].to_numpy()[doc], lit=float)
-    starts = _starts(ranges, term)
+    starts = _starts(term, ranges)
     ends = np.append(starts, len(doc)).astype(np.int32)
     posting = pa.StructArray.from_arrays([rows["id"].combine_chunks().take(pa.array(doc)), pa.array(tf), pa.array(doc_len)], ["id", "tf", "doc_len"])
     postings = pa.ListArray.from_arrays(pa.array(ends), posting)
     term, at, top, n = term[starts], ranges[starts], _reduced(np.maximum, part, starts), np.diff(ends).astype(np.int64)
-    blocks = ("block", term, at, top, n, np.ones_like(n), postings)
-    order = np.lexsort((term, at // per_group))
-    term, at = term[order], at[order] // per_group
-    starts = _starts(at, term)
-    n, held = _reduced(np.add, n[order], starts), np.diff(np.append(starts, len(at)))
-    groups = ("group", term[starts], at[starts], _reduced(np.maximum, top[order], starts), n, held, pa.nulls(len(starts), postings.type))
+    blocks = (0, term, at, top, n, np.ones_like(n), postings)
+    at = at // per_group
+    starts = _starts(term, at)
+    held = np.diff(np.append(starts, len(at)))
+    groups = (1, term[starts], at[starts], _reduced(np.maximum, top, starts), _reduced(np.add, n, starts), held, pa.nulls(len(starts), postings.type))
 
     def table(level, term, at, top, n, held, postings):
         scope = rows[_KEY].combine_chunks().take(pa.array(np.zeros(len(term), np.int64)))
-        return pa.table([pa.array([level]).take(pa.array(np.zeros(len(term), np.int64))), scope, coded.dictionary.take(pa.array(term)), *map(pa.array, (at, top, n, held)), postings], _COLUMNS)
+        return pa.table([pa.array(np.full(len(term), level, np.int32)), scope, coded.dictionary.take(pa.array(term)), *map(pa.array, (at, top, n, held)), postings], _COLUMNS)
 
     return pa.concat_tables([table(*blocks), table(*groups)])
 
@@ -177,16 +177,16 @@ _COLUMNS = ["level", _KEY, "term", "at", "top", "n", "blocks", "postings"]
 
 
 def _schema(id_type: str) -> str:
-    """Blocks (``at`` is a range) and coarse heads (``at`` is a group) lie in one table; without rows it has no file to take this from."""
-    return f"level string, {_KEY} string, term string, at bigint, top double, n bigint, blocks bigint, postings array<struct<id:{id_type},tf:int,doc_len:int>>"
+    """Blocks (``at`` is a range, even slots) and coarse heads (``at`` is a group, odd slots) lie in one table; without rows it has no file to take this from."""
+    return f"{_KEY} string, term string, at bigint, top double, n bigint, blocks bigint, postings array<struct<id:{id_type},tf:int,doc_len:int>>"
 
 
 def load(spark: SparkSession, path: str, *, id_col: str = "fact_id", by: tuple[str, ...] = (), buckets: int = BUCKETS) -> TextIndex:
     """Open a stored index; ``by`` and ``buckets`` as it was built."""
     id_type = spark.read.parquet(f"{path}/documents").schema["id"].dataType.simpleString()
-    rows = spark.read.schema(_schema(id_type) + ", bucket int").parquet(f"{path}/parts")
-    blocks = rows.where(F.col("level") == "block").select(*_WORD, F.col("at").alias("range"), "top", "n", "postings")
-    parts = rows.where(F.col("level") == "group").select(*_WORD, F.col("at").alias("group"), "top", "n", "blocks")
+    rows = spark.read.schema(_schema(id_type) + ", slot int").parquet(f"{path}/parts").withColumn("bucket", F.shiftright("slot", 1))
+    blocks = rows.where(F.col("slot") % 2 == 0).select(*_WORD, F.col("at").alias("range"), "top", "n", "postings")
+    parts = rows.where(F.col("slot") % 2 == 1).select(*_WORD, F.col("at").alias("group"), "top", "n", "blocks")
     return TextIndex(spark.read.parquet(f"{path}/stats"), _counted(parts), _grouped(parts), blocks.drop("postings"), blocks, parts, by, id_col, buckets)
 
 
